@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, blocked, by_bucket, pack_array, pack_words, text_bytes, unpack_array, unpack_words
+from .common import BLOCK_BYTES, block_count, blocked, by_bucket, pack_array, pack_words, squeezed, unpack_array, unpack_words, whole_texts
 
 
 @functools.lru_cache(2)
@@ -47,7 +48,7 @@ def encode_words(words: list[bytes], path: str) -> list[list[int]]:
 
 def _distinct(table, buckets: int) -> tuple[list[list[bytes]], list[list[bytes]]]:
     """Words of each text by position, and distinct words by bucket."""
-    texts = [t.split() for b in table.column("text").chunks for t in text_bytes(b)]
+    texts = [t.split() for t in whole_texts(table)]
     return texts, by_bucket(set().union(*texts), buckets)
 
 
@@ -67,26 +68,28 @@ def word_ids(rows: DataFrame, path: str, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         lists = [unpack_words(x) for x in table.column("words").to_pylist()]
-        every = sorted(set().union(*lists))
+        every = list(set().union(*lists))
         at = {w: i for i, w in enumerate(every)}
-        ids = []
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
         for k in range(0, len(every), 1 << 14):
-            ids += (np.array(x, np.uint32) for x in encode_words(every[k : k + (1 << 14)], path))
-        lens = np.array([len(x) for x in ids], np.uint32)
+            found = encode_words(every[k : k + (1 << 14)], path)
+            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        ids, starts = np.concatenate(ids), np.cumsum(np.concatenate(lens))
         out = []
         for words in lists:
-            own = [at[w] for w in words]
-            out.append((pack_array(lens[own]), pack_array(np.concatenate([ids[i] for i in own]).astype(np.uint32))))
+            entry, own = _gather(words, at, starts, ids)
+            out.append((pack_array((starts[entry + 1] - starts[entry]).astype(np.uint32)), pack_array(own)))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lens": pa.array([x[0] for x in out], pa.binary()), "ids": pa.array([x[1] for x in out], pa.binary())})
 
     packed = rows.groupBy("block").applyInArrow(words_of, "block int, bucket int, words binary")
     return packed.groupBy("bucket").applyInArrow(encode, "block int, bucket int, lens binary, ids binary")
 
 
-def _joined(docs: DataFrame, path: str, block_bytes: int, columns: list[str], finish, schema) -> DataFrame:
+def _joined(docs: DataFrame, path: str, block_bytes: int, finish, schema) -> DataFrame:
     blocks = block_count(docs, block_bytes)
     buckets = min(4096, blocks)
-    rows = blocked(docs, blocks, *columns)
+    rows = squeezed(blocked(docs, blocks))
     answers = word_ids(rows, path, buckets)
 
     def meet(left, right):
@@ -128,7 +131,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
 
         return pa.table({"doc_id": left.column("doc_id"), "ids": pa.array([_gather(t, at, starts, ids)[1].astype(np.int32) for t in texts], pa.list_(pa.int32()))})
 
-    return _joined(docs, path, block_bytes, [], finish, "doc_id long, ids array<int>")
+    return _joined(docs, path, block_bytes, finish, "doc_id long, ids array<int>")
 
 
 def vocabulary(spark, path: str) -> DataFrame:
@@ -153,23 +156,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of ids (little-endian uint32) and of the decoded text, of each row.
 
-    Decoding joins the ids of each distinct word of a block with the id-to-piece table once. Cases as in
+    Decoding joins the ids of all positions with the id-to-piece table. Cases as in
     :func:`encode`; an empty text has 0 tokens and decodes to an empty text.
     """
 
     def finish(left, texts, at, starts, ids):
         import pyarrow as pa
 
-        table = pieces(path)
-        wide = ids.tolist()
-        decoded = [b" ".join([table[i] for i in wide[a:b]]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        table = np.array(pieces(path), object)
         n, first, second = [], [], []
         for t in texts:
-            entry, own = _gather(t, at, starts, ids)
+            own = _gather(t, at, starts, ids)[1]
             n.append(len(own))
             first.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-            # A word may have no token (white space outside ASCII only); such words add nothing.
-            second.append(hashlib.sha256(b" ".join(filter(None, map(decoded.__getitem__, entry.tolist())))).hexdigest())
+            second.append(hashlib.sha256(b" ".join(table[own].tolist())).hexdigest())
         return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": first, "decoded_sha256": second})
 
-    return _joined(docs, path, block_bytes, [], finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _joined(docs, path, block_bytes, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

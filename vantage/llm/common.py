@@ -69,6 +69,30 @@ def blocked(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
     )
 
 
+def squeezed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each text compressed on its own (binary), for shuffles; see :func:`whole_texts`."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    at = rows.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            c = zstandard.ZstdCompressor(level=3, write_checksum=False)
+            columns = [b.column(i) for i in range(b.num_columns)]
+            columns[at] = pa.array([c.compress(t) for t in text_bytes(columns[at])], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return rows.mapInArrow(run, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema]))
+
+
+def whole_texts(table) -> list[bytes]:
+    """The texts of an Arrow table of :func:`squeezed` rows."""
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(x) for x in table.column("text").to_pylist()]
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column."""
     import pyarrow as pa

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mpeg_media, token_counts, zstd_quality
+from . import bpe, minhash_dedup, mixing, mpeg_media, token_counts, zstd_quality
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def _held_out(folds: int):
     return (F.crc32(F.col("doc_id").cast("string")) % folds == 2).alias("held_out")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), words=4)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_media.digest_media(mpeg_media.encode_media(documents(spark, sf_dir)))
 
@@ -31,6 +35,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.score(docs, model).select("doc_id", _held_out(4), "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(mixing.mix(documents(spark, sf_dir)))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +46,27 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media_columns, op3_token_counts, op5_quality_classifier, op8_bpe)
+    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op5_quality_classifier, op6_mixing, op8_bpe)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORDS}) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (sh) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id, s.doc_id = r.c AS kept
+FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id""",
+}
