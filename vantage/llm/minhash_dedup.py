@@ -51,7 +51,7 @@ class Shingler:
         if len(self.seen) > 1 << 19:
             self.seen.clear()
         seen, digest = self.seen, xxhash.xxh3_64_intdigest
-        for w in set(words) - seen.keys():
+        for w in set(words).difference(seen):
             seen[w] = digest(w)
         h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         k = self.words

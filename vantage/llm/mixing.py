@@ -1,8 +1,8 @@
 """Mixing sources to target weights: copies of documents by pivotal dependent rounding.
 
 Every document of a source should be taken target / size times. The whole part is taken outright; the
-fraction is rounded by the pivotal method: two documents pass probability mass between them at random until
-one of them is decided, and the other goes on to meet the next. Chunks of documents of one source and of like
+fraction is rounded by the pivotal method: two documents pass probability mass, weighed by their words, between
+them at random until one of them is decided, and the other goes on to meet the next. Chunks of documents of one source and of like
 sizes do so side by side, each leaving one undecided document; those meet in a tree of further chunks, so
 that the words taken stay near the target without gathering a source in one task.
 """
@@ -51,31 +51,34 @@ def unit(seed: int, *values: int) -> float:
     return (xxhash.xxh3_64_intdigest(repr(values).encode(), seed) >> 11) / (1 << 53)
 
 
-def pivotal(keys: list[int], p: list[float], seed: int) -> tuple[list[int], int]:
+def pivotal(keys: list[int], sizes: list[int], p: list[float], seed: int) -> tuple[list[int], int]:
     """Round probabilities by meeting one after the other: decisions (-1: undecided) and the undecided index.
 
-    The sum is kept but for the undecided one, which is -1 where none is left; its probability is in ``p``.
+    Two that meet pass words, not counts: one gains what the other loses, until one is in or out; the way is
+    drawn so that each keeps its expectation. So the expected words of all are kept but for the undecided one,
+    whose index is -1 where none is left; its probability is in ``p``. Items of no size are drawn on their own.
     """
     out, held = [-1] * len(p), -1
     for i, q in enumerate(p):
-        if q <= 1e-12 or q >= 1 - 1e-12:
+        if q <= 1e-9 or q >= 1 - 1e-9:
             out[i] = int(q > 0.5)
-            continue
-        if held < 0:
+        elif not sizes[i]:
+            out[i] = int(unit(seed, keys[i]) < q)
+        elif held < 0:
             held = i
-            continue
-        a, total = p[held], p[held] + q
-        u = unit(seed, keys[held], keys[i])
-        if total < 1:  # one of them is out, the other takes all
-            winner, loser = (held, i) if u * total < a else (i, held)
-            out[loser], p[loser], p[winner] = 0, 0.0, total
-            held = winner
-        else:  # one of them is in, the other keeps the rest
-            winner, loser = (held, i) if u * (2 - total) < 1 - q else (i, held)
-            out[winner], p[winner], p[loser] = 1, 1.0, total - 1
-            held = loser
-        if p[held] <= 1e-12 or p[held] >= 1 - 1e-12:
-            out[held], held = int(p[held] > 0.5), -1
+        else:
+            a, b = sizes[held], sizes[i]
+            gain, loss = min((1 - p[held]) * a, q * b), min(p[held] * a, (1 - q) * b)
+            moved = gain if unit(seed, keys[held], keys[i]) * (gain + loss) < loss else -loss
+            p[held] += moved / a
+            p[i] -= moved / b
+            own = [held, i]
+            held = -1
+            for j in own:
+                if p[j] <= 1e-9 or p[j] >= 1 - 1e-9:
+                    out[j] = int(p[j] > 0.5)
+                else:
+                    held = j
     return out, held
 
 
@@ -86,9 +89,9 @@ def _meet(rows: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
     """Meetings within each group of ``keys``; ``rest`` is what is undecided, null once it is decided."""
 
     def run(pdf):
-        pdf = pdf.sort_values(["size", "row", "doc_id"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "row", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p = pdf["rest"].tolist()
-        out, held = pivotal(pdf["row"].tolist(), p, seed)
+        out, held = pivotal(pdf["row"].tolist(), (pdf["size"] * pdf["times"]).tolist(), p, seed)
         if held >= 0 and last:
             out[held], held = int(unit(seed, int(pdf["row"][held])) < p[held]), -1
         pdf["copies"] = [c + max(0, o) for c, o in zip(pdf["copies"].tolist(), out)]
@@ -99,7 +102,7 @@ def _meet(rows: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, _KEPT).withColumn("rest", F.when(F.isnan("rest"), F.lit(None)).otherwise(F.col("rest")))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17, chunk: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17, chunk: int = 2_000) -> DataFrame:
     """How often each document is taken.
 
     Returns doc_id, row (a hash of doc_id, text and source), times (equal rows), size (words; null text: 0),
