@@ -2,8 +2,7 @@
 
 Every document of a source should be taken target / size times. The whole part is taken outright; the
 fraction is rounded by the pivotal method: two documents pass probability mass, weighed by their words, between
-them at random until one of them is decided, and the other goes on to meet the next. Chunks of documents of one source and of like
-sizes do so side by side, each leaving one undecided document; those meet in a tree of further chunks, so
+them at random until one of them is decided, and the other goes on to meet the next. Chunks of documents of one source do so side by side, each leaving one undecided document; those meet in a tree of further chunks, so
 that the words taken stay near the target without gathering a source in one task.
 """
 
@@ -82,7 +81,7 @@ def pivotal(keys: list[int], sizes: list[int], p: list[float], seed: int) -> tup
     return out, held
 
 
-_KEPT = "doc_id long, row long, times long, size long, key string, kind int, copies long, rest double"
+_KEPT = "doc_id long, row long, times long, size long, key string, copies long, rest double"
 
 
 def _meet(rows: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
@@ -97,7 +96,7 @@ def _meet(rows: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
         pdf["copies"] = [c + max(0, o) for c, o in zip(pdf["copies"].tolist(), out)]
         pdf["rest"] = [p[i] if i == held else None for i in range(len(p))]
         pdf["rest"] = pdf["rest"].astype("float64")
-        return pdf[["doc_id", "row", "times", "size", "key", "kind", "copies", "rest"]]
+        return pdf[["doc_id", "row", "times", "size", "key", "copies", "rest"]]
 
     return rows.groupBy(*keys).applyInPandas(run, _KEPT).withColumn("rest", F.when(F.isnan("rest"), F.lit(None)).otherwise(F.col("rest")))
 
@@ -118,17 +117,16 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     per = stored(targets(rows.select("key", (F.col("size") * F.col("times")).alias("size")), share, cap, weights), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     open_ = rows.join(per, "key").withColumn("ratio", ratio).withColumn("copies", F.floor(F.col("ratio") + 1e-12).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("ratio") - F.col("copies")))
-    open_ = open_.withColumn("kind", F.floor(F.log2(F.col("size") + 1)).cast("int"))
-    counts = open_.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 0
     done, level = [], 0
     for level in range(max(0, math.ceil(math.log(max(most, 1), chunk)))):
-        counts = open_.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
-        salted = open_.join(counts, ["key", "kind"]).withColumn("salt", F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("n") / chunk)))
-        met = stored(_meet(salted.select("doc_id", "row", "times", "size", "key", "kind", "copies", "rest", "salt"), ["key", "kind", "salt"], seed, False), f"met{level}")
+        counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        salted = open_.join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("n") / chunk)))
+        met = stored(_meet(salted.select("doc_id", "row", "times", "size", "key", "copies", "rest", "salt"), ["key", "salt"], seed, False), f"met{level}")
         done.append(met.where(F.col("rest").isNull()))
         open_ = met.where(F.col("rest").isNotNull())
-    done.append(_meet(open_.select("doc_id", "row", "times", "size", "key", "kind", "copies", "rest"), ["key"], seed, True))
+    done.append(_meet(open_.select("doc_id", "row", "times", "size", "key", "copies", "rest"), ["key"], seed, True))
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
