@@ -1,10 +1,10 @@
 """MinHash near-duplicates: banded candidates, pruned by sequential Bayesian tests, verified on full sets.
 
 Copies of one shingle set collapse into a class first. The bands of the classes' signatures make buckets. A
-bucket is not paired out: each round takes a few pivots of it, compares them with its other members, verifies
-the survivors, and joins what is linked; a bucket whose members are all joined is done, and pivots leave it
-resolved. The number of pivots doubles each round, so that large groups of copies end after a round or two
-and buckets of unlike members end too, with every pair of theirs tested.
+bucket is not paired out: its members are compared with one pivot of it, which joins most groups of copies.
+Buckets whose members are not all joined then form clusters. In a cluster, the members outside its largest
+joined group are compared with all its members in tiles of bounded size; a tile returns links only, and stops
+comparing what it has joined. So every pair of one bucket is either joined or tested.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Signature positions compared before each Bayesian test.
 BATCH = 16
+#: Classes on either side of a tile.
+TILE = 512
 
 
 @functools.lru_cache(1)
@@ -206,12 +208,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _rank(column):
-    """A number in [0, 1) from an id, the same in every bucket."""
-    return F.pmod(F.xxhash64(column, F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def _tile(rows: list[tuple], percent: int, miss: float) -> list[tuple[int, int]]:
+    """Links that join what is similar in one tile; rows are (side, id, label, outside, sig, set).
+
+    Side 0 holds classes outside their cluster's largest group, side 1 any classes. Pairs are compared if they
+    share a band, are not joined yet, and were not compared with the sides exchanged.
+    """
+    sides = [sorted((r for r in rows if r[0] == k), key=lambda r: r[1]) for k in (0, 1)]
+    if not sides[0] or not sides[1]:
+        return []
+    sigs = [np.array([np.frombuffer(r[4], np.uint32) for r in side]) for side in sides]
+    bands = [np.array([band_keys(x) for x in sig]) for sig in sigs]
+    sets = [[np.frombuffer(r[5], np.uint64) for r in side] for side in sides]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    ids = np.array([r[1] for r in sides[1]])
+    outside = np.array([r[3] for r in sides[1]])
+    for i, (_, x, label, _, _, _) in enumerate(sides[0]):
+        near = np.flatnonzero((bands[1] == bands[0][i]).any(axis=1) & (ids != x) & ~(outside & (ids < x)))
+        near = near[survives(np.broadcast_to(sigs[0][i], (len(near), HASHES)), sigs[1][near], percent / 100, miss)]
+        for j in near:
+            p, q = top(label), top(sides[1][j][2])
+            if p != q and similar(sets[0][i], sets[1][j], percent):
+                above[max(p, q)] = min(p, q)
+                out.append((x, int(ids[j])))
+    return out
+
+
+def _tiles(live: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) within the clusters of ``live`` (bucket, id, label)."""
+    first = live.groupBy("bucket").agg(F.min("id").alias("b"))
+    cluster = components(live.join(first, "bucket").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
+    own = live.select("id", "label").distinct().join(cluster, "id")
+    groups = own.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = groups.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("label").alias("main"))).alias("largest"))
+    groups = groups.select("component", "n", F.col("largest.main").alias("main"), (F.col("n") - F.col("largest.n")).alias("out"))
+    own = stored(own.join(groups, "component").select("component", "id", "label", (F.col("label") != F.col("main")).alias("outside"), "n", "out"), "clusters")
+    chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col(n) / TILE)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / TILE) - 1).cast("long")))
+    rest = ["component", "id", "label", "outside"]
+    placed = own.where("outside").select(*rest, F.lit(0).alias("side"), chunk("out").alias("i"), every("n").alias("j"))
+    placed = placed.unionAll(own.select(*rest, F.lit(1).alias("side"), every("out").alias("i"), chunk("n").alias("j")))
+
+    def run(table):
+        import pyarrow as pa
+
+        columns = ("side", "id", "label", "outside", "sig", "set")
+        links = _tile(list(zip(*(table.column(c).to_pylist() for c in columns))), percent, miss)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    full = placed.join(signs.select("id", "sig").join(sets.select("id", "set"), "id"), "id")
+    return full.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text) by word shingles.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and
@@ -232,31 +289,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     members = stored(band.join(shared, "bucket"), "members")
     sets = stored(_sets(docs, signs.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest"), words), "sets")
 
-    links = tested = labels = None
-    pivots = 1
-    while True:
-        own = members.withColumn("u", _rank("id"))
-        own = own.withColumn("label", F.col("id")) if labels is None else own.join(labels.select("id", "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        live = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("u").alias("first"), F.count(F.lit(1)).alias("n")).where("low < high")
-        own = own.join(live.select("bucket", F.greatest("first", pivots / F.col("n")).alias("upto")), "bucket").select("bucket", "id", "label", "u", (F.col("u") <= F.col("upto")).alias("pivot"))
-        own = stored(own, "members")
-        if own.isEmpty():
-            break
-        lead = own.where("pivot").select("bucket", F.col("id").alias("p"), F.col("label").alias("p_label"))
-        pairs = own.join(lead, "bucket").where("label <> p_label").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = stored(_verified(_tested(pairs, signs, percent, miss), sets, percent), "found")
-        if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = stored(components(links), "labels")
-        members = own.where("not pivot").select("bucket", "id")
-        pivots *= 2
+    pivot = members.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("p"))
+    pairs = members.join(pivot, "bucket").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    links = stored(_verified(_tested(pairs, signs, percent, miss), sets, percent), "found")
+    labels = stored(components(links), "labels")
+    labelled = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2")
+    live = stored(labelled.join(open_.select("bucket"), "bucket"), "live")
+    more = stored(_tiles(live, signs, sets, percent, miss), "found")
+    if not more.isEmpty():
+        labels = stored(components(links.unionAll(more)), "labels")
 
     out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("id", F.coalesce("component", "id"))
+    out = out.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("id", F.coalesce("component", "id"))
     whole = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"))

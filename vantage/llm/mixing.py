@@ -2,8 +2,9 @@
 
 Every document of a source should be taken target / size times. The whole part is taken outright; the
 fraction is rounded by the pivotal method: two documents pass probability mass, weighed by their words, between
-them at random until one of them is decided, and the other goes on to meet the next. Chunks of documents of one source do so side by side, each leaving one undecided document; those meet in a tree of further chunks, so
-that the words taken stay near the target without gathering a source in one task.
+them at random until one of them is decided, and the other goes on to meet the next. Chunks of documents of one
+source do so side by side, each leaving one undecided document; those meet in a tree of further chunks, so that
+the words taken stay near the target without gathering a source in one task.
 """
 
 from __future__ import annotations
@@ -81,18 +82,36 @@ def pivotal(keys: list[int], sizes: list[int], p: list[float], seed: int) -> tup
     return out, held
 
 
+def settle(sizes: list[int], out: list[int], over: float, order: list[int]) -> None:
+    """Turn decisions, in the given order, while that brings the words taken nearer to their target."""
+    for i in order:
+        change = -sizes[i] if out[i] else sizes[i]
+        if abs(over + change) < abs(over):
+            out[i] = 1 - out[i]
+            over += change
+
+
 _KEPT = "doc_id long, row long, times long, size long, key string, copies long, rest double"
 
 
-def _meet(rows: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
-    """Meetings within each group of ``keys``; ``rest`` is what is undecided, null once it is decided."""
+def _meet(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """Meetings within each group of ``keys``; ``rest`` is what is undecided, null once it is decided.
+
+    Where a group is all that is left of a source (``whole``), its last document is drawn too, and the words
+    that this is off the target are made up for by turning decisions of others in random order.
+    """
 
     def run(pdf):
         pdf = pdf.sort_values(["size", "row", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p = pdf["rest"].tolist()
-        out, held = pivotal(pdf["row"].tolist(), (pdf["size"] * pdf["times"]).tolist(), p, seed)
-        if held >= 0 and last:
-            out[held], held = int(unit(seed, int(pdf["row"][held])) < p[held]), -1
+        ids, sizes = pdf["row"].tolist(), (pdf["size"] * pdf["times"]).tolist()
+        fixed = [q <= 1e-9 for q in p]
+        out, held = pivotal(ids, sizes, p, seed)
+        if held >= 0 and pdf["whole"].iloc[0]:
+            out[held] = int(unit(seed, ids[held]) < p[held])
+            order = [i for i in sorted(range(len(ids)), key=lambda i: unit(seed, ids[i])) if i != held and not fixed[i]]
+            settle(sizes, out, (out[held] - p[held]) * sizes[held], order)
+            held = -1
         pdf["copies"] = [c + max(0, o) for c, o in zip(pdf["copies"].tolist(), out)]
         pdf["rest"] = [p[i] if i == held else None for i in range(len(p))]
         pdf["rest"] = pdf["rest"].astype("float64")
@@ -123,10 +142,10 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     for level in range(max(0, math.ceil(math.log(max(most, 1), chunk)))):
         counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         salted = open_.join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("n") / chunk)))
-        met = stored(_meet(salted.select("doc_id", "row", "times", "size", "key", "copies", "rest", "salt"), ["key", "salt"], seed, False), f"met{level}")
+        met = stored(_meet(salted.select("doc_id", "row", "times", "size", "key", "copies", "rest", "salt", (F.col("n") <= chunk).alias("whole")), ["key", "salt"], seed), f"met{level}")
         done.append(met.where(F.col("rest").isNull()))
         open_ = met.where(F.col("rest").isNotNull())
-    done.append(_meet(open_.select("doc_id", "row", "times", "size", "key", "copies", "rest"), ["key"], seed, True))
+    done.append(_meet(open_.select("doc_id", "row", "times", "size", "key", "copies", "rest", F.lit(True).alias("whole")), ["key"], seed))
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
