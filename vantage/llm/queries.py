@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash_dedup, mixing, mpeg_media, token_counts, zstd_quality
+from . import bpe, minhash_dedup, mixing, mpeg_media, pii, substring_dedup, token_counts, zstd_quality
 from .common import documents
 
 
@@ -45,8 +45,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op5_quality_classifier, op6_mixing, op8_bpe)
+    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op5_quality_classifier, op6_mixing, op8_bpe, op9_pii_surrogates, op10_substring_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
