@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash_dedup, mixing, mpeg_media, pii, substring_dedup, token_counts, zstd_quality
+from . import bpe, context_tree, minhash_dedup, mixing, mpeg_media, pii, substring_dedup, token_counts, zstd_quality
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = zstd_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -55,7 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op5_quality_classifier, op6_mixing, op8_bpe, op9_pii_surrogates, op10_substring_dedup)
+    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op4_context_tree, op5_quality_classifier, op6_mixing, op8_bpe, op9_pii_surrogates, op10_substring_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
