@@ -3,8 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from vantage.llm import bpe, minhash_dedup, mixing, pii, zstd_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts (score of 0.7 or more)."""
+    model = zstd_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return zstd_quality.score(docs, model, keep=True).where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest doc_id; rows without a doc_id go.
+
+    Words and similarity are the operator's defaults: shingles of five words, 0.8. Of rows that repeat a
+    doc_id with the same text one stays.
+    """
+    found = minhash_dedup.near_duplicates(docs)
+    kept = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    out = docs.join(kept, "doc_id").select(*docs.columns, "rows")
+    once = out.where("rows = 1").drop("rows")
+    again = out.where("rows > 1").drop("rows").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by surrogates; n_chars follows the text."""
+    return pii.replace(docs, keep=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    mixed = mixing.mix(docs).where("copies > 0").select(F.col("row").alias("_row"), "copies").groupBy("_row").agg(F.max("copies").alias("copies"))
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text", "source")).join(mixed, "_row")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each row."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", private), ("mix", mix), ("bpe", encode)]
 
 #: No stage's models can be stated in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None

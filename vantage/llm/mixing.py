@@ -131,7 +131,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     gives an empty table; other columns are ignored.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text", "source").alias("row"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text", "source").alias("row"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = stored(rows.groupBy("doc_id", "row", "key", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
     per = stored(targets(rows.select("key", (F.col("size") * F.col("times")).alias("size")), share, cap, weights), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, context_tree, minhash_dedup, mixing, mpeg_media, pii, substring_dedup, token_counts, zstd_quality
+from . import bpe, context_tree, minhash_dedup, mixing, mpeg_media, nn_descent, pii, substring_dedup, token_counts, zstd_quality
 from .common import documents
 
 
@@ -43,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(mixing.mix(documents(spark, sf_dir)))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op4_context_tree, op5_quality_classifier, op6_mixing, op8_bpe, op9_pii_surrogates, op10_substring_dedup)
+    f.__name__: f for f in (op1_minhash_dedup, op2_media_columns, op3_token_counts, op4_context_tree, op5_quality_classifier, op6_mixing, op7_nn_descent, op8_bpe, op9_pii_surrogates, op10_substring_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
