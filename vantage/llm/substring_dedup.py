@@ -15,7 +15,7 @@ windows only, so no passage is hot however often it occurs.
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -55,11 +55,10 @@ def fingerprints(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit fingerprint of each word of all texts, and the texts' first positions with the end."""
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    seen = {w: digest(w) for w in set().union(*texts)}
+    index = {w: i for i, w in enumerate(set().union(*texts))}
+    prints = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
     ends = np.cumsum([0, *map(len, texts)])
-    out = np.fromiter((seen[w] for t in texts for w in t), np.uint64, int(ends[-1]))
-    return out, ends
+    return prints[np.fromiter(map(index.__getitem__, chain.from_iterable(texts)), np.int64, int(ends[-1]))], ends
 
 
 class Parse:
@@ -144,8 +143,11 @@ def _canonical(table) -> tuple[list, list[list[bytes]]]:
 
 def _distinct(keys: np.ndarray, checks: np.ndarray | None = None):
     """Sorted distinct keys, their checks, the index of each input's key among them, and which occur twice."""
-    order = np.argsort(keys, kind="stable") if checks is None else np.lexsort((checks, keys))
+    order = np.argsort(keys)
     k = keys[order]
+    if checks is not None and ((k[1:] == k[:-1]) & (checks[order][1:] != checks[order][:-1])).any():
+        order = np.lexsort((checks, keys))
+        k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     if checks is not None:
