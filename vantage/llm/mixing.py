@@ -117,7 +117,8 @@ def _meet(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
         pdf["rest"] = pdf["rest"].astype("float64")
         return pdf[["doc_id", "row", "times", "size", "key", "copies", "rest"]]
 
-    return rows.groupBy(*keys).applyInPandas(run, _KEPT).withColumn("rest", F.when(F.isnan("rest"), F.lit(None)).otherwise(F.col("rest")))
+    # Dealt by all keys, even where a join has dealt the rows by some of them.
+    return rows.repartition(*keys).groupBy(*keys).applyInPandas(run, _KEPT).withColumn("rest", F.when(F.isnan("rest"), F.lit(None)).otherwise(F.col("rest")))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17, chunk: int = 2_000) -> DataFrame:
