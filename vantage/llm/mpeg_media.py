@@ -150,7 +150,7 @@ def parse(data: bytes) -> Audio:
     """Parse MPEG audio of any layer.
 
     A header counts once the next frame's header follows it with the same version, layer and sample rate, or
-    the data end there; anything else is skipped byte by byte and counted. Checksums of Layer III are verified;
+    the data end there; after a frame that counts, a header of the same kind does at once. Anything else is skipped byte by byte and counted. Checksums of Layer III are verified;
     a frame whose checksum differs stays, and is listed. Empty data give an empty result.
     """
     out = Audio()
@@ -161,20 +161,20 @@ def parse(data: bytes) -> Audio:
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
             if value := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
                 out.tags.setdefault(name, value)
-    synced, first = False, True
+    synced, first = None, True
     while pos + 4 <= end:
         h = header(data[pos : pos + 4])
         good = h is not None and pos + h.length <= end
-        if good and not synced and pos + h.length + 4 <= end:
+        if good and (h.version, h.layer, h.rate) != synced and pos + h.length + 4 <= end:
             after = header(data[pos + h.length : pos + h.length + 4])
             good = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
         if not good:
-            synced = False
+            synced = None
             to = data.find(b"\xff", pos + 1, end)
             out.skipped += (to if to >= 0 else end) - pos
             pos = to if to >= 0 else end
             continue
-        synced = True
+        synced = (h.version, h.layer, h.rate)
         if first and h.layer == 3 and (table := _table(data[pos : pos + h.length], h)):
             out.table = table
         else:

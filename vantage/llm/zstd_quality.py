@@ -56,6 +56,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1
     if len(x) == 0 or y.min() == y.max():
         return 0.0, prior
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    # Platt's targets, which stop short of 0 and 1: few rows don't make a steep slope.
+    y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     scale = max(float(np.abs(x).max()), 1e-9)
     a = np.stack([x / scale, np.ones_like(x)], axis=1)
     w = np.zeros(2)
