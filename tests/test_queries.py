@@ -1,0 +1,49 @@
+"""Every registered query against its SQL on the smallest tables."""
+
+import math
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+from vantage.plans.queries import ORACLE_SQL, QUERIES  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else f"{v:.9g}"
+    return str(v)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, con, name):
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    mine = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(want.columns) == columns
+    at = [want.columns.index(c) for c in columns]
+    theirs = sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+    assert [tuple(x.removesuffix(".0") for x in r) for r in mine] == [tuple(x.removesuffix(".0") for x in r) for r in theirs]
+
+
+def test_complete_link(spark):
+    rows = QUERIES["complete_link"](spark, SF).collect()
+    assert len(rows) == len({r.id for r in rows}) and all(r.group_id <= r.id for r in rows)
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() == 1
+    assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())

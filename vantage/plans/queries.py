@@ -115,14 +115,14 @@ def capture_fields(spark, sf_dir):
     return captures.dated(view(spark, sf_dir, "v_capture")).select("pano_id", "capture_date", "capture_precision", "month", "day", "clock")
 
 
-@query("v_capture", f"WITH {_PARTS} SELECT pano_id FROM parts WHERE month = '1992-02'")
+@query("v_capture", f"WITH {_PARTS} SELECT pano_id FROM parts WHERE month = '1995-01'")
 def policy_same_month(spark, sf_dir):
-    return captures.by_policy(captures.dated(view(spark, sf_dir, "v_capture")), "same_month", "1992-02").select("pano_id")
+    return captures.by_policy(captures.dated(view(spark, sf_dir, "v_capture")), "same_month", "1995-01").select("pano_id")
 
 
-@query("v_capture", f"WITH {_PARTS} SELECT pano_id FROM parts WHERE day = '1992-02-01'")
+@query("v_capture", f"WITH {_PARTS} SELECT pano_id FROM parts WHERE day = '1995-01-01'")
 def policy_same_day(spark, sf_dir):
-    return captures.by_policy(captures.dated(view(spark, sf_dir, "v_capture")), "same_day", "1992-02-01").select("pano_id")
+    return captures.by_policy(captures.dated(view(spark, sf_dir, "v_capture")), "same_day", "1995-01-01").select("pano_id")
 
 
 @query("v_capture", f"WITH {_PARTS} SELECT pano_id, clock FROM parts WHERE clock BETWEEN '09:30' AND '17:30'")
@@ -130,9 +130,9 @@ def clock_range(spark, sf_dir):
     return captures.by_policy(captures.dated(view(spark, sf_dir, "v_capture")), "any", None, "09:30", "17:30").select("pano_id", "clock")
 
 
-@query("v_capture", f"WITH {_PARTS} SELECT pano_id FROM parts WHERE coalesce(capture_date,'') LIKE '1992-%'")
+@query("v_capture", f"WITH {_PARTS} SELECT pano_id FROM parts WHERE coalesce(capture_date,'') LIKE '1995-%'")
 def date_prefix(spark, sf_dir):
-    return captures.date_prefix(captures.dated(view(spark, sf_dir, "v_capture")), "1992-").select("pano_id")
+    return captures.date_prefix(captures.dated(view(spark, sf_dir, "v_capture")), "1995-").select("pano_id")
 
 
 @query("v_capture", f"WITH {_PARTS} SELECT capture_date, count(*) captures, CASE WHEN length(capture_date)=7 THEN 'month' ELSE 'day' END \"precision\" FROM parts WHERE capture_date IS NOT NULL GROUP BY 1")
