@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
-from ..operators import captures, evidence, gaussians, graph, neighbours, observations, pairs, quality, stations
+from ..functions import capture, geo
+from ..operators import captures, evidence, gaussians, graph, lineage, neighbours, observations, pairs, quality, raster, stations
 from ..sources.views import duck, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,3 +494,129 @@ def daily_events(spark, sf_dir):
 
     out = tumbling(table(spark, sf_dir, "events"), "ts", "1 day", ["event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", F.col("rows").alias("events"))
+
+
+_MASK = "mk AS (SELECT 'a' AS image, CAST(i%48 AS BIGINT) x, CAST(i//48 AS BIGINT) y, (i*7919)%11=0 flag, (i*31)%13<>0 \"valid\", CAST((i*37)%101 AS DOUBLE) depth FROM range(0,48*32) t(i))"
+
+
+def _mask(spark):
+    i = F.col("id")
+    return spark.range(48 * 32).select(F.lit("a").alias("image"), (i % 48).alias("x"), F.floor(i / 48).alias("y"), ((i * 7919) % 11 == 0).alias("flag"), ((i * 31) % 13 != 0).alias("valid"), ((i * 37) % 101).cast("double").alias("depth"))
+
+
+@query("", f"WITH {_MASK} SELECT a.x, a.y, bool_or(b.flag) flag FROM mk a JOIN mk b ON abs(a.x-b.x)<=2 AND abs(a.y-b.y)<=2 GROUP BY a.x, a.y")
+def mask_dilate(spark, sf_dir):
+    return raster.dilate(_mask(spark), 2).select("x", "y", "flag")
+
+
+@query("", f"WITH {_MASK} SELECT a.x, a.y, bool_or(b.flag) flag FROM mk a JOIN mk b ON least(abs(a.x-b.x),48-abs(a.x-b.x))<=2 AND abs(a.y-b.y)<=2 GROUP BY a.x, a.y")
+def mask_dilate_periodic(spark, sf_dir):
+    return raster.dilate(_mask(spark), 2, 48).select("x", "y", "flag")
+
+
+@query("", f"WITH {_MASK} SELECT a.x, a.y, count(*)=9 AND bool_and(b.\"valid\") flag FROM mk a JOIN mk b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 GROUP BY a.x, a.y")
+def mask_erode(spark, sf_dir):
+    return raster.erode(_mask(spark).withColumn("flag", F.col("valid")), 1).select("x", "y", "flag")
+
+
+@query("", f"WITH {_MASK} SELECT a.x, a.y, CASE WHEN count(*)=9 AND bool_and(b.\"valid\") THEN max(b.depth) END far FROM mk a JOIN mk b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 GROUP BY a.x, a.y")
+def all_valid_max(spark, sf_dir):
+    return raster.all_valid_max(_mask(spark)).select("x", "y", "far")
+
+
+@query("", f"WITH {_MASK} SELECT a.x, a.y, count(*) FILTER (b.flag) total FROM mk a JOIN mk b ON b.x<=a.x AND b.y<=a.y GROUP BY a.x, a.y")
+def integral_image(spark, sf_dir):
+    return raster.integral(_mask(spark)).select("x", "y", "total")
+
+
+@query("", f"WITH {_MASK} SELECT l AS \"level\", x//(1<<l) x, y//(1<<l) y, min(depth) near, max(depth) far FROM mk, (VALUES (0),(1),(2),(3)) v(l) WHERE \"valid\" GROUP BY l, x//(1<<l), y//(1<<l)")
+def depth_pyramid(spark, sf_dir):
+    return raster.pyramid(_mask(spark), 3).select("level", "x", "y", "near", "far")
+
+
+@query("", f"WITH {_MASK} SELECT x//2 x, y//2 y, CASE WHEN bool_and(\"valid\") THEN avg(depth) END mean FROM mk GROUP BY x//2, y//2")
+def block_means(spark, sf_dir):
+    return raster.block_means(_mask(spark), 2, "depth").select("x", "y", "mean")
+
+
+@query("", f"WITH {_MASK} SELECT round(avg(CASE WHEN flag THEN 1.0::DOUBLE ELSE 0 END),6) \"share\" FROM mk")
+def mask_coverage(spark, sf_dir):
+    return raster.coverage(_mask(spark)).select(_r("share"))
+
+
+@query("", f"WITH {_MASK} SELECT count(*) FILTER (flag AND depth/100>=0.5::DOUBLE AND depth/200<0.5::DOUBLE) new_holes FROM mk")
+def new_holes(spark, sf_dir):
+    m = _mask(spark)
+    return raster.new_holes(m.withColumn("alpha", F.col("depth") / 100), m.withColumn("alpha", F.col("depth") / 200), 0.5).select("new_holes")
+
+
+@query("", f"WITH {_MASK} SELECT x, y, CASE WHEN depth>=90 THEN 'remove' WHEN x>=40 THEN 'sky' WHEN y>=20 THEN 'ground' ELSE 'keep' END policy FROM mk")
+def mask_policy(spark, sf_dir):
+    m = _mask(spark).select("x", "y", F.col("depth").alias("dynamic"), F.col("x").alias("sky"), F.col("y").alias("ground"))
+    return raster.labelled(m, 90, 40, 20).select("x", "y", "policy")
+
+
+@query("v_gaussian", """WITH s AS (SELECT row_id, CASE WHEN rot_0/2+0.5::DOUBLE<=0.04045::DOUBLE THEN (rot_0/2+0.5::DOUBLE)/12.92::DOUBLE ELSE pow((rot_0/2+0.5::DOUBLE+0.055::DOUBLE)/1.055::DOUBLE,2.4::DOUBLE) END linear, rot_1 r1, opacity o FROM v_gaussian)
+SELECT row_id, round(linear,6) linear, round(0.5::DOUBLE+0.28209479177387814::DOUBLE*r1,6) rgb, round(1/(1+exp(-o)),6) alpha FROM s""")
+def colours(spark, sf_dir):
+    return view(spark, sf_dir, "v_gaussian").select("row_id", _r("linear", geo.srgb_to_linear(F.col("rot_0") / 2 + 0.5)), _r("rgb", geo.dc_to_rgb(F.col("rot_1"))), _r("alpha", geo.sigmoid(F.col("opacity"))))
+
+
+@query("v_gaussian", "SELECT row_id, round(fmod(fmod(atan2(x,z)/(2*pi())+0.5::DOUBLE,1)+1,1),6) u, round(asin(y/sqrt(x*x+y*y+z*z))/pi()+0.5::DOUBLE,6) v FROM v_gaussian")
+def ray_to_erp(spark, sf_dir):
+    u, v = geo.ray_to_erp(F.col("x"), F.col("y"), F.col("z"))
+    return view(spark, sf_dir, "v_gaussian").select("row_id", _r("u", u), _r("v", v))
+
+
+@query("v_observation", "SELECT source_row, depth_z < 25-2 \"free\", abs(depth_z-25) <= 2 support, depth_z > 25+2 behind FROM (SELECT DISTINCT source_row, depth_z FROM v_observation)")
+def interval_classes(spark, sf_dir):
+    o = view(spark, sf_dir, "v_observation").select("source_row", "depth_z").distinct()
+    c = geo.interval_class(F.col("depth_z"), F.lit(25.0), F.lit(2.0))
+    return o.select("source_row", *(x.alias(n) for n, x in c.items()))
+
+
+@query("v_gaussian", """WITH r AS (SELECT label AS point_id, row_id ray_id, x/sqrt(x*x+y*y+z*z) x, y/sqrt(x*x+y*y+z*z) y, z/sqrt(x*x+y*y+z*z) z FROM v_gaussian), p AS (SELECT a.point_id, min(a.x*b.x+a.y*b.y+a.z*b.z) d FROM r a JOIN r b ON a.point_id=b.point_id AND a.ray_id<b.ray_id GROUP BY 1)
+SELECT k.point_id, round(coalesce(degrees(acos(greatest(-1,least(1,d)))),0),4) angle FROM (SELECT DISTINCT point_id FROM r) k LEFT JOIN p ON p.point_id IS NOT DISTINCT FROM k.point_id""")
+def triangulation_angle(spark, sf_dir):
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    rays = view(spark, sf_dir, "v_gaussian").select(F.col("label").alias("point_id"), F.col("row_id").alias("ray_id"), *((F.col(c) / n).alias(c) for c in "xyz"))
+    return observations.triangulation(rays).select("point_id", _r("angle", digits=4))
+
+
+@query("v_capture", "SELECT pano_id, 'pano_' || substr(sha256(CAST(pano_id AS VARCHAR)),1,20) token FROM v_capture")
+def capture_tokens(spark, sf_dir):
+    return view(spark, sf_dir, "v_capture").select("pano_id", capture.token("pano_", F.sha2(F.col("pano_id").cast("string"), 256)).alias("token"))
+
+
+@query("v_capture v_link", "SELECT DISTINCT ON (pano_id) pano_id, src FROM (SELECT dst pano_id, src FROM v_link) WHERE pano_id IN (SELECT pano_id FROM v_capture) ORDER BY pano_id, src")
+def merged_pages(spark, sf_dir):
+    pages = view(spark, sf_dir, "v_link").select(F.col("dst").alias("pano_id"), "src").join(view(spark, sf_dir, "v_capture").select("pano_id"), "pano_id", "left_semi")
+    return captures.merged_first(pages, "pano_id", "src")
+
+
+@query("", "WITH e AS (SELECT o_custkey job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) s, (o_orderkey%4) k FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders)), t AS (SELECT job_id, s, ['queued','running','completed','failed'][k+1] st FROM e), l AS (SELECT *, lag(st) OVER (PARTITION BY job_id ORDER BY s) b FROM t) SELECT job_id, arg_max(st, s) status, count(*) FILTER (CASE WHEN b IS NULL THEN st<>'queued' ELSE (b||'>'||st) NOT IN ('queued>running','queued>cancelled','running>completed','running>failed','running>cancelled','running>interrupted','interrupted>queued') END) faults FROM l GROUP BY job_id")
+def job_states(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), "o_orderkey").distinct()
+    o = o.withColumn("sequence", F.row_number().over(Window.partitionBy("job_id").orderBy("o_orderkey"))).withColumn("status", F.element_at(F.array(*map(F.lit, ("queued", "running", "completed", "failed"))), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    return lineage.job_states(o)
+
+
+@query("", "SELECT CAST(p_partkey AS VARCHAR) path, CASE WHEN p_partkey%7=0 THEN 'missing' ELSE 'hash' END reason FROM part WHERE p_partkey%7=0 OR p_partkey%11=0")
+def manifest_faults(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("path"), F.lit(1).cast("long").alias("bytes"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"))
+    now = p.where("p_partkey % 7 <> 0").withColumn("sha256", F.when(F.col("p_partkey") % 11 == 0, F.lit("x")).otherwise(F.col("sha256")))
+    return lineage.manifest_faults(p.drop("p_partkey"), now.drop("p_partkey"))
+
+
+@query("v_camera", f"WITH {_SCENE.split('marked AS')[0].rstrip().rstrip(',')} SELECT st.station_id FROM st, scene ORDER BY sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz)), st.station_id LIMIT 1")
+def central_station(spark, sf_dir):
+    own = stations.centres(view(spark, sf_dir, "v_camera"))
+    mid = own.agg(*(F.avg(c).alias(f"m{c}") for c in ("cx", "cy", "cz")))
+    d = stations.distance([F.col(c) for c in ("cx", "cy", "cz")], [F.col(f"m{c}") for c in ("cx", "cy", "cz")])
+    return own.crossJoin(F.broadcast(mid)).orderBy(d, "station_id").limit(1).select("station_id")
+
+
+@query("v_camera", "WITH s AS (SELECT station_id, avg(cx) ux, avg(cy+20) uy, avg(cz) uz FROM v_camera GROUP BY 1), n AS (SELECT ux/sqrt(ux*ux+uy*uy+uz*uz) ux, uy/sqrt(ux*ux+uy*uy+uz*uz) uy, uz/sqrt(ux*ux+uy*uy+uz*uz) uz FROM s), m AS (SELECT avg(ux) ux, avg(uy) uy, avg(uz) uz FROM n), k AS (SELECT ux/sqrt(ux*ux+uy*uy+uz*uz) mx, uy/sqrt(ux*ux+uy*uy+uz*uz) my, uz/sqrt(ux*ux+uy*uy+uz*uz) mz FROM m) SELECT round(mx,6) mx, round(my,6) my, round(mz,6) mz, bool_and(ux*mx+uy*my+uz*mz>=cos(radians(5))) consistent FROM n, k GROUP BY mx, my, mz")
+def up_axis(spark, sf_dir):
+    c = view(spark, sf_dir, "v_camera").withColumn("cy", F.col("cy") + 20)
+    return stations.up_axis(c, "cx", "cy", "cz").select(_r("mx", F.col("m_cx")), _r("my", F.col("m_cy")), _r("mz", F.col("m_cz")), "consistent")

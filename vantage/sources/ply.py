@@ -1,0 +1,156 @@
+"""Gaussian and point scenes in PLY files: strict headers, row ids by position, exact subsets."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType, LongType, StructField, StructType
+
+REQUIRED = ("x", "y", "z", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
+#: Rows that are turned at once.
+CHUNK = 65_536
+
+
+@dataclass(frozen=True)
+class Header:
+    names: tuple[str, ...]
+    rows: int
+    offset: int
+
+    @property
+    def degree(self) -> int:
+        rest = sum(n.startswith("f_rest_") for n in self.names)
+        return round(((rest + 3) / 3) ** 0.5) - 1
+
+
+def header(raw: bytes, mode: str = "strict") -> Header:
+    """The header of a binary little-endian scene with one element of float32 properties; ValueError if it isn't.
+
+    Modes: strict (all checks; rows are checked for finite values and quaternions too), serialization (no
+    checks of quaternions or harmonics), inspect (payload may hold anything), sh2 (exactly degree 2).
+    """
+    end = raw.find(b"end_header\n")
+    if not raw.startswith(b"ply\n") or end < 0:
+        raise ValueError("not a PLY header")
+    names, rows, elements = [], None, 0
+    for k, line in enumerate(raw[:end].decode("ascii").split("\n")[1:-1]):
+        words = line.split()
+        if words[:1] == ["format"]:
+            if words != ["format", "binary_little_endian", "1.0"]:
+                raise ValueError("the format isn't binary little-endian 1.0")
+        elif words[:1] == ["element"]:
+            elements += 1
+            if elements > 1 or words[1] != "vertex":
+                raise ValueError("there must be one element, vertex")
+            rows = int(words[2])
+        elif words[:1] == ["property"]:
+            if words[1] not in ("float", "float32") or len(words) != 3 or words[2] in names:
+                raise ValueError(f"property {k} isn't a float of its own name")
+            names.append(words[2])
+        elif words[:1] not in (["comment"], ["obj_info"]):
+            raise ValueError(f"unknown line: {line}")
+    if rows is None or not set(REQUIRED) <= set(names):
+        raise ValueError("properties are missing")
+    out = Header(tuple(names), rows, end + len(b"end_header\n"))
+    rest = sum(n.startswith("f_rest_") for n in names)
+    if mode in ("strict", "sh2", "inspect") and 3 * (out.degree + 1) ** 2 != rest + 3:
+        raise ValueError("the harmonics aren't of a whole degree")
+    if mode == "sh2" and out.degree != 2:
+        raise ValueError("the harmonics aren't of degree 2")
+    return out
+
+
+def rows_of(raw: bytes, mode: str = "strict") -> tuple[Header, np.ndarray]:
+    h = header(raw, mode)
+    if len(raw) - h.offset != 4 * len(h.names) * h.rows:
+        raise ValueError("the payload's length differs from the header's")
+    data = np.frombuffer(raw, "<f4", offset=h.offset).reshape(h.rows, len(h.names))
+    if mode != "inspect" and not np.isfinite(data).all():
+        raise ValueError("a value isn't finite")
+    if mode in ("strict", "sh2") and h.rows:
+        quaternion = data[:, [h.names.index(f"rot_{i}") for i in range(4)]].astype(np.float64)
+        if (np.linalg.norm(quaternion, axis=1) < 1e-8).any():
+            raise ValueError("a quaternion is zero")
+    return h, data
+
+
+def read_ply(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
+    """row_id and the properties of a scene; of a folder's files, in the order of their names, one after the other.
+
+    Files are read by Spark, hence at most 2 GB each; larger scenes come as folders. Fields follow the first file.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    heads = files.select("path", F.substring("content", 1, 65_536).alias("head")).orderBy("path").collect()
+    if not heads:
+        raise ValueError("no file")
+    first, start = {}, 0
+    for r in heads:
+        h = header(bytes(r.head), mode)
+        first[r.path] = start
+        start += h.rows
+    names = header(bytes(heads[0].head), mode).names
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for where, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                h, data = rows_of(raw, mode)
+                if set(h.names) != set(names):
+                    raise ValueError("files of a scene differ in their properties")
+                order = [h.names.index(n) for n in names]
+                for a in range(0, h.rows, CHUNK):
+                    part = data[a : a + CHUNK]
+                    ids = pa.array(np.arange(first[where] + a, first[where] + a + len(part)))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(part[:, i])) for i in order)], ["row_id", *names])
+
+    schema = StructType([StructField("row_id", LongType()), *(StructField(n, FloatType()) for n in names)])
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def write_ply(rows: DataFrame, path: str, names: list[str] | None = None, normalise: bool = False, comments: tuple[str, ...] = ()) -> int:
+    """Write a scene in the order of row_id and return its rows; no row is an error.
+
+    Rows are sorted and packed by tasks; the driver copies one packed chunk at a time to the file, which takes
+    its name once it is whole. With ``normalise`` quaternions get length 1 and normals become 0.
+    """
+    names = names or [c for c in rows.columns if c != "row_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            data = np.stack([np.asarray(b.column(n)).astype("<f4") for n in names], axis=1) if b.num_rows else np.zeros((0, len(names)), "<f4")
+            if normalise:
+                q = [names.index(f"rot_{i}") for i in range(4)]
+                data[:, q] /= np.linalg.norm(data[:, q].astype(np.float64), axis=1, keepdims=True)
+                data[:, [i for i, n in enumerate(names) if n in ("nx", "ny", "nz")]] = 0
+            for a in range(0, len(data), CHUNK):
+                part = data[a : a + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([len(part)]), pa.array([part.tobytes()], pa.binary())], ["n", "data"])
+
+    spark = rows.sparkSession
+    ordered = rows.select("row_id", *names).orderBy("row_id")
+    total = rows.count()
+    if not total:
+        raise ValueError("a scene without rows isn't written")
+    lines = ["ply", "format binary_little_endian 1.0", *(f"comment {c}" for c in comments), f"element vertex {total}", *(f"property float {n}" for n in names), "end_header", ""]
+    jvm = spark._jvm
+    to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray("\n".join(lines).encode("ascii")))
+    written = 0
+    for r in ordered.mapInArrow(run, "n long, data binary").toLocalIterator():
+        out.write(bytearray(r.data))
+        written += r.n
+    out.close()
+    if written != total:
+        raise RuntimeError("rows changed while they were written")
+    if fs.exists(to):
+        fs.delete(to, False)
+    fs.rename(part, to)
+    return total
