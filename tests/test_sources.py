@@ -106,7 +106,7 @@ def test_neighbours_equal_brute_force(spark):
     p = rng.uniform(-20, 20, (80, 3))
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double, z double")
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
-    got = {(r.id, r["rank"]): r.other for r in neighbours.nearest(df, df, 3, 1.0, apart=True, doublings=2).collect()}
+    got = {(r.id, r["rank"]): r.other for r in neighbours.nearest(df, df, 3, 1.0, apart=True, rounds=2).collect()}
     for i in range(80):
         order = [j for j in np.lexsort((np.arange(80), d[i])) if j != i][:3]
         assert [got[i, k] for k in (1, 2, 3)] == order

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .captures import checkpointed
 from .stations import distance
 
 
@@ -34,24 +35,24 @@ def ball_count(queries: DataFrame, points: DataFrame, radius: float) -> DataFram
     return queries.select("id").join(found, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, apart: bool = False, doublings: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, apart: bool = False, rounds: int = 4) -> DataFrame:
     """id, other, distance and rank of the k nearest points of each query, ties by id.
 
     A query's result is complete once its k-th distance is no more than a cell, as nothing nearer lies outside
-    the adjoining cells. Others go on with cells twice as wide; those left after ``doublings`` meet all points
-    in a join that a broadcast of the rest serves.
+    the adjoining cells. Others go on with cells four times as wide; those left after ``rounds`` meet all
+    points in a join without cells. A round is a checkpoint, so that none is computed twice.
     """
     ranked = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
     out, rest = None, queries.select("id", "x", "y", "z")
-    for _ in range(doublings):
-        found = ranked(_pairs(rest, points, cell, apart))
+    for _ in range(rounds):
+        found = checkpointed(ranked(_pairs(rest, points, cell, apart)))
         full = found.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where((F.col("n") == k) & (F.col("far") <= cell)).select("id")
         done = found.join(full, "id", "left_semi")
         out = done if out is None else out.unionAll(done)
-        rest = rest.join(full, "id", "left_anti").persist()
+        rest = checkpointed(rest.join(full, "id", "left_anti"))
         if rest.isEmpty():
             return out
-        cell *= 2
+        cell *= 4
     p = points.select(F.col("id").alias("other"), *(F.col(c).alias(f"p{c}") for c in "xyz"))
     last = rest.join(p, (F.col("id") != F.col("other")) if apart else F.lit(True)).withColumn("distance", distance([F.col(c) for c in "xyz"], [F.col(f"p{c}") for c in "xyz"])).select("id", "other", "distance")
     return ranked(last) if out is None else out.unionAll(ranked(last))
@@ -81,4 +82,4 @@ def nearest_stations(queries: DataFrame, stations: DataFrame, k: int, epsilon: f
     d = queries.select("id", "x", "z").crossJoin(s).withColumn("d", F.sqrt((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz"))))
     w = Window.partitionBy("id").orderBy("d", "station_id")
     cut = d.withColumn("rank", F.row_number().over(w)).withColumn("cut", F.max(F.when(F.col("rank") <= k, F.col("d"))).over(Window.partitionBy("id")))
-    return cut.where(F.col("d") <= F.col("cut") * (1 + epsilon)).groupBy("id").agg(F.max(-F.col("sy")).alias("far_height"), F.count(F.lit(1)).alias("stations"))
+    return cut.where(F.col("d") <= F.col("cut") * (1 + epsilon)).groupBy("id").agg(F.max(0 - F.col("sy")).alias("far_height"), F.count(F.lit(1)).alias("stations"))

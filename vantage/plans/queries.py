@@ -234,7 +234,7 @@ def nearest_seeds(spark, sf_dir):
 
 @query("v_gaussian", f"""WITH {_ST}, r AS (SELECT g.row_id id, st.y sy, sqrt((st.x-g.x)*(st.x-g.x)+(st.z-g.z)*(st.z-g.z)) d, st.id s FROM v_gaussian g, st),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, s) rn FROM r), c AS (SELECT id, max(d) cut FROM k WHERE rn <= 3 GROUP BY id)
-SELECT r.id, round(max(-sy),6) far_height, count(*) stations FROM r JOIN c USING (id) WHERE d <= cut*(1+128*2.220446049250313e-16) GROUP BY r.id""")
+SELECT r.id, round(max(0-sy),6) far_height, count(*) stations FROM r JOIN c USING (id) WHERE d <= cut*(1+128*2.220446049250313e-16) GROUP BY r.id""")
 def nearest_stations(spark, sf_dir):
     g = view(spark, sf_dir, "v_gaussian").select(F.col("row_id").alias("id"), "x", "y", "z")
     s = _station_points(spark, sf_dir).withColumnRenamed("id", "station_id")
