@@ -98,6 +98,7 @@ def test_media_round_trip(spark):
         p = mpeg_media.pad(raw)
         want[i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert Counter(tuple(r)[:5] for r in got) == want
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mpeg_media.digest_texts(frame(spark, texts())).collect()))
 
 
 @pytest.mark.parametrize("size", [0, 1, 64, 937, 938, 5000])

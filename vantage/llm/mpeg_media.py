@@ -251,8 +251,16 @@ def encode_media(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            media = [write(pad(t), len(t)) for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(media, pa.binary())], ["doc_id", "media"])
+            ids, media, size = [], [], 0
+            for i, t in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text"))):
+                ids.append(i)
+                media.append(write(pad(t), len(t)))
+                size += len(media[-1])
+                if size >= 8 << 20:  # a batch of texts makes several batches of media
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
+                    ids, media, size = [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, media binary")
@@ -281,28 +289,52 @@ def probe_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, schema)
 
 
-def digest_media(media: DataFrame) -> DataFrame:
-    """Read the payloads back and digest them: the columns of the ``op2`` query.
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digest(doc_id: int | None, raw: bytes) -> tuple:
+    """Read a stored payload back and digest it.
 
     The feature is made of version, layer, rate, frames, samples, the duration as a fraction of seconds,
     verified checksums, and a CRC-32 of all seek offsets as little-endian 64-bit integers.
     """
+    import numpy as np
+
+    payload, a = read(raw)
+    h, t = a.heads[0], a.duration
+    seek = zlib.crc32(np.array(a.offsets, "<i8").tobytes())
+    feature = f"mpeg{NAMES[h.version]}-layer{h.layer};rate={h.rate};frames={len(a.offsets)};samples={a.samples};seconds={t.numerator}/{t.denominator};checked={a.checked - len(a.broken)};seek={seek:08x}"
+    return doc_id, int(a.tags["n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
+
+
+def _digests(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def digest_media(media: DataFrame) -> DataFrame:
+    """Digests (:func:`_digest`) of a table of :func:`encode_media`."""
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
+        for b in batches:
+            yield _digests([_digest(i, raw) for i, raw in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist())])
+
+    return media.mapInArrow(run, DIGEST)
+
+
+def digest_texts(docs: DataFrame) -> DataFrame:
+    """Store each text as :func:`encode_media` does, read the stored bytes back, and digest them.
+
+    A task holds the media of one text at a time, which never pass through the JVM.
+    """
 
+    def run(batches):
         for b in batches:
-            rows = []
-            for i, raw in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()):
-                payload, a = read(raw)
-                h, t = a.heads[0], a.duration
-                seek = zlib.crc32(np.array(a.offsets, "<i8").tobytes())
-                feature = f"mpeg{NAMES[h.version]}-layer{h.layer};rate={h.rate};frames={len(a.offsets)};samples={a.samples};seconds={t.numerator}/{t.denominator};checked={a.checked - len(a.broken)};seek={seek:08x}"
-                rows.append((i, int(a.tags["n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            texts = zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")))
+            yield _digests([_digest(i, write(pad(t), len(t))) for i, t in texts])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, DIGEST)

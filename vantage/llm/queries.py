@@ -20,7 +20,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_media.digest_media(mpeg_media.encode_media(documents(spark, sf_dir)))
+    return mpeg_media.digest_texts(documents(spark, sf_dir))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
