@@ -173,16 +173,22 @@ def _slots(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Indices of ``wanted`` in sorted ``keys``, which hold them all."""
-    bits = max(8, int(8 * len(keys)).bit_length())
-    spot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    table = np.zeros(1 << bits, np.int32)
-    table[spot(keys)] = np.arange(len(keys), dtype=np.int32)
-    out = table[spot(wanted)]
-    off = np.flatnonzero(keys[out] != wanted)
-    out[off] = np.searchsorted(keys, wanted[off])
-    return out
+class Finder:
+    """Indices in sorted distinct keys of keys that are all among them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(8, int(8 * len(keys)).bit_length())
+        self.table = np.zeros(1 << self.bits, np.int32)
+        self.table[self._spot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        out = self.table[self._spot(wanted)]
+        off = np.flatnonzero(self.keys[out] != wanted)
+        out[off] = np.searchsorted(self.keys, wanted[off])
+        return out
 
 
 _SENT = "block int, bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
@@ -195,7 +201,7 @@ def _block(table, buckets: int):
     return texts, words, by_bucket(set().union(*words), buckets), table.column("train").to_pylist()
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES * 3 // 4) -> DataFrame:
     """Score ``docs`` (doc_id, text), learning from rows whose crc32(doc_id as text) mod ``folds`` isn't ``held_out``.
 
     Returns doc_id, held_out, n_tokens and n_known (words and the end; of those, known from training),
@@ -219,8 +225,10 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
             if t:
                 counts.update(w)
         keys, starts = grams_of(texts)
-        flag = np.repeat(np.array(train, bool), np.diff(starts)).astype(np.uint64)
-        both = np.sort(keys << np.uint64(1) | flag)
+        keys <<= np.uint64(1)
+        keys |= np.repeat(np.array(train, bool), np.diff(starts))
+        keys.sort()
+        both = keys
         new = np.ones(len(both), bool)
         new[1:] = both[1:] >> np.uint64(1) != both[:-1] >> np.uint64(1)
         first = np.flatnonzero(new)
@@ -308,7 +316,9 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         value = np.log10(known + 1) - bottom
         end = math.log10(ends + 1) - bottom
         keys, starts = grams_of(texts)
-        own = np.unique(keys)
+        own = np.sort(keys)
+        own = own[np.append(True, own[1:] != own[:-1])]
+        find = Finder(own)
         slot = _slots(own, buckets)
         log10 = np.zeros(len(own), np.float32)
         for k, (_, g) in got.items():
@@ -318,7 +328,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         scores = []
         for a in range(0, len(starts) - 1, 256):
             cut = starts[a : a + 257]
-            part = log10[_find(own, keys[cut[0] : cut[-1]])].astype(np.float64)
+            part = log10[find(keys[cut[0] : cut[-1]])].astype(np.float64)
             scores.append(np.add.reduceat(part, cut[:-1] - cut[0]))
         scores = np.concatenate(scores)
         n, n_known, base = [], [], []
