@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import capture, geo
-from ..operators import captures, evidence, gaussians, graph, lineage, neighbours, observations, pairs, quality, raster, stations
+from ..operators import alignment, captures, evidence, gates, gaussians, graph, lineage, neighbours, observations, pairs, quality, raster, sampling, sky, stations
+from ..operators import projection as reprojection
 from ..sources.views import duck, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,3 +621,95 @@ def central_station(spark, sf_dir):
 def up_axis(spark, sf_dir):
     c = view(spark, sf_dir, "v_camera").withColumn("cy", F.col("cy") + 20)
     return stations.up_axis(c, "cx", "cy", "cz").select(_r("mx", F.col("m_cx")), _r("my", F.col("m_cy")), _r("mz", F.col("m_cz")), "consistent")
+
+
+_SQUARE = "JOIN mk b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1"
+
+
+@query("", f"WITH {_MASK}, d AS (SELECT a.x, a.y, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) q FROM mk a JOIN mk b ON NOT b.\"valid\" GROUP BY a.x, a.y) SELECT x, y, round(sqrt(least(q,(x+1)*(x+1),(48-x)*(48-x),(y+1)*(y+1),(32-y)*(32-y))),6) distance FROM d")
+def mask_distance(spark, sf_dir):
+    return sky.mask_distance(_mask(spark).withColumn("flag", F.col("valid")), 48, 32).select("x", "y", _r("distance"))
+
+
+@query("", f"WITH {_MASK} SELECT a.x, a.y, a.\"valid\" AND a.depth>0 AND NOT a.flag AND (max(b.depth)-min(b.depth))/greatest(a.depth,1e-8::DOUBLE)<=0.9::DOUBLE accepted FROM mk a {_SQUARE} GROUP BY a.x, a.y, a.\"valid\", a.depth, a.flag")
+def depth_evidence(spark, sf_dir):
+    m = _mask(spark).select("image", "x", "y", "depth", F.lit(0.1).alias("sky"), F.col("valid").alias("usable"), F.col("flag").alias("edited"))
+    return sky.depth_evidence(m, edge=0.9).select("x", "y", "accepted")
+
+
+@query("v_gaussian", f"WITH {_MASK}, p AS (SELECT row_id, fmod(abs(x),46) mx, fmod(abs(y),30) my FROM v_gaussian) SELECT row_id, bool_and(\"valid\") supported FROM p JOIN mk ON (mk.x=floor(mx) OR mk.x=ceil(mx)) AND (mk.y=floor(my) OR mk.y=ceil(my)) GROUP BY row_id")
+def bilinear_support(spark, sf_dir):
+    p = view(spark, sf_dir, "v_gaussian").select("row_id", F.lit("a").alias("image"), (F.abs("x") % 46).alias("mx"), (F.abs("y") % 30).alias("my"))
+    return reprojection.bilinear_support(p, _mask(spark).withColumn("flag", F.col("valid")), ["row_id"])
+
+
+@query("v_capture", """WITH p AS (SELECT pano_id, lat, lng, CASE WHEN pano_id%3=0 THEN NULL ELSE CAST(pano_id%50 AS DOUBLE) END alt FROM v_capture),
+o AS (SELECT median(lat) lat0, degrees(atan2(avg(sin(radians(lng))),avg(cos(radians(lng))))) lng0, median(alt) alt0 FROM p),
+e AS (SELECT pano_id, alt IS NOT NULL known, radians(lat0) la, radians(lng0) lo, 6378137.0::DOUBLE/sqrt(1-6.6943799901413165e-3::DOUBLE*pow(sin(radians(lat)),2)) n, 6378137.0::DOUBLE/sqrt(1-6.6943799901413165e-3::DOUBLE*pow(sin(radians(lat0)),2)) n0, radians(lat) a, radians(lng) b, coalesce(alt,alt0) h, alt0 FROM p, o),
+d AS (SELECT *, (n+h)*cos(a)*cos(b)-(n0+alt0)*cos(la)*cos(lo) dx, (n+h)*cos(a)*sin(b)-(n0+alt0)*cos(la)*sin(lo) dy, (n*(1-6.6943799901413165e-3::DOUBLE)+h)*sin(a)-(n0*(1-6.6943799901413165e-3::DOUBLE)+alt0)*sin(la) dz FROM e)
+SELECT pano_id, round(-sin(lo)*dx+cos(lo)*dy,3) east, round(-sin(la)*cos(lo)*dx-sin(la)*sin(lo)*dy+cos(la)*dz,3) north, CASE WHEN known THEN round(cos(la)*cos(lo)*dx+cos(la)*sin(lo)*dy+sin(la)*dz,3) ELSE 0 END up, known FROM d""")
+def local_frame(spark, sf_dir):
+    p = view(spark, sf_dir, "v_capture").select("pano_id", "lat", "lng", F.when(F.col("pano_id") % 3 != 0, (F.col("pano_id") % 50).cast("double")).alias("altitude"))
+    return alignment.local_frame(p, "pano_id").select("pano_id", *(_r(c, digits=3) for c in ("east", "north", "up")), "known")
+
+
+@query("v_camera", "WITH s AS (SELECT station_id, avg(cx) x, avg(cy) y, avg(cz) z FROM v_camera GROUP BY 1), t AS (SELECT *, x*2+y kx, y*2 ky, z*2-x kz FROM s), r AS (SELECT sqrt(pow(a.kx-b.kx,2)+pow(a.ky-b.ky,2)+pow(a.kz-b.kz,2))/sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) r FROM t a JOIN t b ON a.station_id<b.station_id) SELECT round(median(r),6) scale, round(min(r),6) least, round(max(r),6) greatest, count(*) pairs FROM r")
+def baseline_scale(spark, sf_dir):
+    s = stations.centres(view(spark, sf_dir, "v_camera")).withColumnsRenamed({f"c{c}": c for c in "xyz"})
+    known = s.withColumns({"kx": F.col("x") * 2 + F.col("y"), "ky": F.col("y") * 2, "kz": F.col("z") * 2 - F.col("x")})
+    return alignment.baseline_scale(known).select(_r("scale"), _r("least"), _r("greatest"), "pairs")
+
+
+@query("v_observation", """WITH p AS (SELECT point_id, station_id, bool_or(k<>0) seen, bool_or(k=0) bad, avg(CASE WHEN k<>0 THEN r END) r, avg(CASE WHEN k<>0 THEN g END) g FROM (SELECT point_id, station_id, support_station_count+angle_deg k, depth_z/50 r, reprojection_error_px/3 g FROM (SELECT point_id, station_id, support_station_count-1 support_station_count, angle_deg, depth_z, reprojection_error_px FROM v_observation)) GROUP BY 1,2),
+m AS (SELECT point_id, count(*) FILTER (seen) support, count(*) FILTER (bad) negatives, median(r) FILTER (seen) red, median(g) FILTER (seen) green, min(r) r0, max(r) r1, min(g) g0, max(g) g1 FROM p GROUP BY 1)
+SELECT point_id, support, negatives, round(red,6) red, round(green,6) green, coalesce(support>=2 AND negatives=0 AND greatest(r1-red,red-r0,g1-green,green-g0)<=0.35::DOUBLE, false) accepted FROM m""")
+def colour_consensus(spark, sf_dir):
+    hits = F.col("support_station_count") - 1 + F.col("angle_deg")
+    o = view(spark, sf_dir, "v_observation").select(F.col("point_id").alias("row_id"), "station_id", (hits != 0).alias("positive"), (hits == 0).alias("conflict"), (F.col("depth_z") / 50).alias("red"), (F.col("reprojection_error_px") / 3).alias("green"))
+    return sky.colour_consensus(o.withColumn("blue", F.col("green")), 2, spread=0.35).select(F.col("row_id").alias("point_id"), "support", "negatives", _r("red"), _r("green"), "accepted")
+
+
+@query("v_observation", "SELECT support_station_count source_count, count(*) pixels FROM v_observation WHERE angle_deg>=2 GROUP BY 1")
+def source_counts(spark, sf_dir):
+    o = view(spark, sf_dir, "v_observation").select(F.col("support_station_count").alias("source_count"), (F.col("angle_deg") >= 2).alias("accepted"))
+    return sky.source_counts(o)
+
+
+@query("v_observation", "SELECT split concept, count(*) candidates, count(*) FILTER (angle_deg>=2) accepted, round(max(depth_z) FILTER (angle_deg>=2),6) best FROM v_observation GROUP BY 1")
+def concept_tallies(spark, sf_dir):
+    o = view(spark, sf_dir, "v_observation").select(F.col("split").alias("concept"), (F.col("angle_deg") >= 2).alias("accepted"), F.col("depth_z").alias("score"))
+    return sky.concept_tallies(o).withColumn("best", _r("best"))
+
+
+@query("v_observation", "SELECT station_id, round(sum(angle_deg*depth_z)/greatest(sum(angle_deg),1e-12::DOUBLE),6) loss FROM v_observation GROUP BY 1")
+def weighted_loss(spark, sf_dir):
+    return sky.weighted_loss(view(spark, sf_dir, "v_observation"), ["station_id"], F.col("depth_z"), F.col("angle_deg")).withColumn("loss", _r("loss"))
+
+
+@query("v_observation", "SELECT DISTINCT point_id, CAST('0x'||substr(sha256('7:'||CAST(point_id AS VARCHAR)),1,13) AS BIGINT) < CAST(0.8::DOUBLE*4503599627370496 AS BIGINT) fit FROM v_observation")
+def point_split(spark, sf_dir):
+    p = view(spark, sf_dir, "v_observation").select("point_id").distinct()
+    return p.select("point_id", sampling.point_split_sha(F.col("point_id"), 7, 0.8).alias("fit"))
+
+
+@query("v_capture", "SELECT pano_id FROM v_capture ORDER BY sha256('7:'||CAST(pano_id AS VARCHAR)), pano_id LIMIT 100")
+def seeded_subsample(spark, sf_dir):
+    return sampling.subsample(view(spark, sf_dir, "v_capture").select("pano_id"), "pano_id", 7, 100)
+
+
+@query("v_link", "WITH n AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst)-1 i, count(*) OVER (PARTITION BY src) n FROM v_link), s AS (SELECT src, n, k FROM (SELECT DISTINCT src, n FROM n), range(4) r(k) WHERE k<least(n,4)) SELECT DISTINCT n.src, dst FROM n JOIN s ON n.src=s.src AND i=(k*(n.n-1))//greatest(1,least(n.n,4)-1)")
+def evenly_spaced(spark, sf_dir):
+    return sampling.evenly_spaced(view(spark, sf_dir, "v_link"), "src", "dst", 4)
+
+
+@query("v_observation", "WITH s AS (SELECT station_id, count(DISTINCT split) n FROM v_observation GROUP BY 1), f AS (SELECT source_row, count(*) n FROM v_observation GROUP BY 1) SELECT (SELECT count(*) FILTER (n>1) FROM s) leaked_stations, (SELECT count(*) FILTER (n>1) FROM f) repeated_frames, CAST(0 AS BIGINT) unknown_splits")
+def split_faults(spark, sf_dir):
+    return gates.split_faults(view(spark, sf_dir, "v_observation").select(F.col("source_row").alias("frame"), "station_id", "split"))
+
+
+@query("v_view_metric", """WITH c AS (SELECT CASE category WHEN 'A' THEN 'all' WHEN 'N' THEN 'sky' ELSE 'foreground' END category, station_id, sp, greatest(before_sse,sp*1e-12::DOUBLE) b, greatest(after_sse,sp*1e-12::DOUBLE) a, before_sse, after_sse, new_hole_pixels h FROM (SELECT *, static_pixels sp FROM v_view_metric) q WHERE sp>0)
+SELECT category, CAST(sum(sp) AS BIGINT) pixels, count(DISTINCT station_id) stations, round(max(10*log10(a/b)),6) worst_loss, round(10*log10(sum(after_sse)/sum(before_sse)),6) pooled_loss, CAST(sum(h) AS BIGINT) new_holes FROM c GROUP BY 1""")
+def sky_guards(spark, sf_dir):
+    m = view(spark, sf_dir, "v_view_metric").withColumn("category", F.when(F.col("category") == "A", "all").when(F.col("category") == "N", "sky").otherwise("foreground"))
+    m = m.withColumnsRenamed({"static_pixels": "pixels", "new_hole_pixels": "new_holes"}).withColumns({"before_covered": F.col("pixels"), "after_covered": F.col("pixels")})
+    return gates.sky_guards(m).select("category", "pixels", "stations", _r("worst_loss"), _r("pooled_loss"), "new_holes")
