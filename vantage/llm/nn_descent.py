@@ -3,7 +3,9 @@
 A first neighbour graph comes from random hyperplanes: vectors of one code are compared in chunks of bounded
 size, under several tables of hyperplanes. Rounds then join each vector's neighbours with their neighbours and
 keep the best. Edges at the threshold make components. A vector's list is limited, and in a dense group it is
-saturated; so lists are enlarged to the whole component, in tiles of bounded size, which gives exact counts.
+saturated; so components with saturated lists are compared with one another, in tiles of bounded size whose
+centres and radii say which tiles can hold a link, and lists are enlarged to the whole component, in tiles too,
+which gives exact counts.
 An audit of a bounded sample against all vectors measures recall, and the search goes on with more tables
 while it is too low.
 """
@@ -21,6 +23,8 @@ from .components import components
 
 #: Vectors compared with one another at once.
 CHUNK = 512
+#: Points of a block where blocks are compared.
+BLOCK = 2048
 
 
 def _matrix(column) -> np.ndarray:
@@ -118,6 +122,73 @@ def _refined(graph: DataFrame, units: DataFrame, k: int, threshold: float) -> Da
     return _best(graph.unionAll(both.select("id", "to", "a", "b").mapInArrow(compare, f"id long, near {_NEAR}")), k)
 
 
+def _close(points: DataFrame, threshold: float) -> DataFrame:
+    """a and b of the points (id, component, size, unit, radius) of different components that hold a link or may.
+
+    Points of radius 0 are vectors, and compared exactly; others stand for the vectors within that angle. All
+    points are compared, block by block.
+    """
+    blocks = max(1, math.ceil(points.count() / BLOCK))
+    own = points.withColumn("own", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(blocks)).cast("int"))
+    first = own.select("*", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
+    second = own.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    angle = math.acos(max(-1.0, min(1.0, threshold)))
+
+    def compare(table):
+        import pyarrow as pa
+
+        side, ids, group, radius = (table.column(c).to_numpy() for c in ("side", "id", "component", "radius"))
+        x = _matrix(table.column("unit"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = radius[a][:, None] + radius[b][None, :]
+        least = np.where(both == 0, threshold, np.cos(np.minimum(angle + both, np.pi)))
+        hit = (x[a] @ x[b].T >= least) & (group[a][:, None] != group[b][None, :])
+        if len(a) and table.column("i")[0] == table.column("j")[0]:
+            hit &= ids[a][:, None] < ids[b][None, :]
+        i, j = np.nonzero(hit)
+        return pa.table({"a": pa.array(ids[a[i]], pa.int64()), "b": pa.array(ids[b[j]], pa.int64())})
+
+    return first.unionAll(second).select("size", "i", "j", "side", "id", "component", "radius", "unit").groupBy("size", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _across(graph: DataFrame, members: DataFrame, units: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between the components that hold saturated lists, at least one for two components with a link.
+
+    A list of k neighbours at the threshold may leave out further ones, hence all links to another component.
+    """
+    full = graph.where((F.size("near") >= k) & (F.element_at("near", k)["sim"] >= round(threshold * 1e6))).select("id")
+    own = members.join(members.join(full, "id", "left_semi").select("component").distinct(), "component", "left_semi")
+    tiles = own.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("tiles"))
+    own = own.join(tiles, "component").withColumn("piece", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")))
+    named = own.groupBy("component", "piece").agg(F.min("id").alias("tile"))
+    tiled = stored(own.join(named, ["component", "piece"]).join(units.select("id", "size", "unit"), "id").select("tile", "component", "id", "size", "unit"), "tiled")
+
+    def centre(table):
+        import pyarrow as pa
+
+        x = _matrix(table.column("unit"))
+        mean = x.mean(axis=0)
+        norm = np.linalg.norm(mean)
+        c = mean / norm if norm > 1e-6 else x[0]
+        # The angle by its chord, which is exact for small ones too.
+        far = 2 * np.arcsin(np.minimum(np.linalg.norm(x - c, axis=1).max() / 2, 1.0)) + 1e-6
+        return pa.table({"id": table.column("tile")[:1], "component": table.column("component")[:1], "size": table.column("size")[:1], "unit": pa.array([c.tolist()], pa.list_(pa.float64())), "radius": pa.array([far])})
+
+    centres = stored(tiled.groupBy("tile").applyInArrow(centre, "id long, component long, size int, unit array<double>, radius double"), "centres")
+    pairs = stored(_close(centres, threshold), "pairs")
+
+    def link(table):
+        import pyarrow as pa
+
+        side, ids, x = table.column("side").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("unit"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = np.nonzero(x[a] @ x[b].T >= threshold)
+        return pa.table({"a": pa.array(ids[a[i[:1]]], pa.int64()), "b": pa.array(ids[b[j[:1]]], pa.int64())})
+
+    sides = [pairs.join(tiled, F.col(c) == F.col("tile")).select("a", "b", F.lit(n).alias("side"), "id", "unit") for n, c in enumerate("ab")]
+    return sides[0].unionAll(sides[1]).groupBy("a", "b").applyInArrow(link, "a long, b long")
+
+
 def _counts(members: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """id and linked (copies of the other classes at the threshold) within each component, in tiles."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("tiles"))
@@ -184,7 +255,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 10, ta
             graph = stored(_refined(graph, units, k, threshold), "graph")
         seen += tables
         edges = graph.select("id", F.explode("near").alias("x")).where(F.col("x.sim") >= round(threshold * 1e6))
-        members = stored(components(edges.select(F.col("id").alias("a"), F.col("x.id").alias("b"))), "members")
+        links = edges.select(F.col("id").alias("a"), F.col("x.id").alias("b"))
+        members = stored(components(links), "members")
+        across = stored(_across(graph, members, units, k, threshold), "across")
+        if not across.isEmpty():
+            members = stored(components(links.unionAll(across)), "members")
         counts = stored(_counts(members, units, threshold), "counts")
         if truth is None:
             truth = stored(vectors.sparkSession.createDataFrame(_audit(units, sample, threshold), "id long, links long"), "truth")
