@@ -6,8 +6,10 @@ keep the best. Edges at the threshold make components. A vector's list is limite
 saturated; so components with saturated lists are compared with one another, in tiles of bounded size whose
 centres and radii say which tiles can hold a link, and lists are enlarged to the whole component, in tiles too,
 which gives exact counts.
-An audit of a bounded sample against all vectors measures recall, and the search goes on with more tables
-while it is too low.
+The number of tables follows from the number of vectors and the threshold, and rounds go on until the links of
+unsaturated lists stay the same. An audit of a bounded sample against all vectors measures recall vector by
+vector, apart for few and many links; the search goes on with more tables while either is too low, and at last
+all vectors are compared exactly, block by block.
 """
 
 from __future__ import annotations
@@ -190,7 +192,7 @@ def _across(graph: DataFrame, members: DataFrame, units: DataFrame, k: int, thre
 
 
 def _counts(members: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """id and linked (copies of the other classes at the threshold) within each component, in tiles."""
+    """id, linked (copies of the other classes at the threshold) and links (those classes) within each component, in tiles."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("tiles"))
     own = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("tiles")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -204,10 +206,10 @@ def _counts(members: DataFrame, units: DataFrame, threshold: float) -> DataFrame
         x = _matrix(table.column("unit"))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         near = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
-        return pa.table({"id": pa.array(ids[a], pa.int64()), "linked": pa.array(near @ n[b].astype(np.int64), pa.int64())})
+        return pa.table({"id": pa.array(ids[a], pa.int64()), "linked": pa.array(near @ n[b].astype(np.int64), pa.int64()), "links": pa.array(near.sum(axis=1), pa.int64())})
 
     full = placed.join(units.select("id", "n", "unit"), "id").select("component", "i", "j", "side", "id", "n", "unit")
-    return full.groupBy("component", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return full.groupBy("component", "i", "j").applyInArrow(count, "id long, linked long, links long").groupBy("id").agg(F.sum("linked").alias("linked"), F.sum("links").alias("links"))
 
 
 def _audit(units: DataFrame, sample: int, threshold: float) -> list[tuple[int, int]]:
@@ -226,13 +228,38 @@ def _audit(units: DataFrame, sample: int, threshold: float) -> list[tuple[int, i
                 if size in by_size:
                     at = np.flatnonzero(sizes == size)
                     rows, q = by_size[size]
-                    total[rows] += ((q @ _matrix(b.column("unit").take(pa.array(at))).T >= threshold) & (ids[rows][:, None] != own[at][None, :])).sum(axis=1)
+                    total[rows] += ((q @ _matrix(b.column("unit").take(pa.array(at))).T >= threshold + 1e-12) & (ids[rows][:, None] != own[at][None, :])).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], ["id", "links"])
 
     found = units.select("id", "size", "unit").mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
     return [(r.id, r.links) for r in found.collect()] if asked else []
 
 
+def _tables(bits: int, threshold: float, recall: float, least: int) -> int:
+    """Tables in which a pair at the threshold shares a code with probability ``recall``; ``least`` at least."""
+    alike = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    if alike >= 1 or recall <= 0:
+        return least
+    if alike <= 0 or recall >= 1:
+        return 1 << 30
+    return max(least, min(1 << 30, math.ceil(math.log(1 - recall) / math.log1p(-alike))))
+
+
+def _mark(graph: DataFrame, k: int, threshold: float) -> tuple:
+    """What changes with the links of unsaturated lists; saturated ones are compared in tiles anyway."""
+    at = round(threshold * 1e6)
+    near = F.filter("near", lambda x: x["sim"] >= at)
+    held = graph.select("id", near.alias("near")).where(F.size("near").between(1, k - 1))
+    return tuple(held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "near").cast("decimal(38,0)"))).first())
+
+
+def _recalled(truth: DataFrame, counts: DataFrame, k: int) -> float:
+    """The lower of the mean recalls of audited classes with fewer than ``k`` links and of the others; 1 without any."""
+    each = truth.where("links > 0").join(counts.select("id", F.col("links").alias("have")), "id", "left")
+    mean = each.groupBy((F.col("links") < k).alias("few")).agg(F.avg(F.least(F.lit(1.0), F.coalesce("have", F.lit(0)) / F.col("links"))).alias("mean"))
+    return min((r["mean"] for r in mean.collect()), default=1.0)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 10, tables: int = 16, rounds: int = 2, sample: int = 256, recall: float = 0.999) -> DataFrame:
     """Near-duplicate groups of ``vectors`` (vec_id, embedding) by cosine.
 
@@ -247,27 +274,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 10, ta
     bits = max(0, math.ceil(math.log2(max(total, 1) / 64)))
     # Neighbours that are far from the threshold don't lead to any at it.
     floor = threshold - 0.35 if threshold > 0 else -1.0
+    step, most = _tables(bits, threshold, recall, tables), 8 * tables
     truth, seen, graph = None, 0, None
+    # Where codes of any bounded number of tables miss too many pairs, only the exact comparison is left.
+    whole = step > most
+    step = min(step, most)
     while True:
-        lists = _first(units, range(seen, seen + tables), bits, k, threshold, floor)
+        lists = _first(units, range(seen, seen + step), bits, k, threshold, floor)
         graph = stored(_best(lists if graph is None else graph.unionAll(lists), k), "graph")
-        for _ in range(rounds):
+        done, mark = 0, None
+        while done < rounds or mark != (mark := _mark(graph, k, threshold)):
             graph = stored(_refined(graph, units, k, threshold), "graph")
-        seen += tables
+            done += 1
+        seen, step = seen + step, tables
         edges = graph.select("id", F.explode("near").alias("x")).where(F.col("x.sim") >= round(threshold * 1e6))
         links = edges.select(F.col("id").alias("a"), F.col("x.id").alias("b"))
         members = stored(components(links), "members")
         across = stored(_across(graph, members, units, k, threshold), "across")
         if not across.isEmpty():
-            members = stored(components(links.unionAll(across)), "members")
-        counts = stored(_counts(members, units, threshold), "counts")
-        if truth is None:
-            truth = stored(vectors.sparkSession.createDataFrame(_audit(units, sample, threshold), "id long, links long"), "truth")
-        # Classes, not copies, are audited: the counts of the components' members without their multiplicity.
-        wanted = truth.agg(F.sum("links")).first()[0] or 0
-        got = truth.join(members, "id").join(members.withColumnRenamed("id", "other"), "component").where("id <> other").join(units.select("id", F.col("unit").alias("a")), "id").join(units.select(F.col("id").alias("other"), F.col("unit").alias("b")), "other")
-        have = got.where(F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= threshold - 1e-12).count()
-        if have >= recall * wanted or seen >= 8 * tables:
+            links = links.unionAll(across)
+            members = stored(components(links), "members")
+        if not whole:
+            counts = stored(_counts(members, units, threshold), "counts")
+            if truth is None:
+                truth = stored(vectors.sparkSession.createDataFrame(_audit(units, sample, threshold), "id long, links long"), "truth")
+            if _recalled(truth, counts, k) >= recall:
+                break
+            whole = seen >= most
+        if whole:
+            points = units.join(members, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "size", "unit", F.lit(0.0).alias("radius"))
+            members = stored(components(links.unionAll(_close(points, threshold))), "members")
+            counts = stored(_counts(members, units, threshold), "counts")
             break
     ids = units.select("id", "n").join(counts, "id", "left").join(members, "id", "left")
     wide = F.col("embedding").cast("array<double>")
