@@ -42,6 +42,24 @@ def test_complete_link(spark):
     assert len(rows) == len({r.id for r in rows}) and all(r.group_id <= r.id for r in rows)
 
 
+def test_connected_whole(spark, con):
+    """Every link of v_link counts: a union-find over all of them gives the same components."""
+    from vantage.sources.views import duck
+
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in con.sql(f"WITH {duck('v_link')} SELECT src, dst FROM v_link WHERE src <> dst").fetchall():
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = QUERIES["connected_whole"](spark, SF).collect()
+    assert sorted(tuple(r) for r in got) == sorted((x, root(x)) for x in up)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -477,6 +477,13 @@ def connected(spark, sf_dir):
     return graph.connected(l)
 
 
+@query()
+def connected_whole(spark, sf_dir):
+    """All of v_link, which recursive SQL is too slow for; tests hold it against a union-find."""
+    l = view(spark, sf_dir, "v_link").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return graph.connected(l)
+
+
 @query()
 def complete_link(spark, sf_dir):
     c = view(spark, sf_dir, "v_capture").select(F.col("pano_id").alias("id"), "lat", "lng")
