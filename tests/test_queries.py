@@ -60,6 +60,38 @@ def test_connected_whole(spark, con):
     assert sorted(tuple(r) for r in got) == sorted((x, root(x)) for x in up)
 
 
+def test_projection_whole(spark):
+    """All stations by brute force in numpy, one after another: views, station votes and label votes."""
+    import numpy as np
+    from vantage.sources.views import duck
+
+    sf, con = SF.replace("sf0.001", "sf0.01"), duckdb.connect()  # more stations than the SQL keeps
+    for t in ("supplier", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    head = f"WITH {duck('v_gaussian', 'v_camera')} "
+    ids, x, y, z = (np.array(c) for c in zip(*con.sql(head + "SELECT row_id, x, y, z FROM v_gaussian").fetchall()))
+    free, support, sky, ground, views = ({int(i): 0 for i in ids} for _ in range(5))
+    for station, cx, cy, cz, faces in con.sql(head + "SELECT station_id, cx, cy, cz, count(*) FROM v_camera GROUP BY ALL").fetchall():
+        with np.errstate(divide="ignore", invalid="ignore"):
+            depth = z - cz
+            u, v = 128 * (x - cx) / depth + 128, 128 * (y - cy) / depth + 64
+        for i in np.flatnonzero((depth > 0) & (u >= 0) & (u < 256) & (v >= 0) & (v < 128)):
+            k = int(ids[i])
+            views[k] += faces
+            free[k] += int(depth[i] < 6)
+            support[k] += int(6 <= depth[i] <= 9)
+            sky[k] += int(v[i] < 64)
+            ground[k] += int(v[i] >= 64)
+    assert con.sql(head + "SELECT count(DISTINCT station_id) FROM v_camera WHERE station_id > 20").fetchall()[0][0] > 0
+    some = [k for k in views if views[k]]
+    got = QUERIES["projection_whole"](spark, sf).groupBy("row_id").count().collect()
+    assert {r.row_id: r["count"] for r in got} == {k: views[k] for k in some}
+    got = QUERIES["station_votes_whole"](spark, sf).collect()
+    assert {r.row_id: (r.free, r.support, r.remove) for r in got} == {k: (free[k], support[k], free[k] >= 3 and support[k] == 0) for k in some}
+    got = QUERIES["label_votes_whole"](spark, sf).collect()
+    assert {r.row_id: (r.sky_votes, r.ground_votes) for r in got} == {k: (sky[k], ground[k]) for k in some}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -426,13 +426,41 @@ _SEEN = f"{_PROJ}, e AS (SELECT row_id, station_id, depth < 6 fr, depth BETWEEN
 
 @query("v_gaussian v_camera", f"WITH {_SEEN} SELECT row_id, count(*) FILTER (fr) \"free\", count(*) FILTER (su) support, count(*) FILTER (fr)>=3 AND count(*) FILTER (su)=0 AS remove FROM w GROUP BY row_id")
 def station_votes(spark, sf_dir):
-    s = _seen(spark, sf_dir).select("row_id", "station_id", (F.col("depth") < 6).alias("free"), F.col("depth").between(6, 9).alias("support"), (F.col("depth") > 20).alias("blocked"))
-    return evidence.selection(evidence.station_votes(s))
+    return _station_votes(_seen(spark, sf_dir))
 
 
 @query("v_gaussian v_camera", f"WITH {_PROJ}, l AS (SELECT row_id, station_id, bool_or(v<64) sky, bool_or(v>=64) ground FROM s GROUP BY ALL) SELECT row_id, count(*) FILTER (sky) sky_votes, count(*) FILTER (ground) ground_votes FROM l GROUP BY row_id")
 def label_votes(spark, sf_dir):
-    return evidence.label_votes(_seen(spark, sf_dir).withColumn("label", F.when(F.col("v") < 64, "sky").otherwise("ground")), ["sky", "ground"])
+    return _label_votes(_seen(spark, sf_dir))
+
+
+def _seen_whole(spark, sf_dir):
+    """The views of all stations; the product is too slow for the SQL, which keeps the first few."""
+    return evidence.projected(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera"), 128.0, 256, 128)
+
+
+def _station_votes(seen):
+    s = seen.select("row_id", "station_id", (F.col("depth") < 6).alias("free"), F.col("depth").between(6, 9).alias("support"), (F.col("depth") > 20).alias("blocked"))
+    return evidence.selection(evidence.station_votes(s))
+
+
+def _label_votes(seen):
+    return evidence.label_votes(seen.withColumn("label", F.when(F.col("v") < 64, "sky").otherwise("ground")), ["sky", "ground"])
+
+
+@query()
+def projection_whole(spark, sf_dir):
+    return _seen_whole(spark, sf_dir).select("row_id", "frame_name", _r("u", digits=4), _r("v", digits=4), _r("depth"))
+
+
+@query()
+def station_votes_whole(spark, sf_dir):
+    return _station_votes(_seen_whole(spark, sf_dir))
+
+
+@query()
+def label_votes_whole(spark, sf_dir):
+    return _label_votes(_seen_whole(spark, sf_dir))
 
 
 _PIX = "px AS (SELECT 'a' frame_name, CAST(i%96 AS BIGINT) ix, CAST(i//96 AS BIGINT) iy, (i*7919)%13<>0 \"valid\", CAST((i*31)%97 AS DOUBLE) depth FROM range(0,96*64) t(i))"
