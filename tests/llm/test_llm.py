@@ -426,6 +426,23 @@ def test_collisions_are_retried(spark):
     assert to not in new and new[0] != new[1]
 
 
+def test_collisions_end_in_crowded_formats(spark, monkeypatch):
+    """Two-letter surnames: with 300 of 676 taken all find a free one; with all 676 taken there is no room, which is an error."""
+    names = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    kind = "kind string, id string, entity string"
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([("name", x, f"Mr {x.capitalize()}") for x in names[::2][:300]], kind)
+    again = {r.id: r.attempt for r in pii.retried(few, "k").collect()}
+    got = few.join(spark.createDataFrame(list(again.items()), "id string, attempt int"), "id", "left").fillna(0, ["attempt"])
+    to = [r.s[3:].lower() for r in got.select(pii.surrogate(F.col("entity"), F.col("kind"), "k", F.col("attempt")).alias("s")).collect()]
+    assert len(set(to)) == 300 and not set(to) & set(names[::2][:300])
+    monkeypatch.setattr(pii, "MOST_TRIED", 5000)
+    many = spark.createDataFrame([("name", x, f"Mr {x.capitalize()}") for x in names], kind)
+    with pytest.raises(ValueError, match="entities .name."):
+        pii.retried(many, "k")
+
+
 def test_empty_tables(spark):
     docs = frame(spark, texts()).limit(0)
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")

@@ -5,7 +5,7 @@ leaves open: letters stay letters of their script and case, digits stay digits,
 network whose rounds draw on SHA-256, so that one entity gets one surrogate wherever it stands (coreference) and
 two entities never get the same (distinctness). Lists of given names are permuted within gender and script. A
 collision check over all entities finds surrogates that are someone's real data; those entities are permuted
-once more, under another tweak, until none is left.
+once more, under another tweak, until none is left. Where a format has no free values for them, that is an error.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ PATTERNS = {
 #: Patterns by what they start with, so that most places are passed over at once.
 _STARTS = {"[A-Z]": ("access_key", "iban"), "[spgx]": ("api_key",), "[0-9a-f]": ("hex_secret",), "[0-9+(]": ("phone", "card", "ssn", "ip"), f"[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]": ("name",)}
 ENTITY = "|".join([f"(?:{PATTERNS['email']})", *(f"(?={start})(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in kinds)})" for start, kinds in _STARTS.items())])
+#: Surrogates tried in one round for entities that found none before.
+MOST_TRIED = 1 << 20
 #: What a text with an entity has at least; cheap to look for.
 _HINT = rf"[@0-9]|{list(_STARTS)[-1]}(?:{'|'.join(sorted({t[1:] for t in TITLES.split('|')}))})\.? \p{{Lu}}|[spgx](?:k|ho|hp|hs|oxb|oxp)[-_]|A[KS]IA"
 
@@ -207,20 +209,38 @@ def entities(docs: DataFrame) -> DataFrame:
 def retried(known: DataFrame, key: str, attempts: int = 4) -> DataFrame:
     """kind, id and attempt (1 or more) of the entities whose first surrogate collides.
 
-    A collision is a surrogate that is a real entity of the corpus or the surrogate of another entity. Each
-    round gives colliding entities the next attempt. ``known`` is what :func:`entities` returns.
+    A collision is a surrogate that is a real entity of the corpus or the surrogate of another entity. Of entities
+    with one surrogate the one of the smallest id keeps it; the others get the least attempt whose surrogate is free,
+    among the next ``attempts``, and twice as many after a round that settled none. ValueError names how many are left
+    where that many attempts find no free value: their format's space is full. ``known`` is what :func:`entities` returns.
     """
     real = known.select("kind", F.col("id").alias("new"))
-    now = known.withColumn("attempt", F.lit(0))
-    for _ in range(attempts):
+
+    def tried(left: DataFrame, first: int, n: int) -> DataFrame:
+        """kind, id, entity, attempt and new of the attempts whose surrogates are nobody's real data."""
+        rows = left.select("kind", "id", "entity", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))).alias("attempt"))
         to = surrogate(F.col("entity"), F.col("kind"), key, F.col("attempt"))
-        now = stored(now.select("kind", "id", "entity", "attempt", _held(to, lambda x: normal(x, F.col("kind"))).alias("new")), "surrogates")
-        twice = now.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "new")
-        bad = twice.unionByName(now.select("kind", "new").join(real, ["kind", "new"], "left_semi")).distinct()
-        if bad.isEmpty():
-            break
-        now = now.join(bad.withColumn("bad", F.lit(1)), ["kind", "new"], "left").select("kind", "id", "entity", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
-    return now.where("attempt > 0").select("kind", "id", "attempt")
+        return rows.select("kind", "id", "entity", "attempt", _held(to, lambda x: normal(x, F.col("kind"))).alias("new")).join(real, ["kind", "new"], "left_anti")
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """At most one entity for each surrogate, and one attempt for each entity."""
+        one = rows.groupBy("kind", "new").agg(F.min(F.struct("id", "attempt")).alias("x")).select("kind", F.col("x.id").alias("id"), F.col("x.attempt").alias("attempt"), "new")
+        return one.groupBy("kind", "id").agg(F.min(F.struct("attempt", "new")).alias("x")).select("kind", "id", "x.attempt", "x.new")
+
+    done = stored(settled(tried(known, 0, 1)), "surrogates")
+    left = stored(known.join(done, ["kind", "id"], "left_anti").select("kind", "id", "entity"), "collisions")
+    first, n, count, stalled = 1, attempts, left.count(), False
+    while count:
+        if stalled and n * count > MOST_TRIED:
+            kinds = sorted(r.kind for r in left.select("kind").distinct().collect())
+            raise ValueError(f"no free surrogates for {count} entities ({', '.join(kinds)}) in {first} attempts: too few values of their formats are left")
+        new = stored(settled(tried(left, first, n).join(done.select("kind", "new"), ["kind", "new"], "left_anti")), "surrogates")
+        done = done.unionByName(new)
+        left = stored(left.join(new, ["kind", "id"], "left_anti"), "collisions")
+        before, count, first = count, left.count(), first + n
+        stalled = count == before
+        n = 2 * n if stalled else n
+    return done.where("attempt > 0").select("kind", "id", "attempt")
 
 
 def replace(docs: DataFrame, key: str = "vantage", keep: bool = False) -> DataFrame:
