@@ -37,59 +37,149 @@ def test_query(spark, con, name):
     assert [tuple(x.removesuffix(".0") for x in r) for r in mine] == [tuple(x.removesuffix(".0") for x in r) for r in theirs]
 
 
-def test_complete_link(spark):
-    rows = QUERIES["complete_link"](spark, SF).collect()
-    assert len(rows) == len({r.id for r in rows}) and all(r.group_id <= r.id for r in rows)
+def test_complete_link_everywhere(spark):
+    """Near poles, across the date line and along chains, against the plain greedy rule."""
+    import random
 
+    from vantage.operators.stations import complete_link
 
-def test_connected_whole(spark, con):
-    """Every link of v_link counts: a union-find over all of them gives the same components."""
-    from vantage.sources.views import duck
-
-    up = {}
+    rng, rows = random.Random(6), []
+    for lat, lng in ((0, 0), (60, 179.99999), (60, -180.0), (89.9999, 10), (89.9999, -170), (-45, 30)):
+        for _ in range(12):
+            rows.append((len(rows), min(90.0, lat + rng.uniform(0, 4e-6)), (lng + rng.uniform(-6e-6, 6e-6) / max(1e-3, math.cos(math.radians(lat))) + 180) % 360 - 180))
 
-    def root(x):
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
+    def apart(a, b):
+        la, lb = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(min(1, h)))
 
-    for a, b in con.sql(f"WITH {duck('v_link')} SELECT src, dst FROM v_link WHERE src <> dst").fetchall():
-        x, y = root(a), root(b)
-        up[max(x, y)] = min(x, y)
-    got = QUERIES["connected_whole"](spark, SF).collect()
-    assert sorted(tuple(r) for r in got) == sorted((x, root(x)) for x in up)
+    groups = []
+    for r in rows:
+        next((g for g in groups if all(apart(r, m) <= 0.25 for m in g)), None) or groups.append([])
+        (next((g for g in groups if g and all(apart(r, m) <= 0.25 for m in g)), None) or groups[-1]).append(r)
+    got = complete_link(spark.createDataFrame(rows, "id long, lat double, lng double"), 0.25).collect()
+    assert {r.id: r.group_id for r in got} == {m[0]: g[0][0] for g in groups for m in g} and len(groups) < len(rows)
 
 
-def test_projection_whole(spark):
-    """All stations by brute force in numpy, one after another: views, station votes and label votes."""
+def test_free_space(spark):
+    """Centres and nine samples by numpy, view by view."""
     import numpy as np
     from vantage.sources.views import duck
 
-    sf, con = SF.replace("sf0.001", "sf0.01"), duckdb.connect()  # more stations than the SQL keeps
+    con = duckdb.connect()
     for t in ("supplier", "embeddings"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    head = f"WITH {duck('v_gaussian', 'v_camera')} "
-    ids, x, y, z = (np.array(c) for c in zip(*con.sql(head + "SELECT row_id, x, y, z FROM v_gaussian").fetchall()))
-    free, support, sky, ground, views = ({int(i): 0 for i in ids} for _ in range(5))
-    for station, cx, cy, cz, faces in con.sql(head + "SELECT station_id, cx, cy, cz, count(*) FROM v_camera GROUP BY ALL").fetchall():
-        with np.errstate(divide="ignore", invalid="ignore"):
-            depth = z - cz
-            u, v = 128 * (x - cx) / depth + 128, 128 * (y - cy) / depth + 64
-        for i in np.flatnonzero((depth > 0) & (u >= 0) & (u < 256) & (v >= 0) & (v < 128)):
-            k = int(ids[i])
-            views[k] += faces
-            free[k] += int(depth[i] < 6)
-            support[k] += int(6 <= depth[i] <= 9)
-            sky[k] += int(v[i] < 64)
-            ground[k] += int(v[i] >= 64)
-    assert con.sql(head + "SELECT count(DISTINCT station_id) FROM v_camera WHERE station_id > 20").fetchall()[0][0] > 0
-    some = [k for k in views if views[k]]
-    got = QUERIES["projection_whole"](spark, sf).groupBy("row_id").count().collect()
-    assert {r.row_id: r["count"] for r in got} == {k: views[k] for k in some}
-    got = QUERIES["station_votes_whole"](spark, sf).collect()
-    assert {r.row_id: (r.free, r.support, r.remove) for r in got} == {k: (free[k], support[k], free[k] >= 3 and support[k] == 0) for k in some}
-    got = QUERIES["label_votes_whole"](spark, sf).collect()
-    assert {r.row_id: (r.sky_votes, r.ground_votes) for r in got} == {k: (sky[k], ground[k]) for k in some}
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    head = f"WITH {duck('v_gaussian', 'v_pose', 'v_depth')} "
+    g = con.sql(head + "SELECT row_id, x, y, z, scale_0, scale_1, scale_2, rot_0, rot_1, rot_2, rot_3 FROM v_gaussian ORDER BY row_id").fetchnumpy()
+    ids, xyz = g["row_id"], np.stack([g[c] for c in "xyz"], 1)
+    q = np.stack([g[f"rot_{i}"] for i in range(4)], 1)
+    w, x, y, z = (q / np.linalg.norm(q, axis=1)[:, None]).T
+    R = np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)], 1).reshape(-1, 3, 3)
+    B = R * np.exp(np.stack([g[f"scale_{i}"] for i in range(3)], 1) - 2)[:, None, :]
+    cov = B @ B.transpose(0, 2, 1)
+    depth = {}
+    for f, tx, ty, d, c in con.sql(head + "SELECT frame_name, tx, ty, depth, confidence FROM v_depth").fetchall():
+        if c > 0:
+            depth[f, tx, ty] = (d, c >= 0.25)
+    views = con.sql(head + "SELECT * FROM v_pose").fetchdf().to_dict("records")
+
+    def votes(rows, centre):
+        free, support, blocked = ({} for _ in range(3))
+        for v in views:
+            r = np.array([[v[f"r{i}{j}"] for j in range(3)] for i in range(3)])
+            fx, fy, cx, cy = (v[k] / 16 for k in ("fl_x", "fl_y", "pp_x", "pp_y"))
+            cam = (xyz[rows] - [v["cx"], v["cy"], v["cz"]]) @ r
+            for k, (a, b, zc) in zip(rows, cam):
+                if zc <= 0:
+                    continue
+                sigma = math.sqrt(max(0, r[:, 2] @ cov[k] @ r[:, 2]))
+                places = [np.array([fx * a / zc + cx, fy * b / zc + cy])]
+                if not centre:
+                    J = np.stack([fx / zc * r[:, 0] - fx * a / zc**2 * r[:, 2], fy / zc * r[:, 1] - fy * b / zc**2 * r[:, 2]])
+                    values, vectors = np.linalg.eigh(J @ cov[k] @ J.T)
+                    root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+                    places += [places[0] + m * root[:, i] for i in range(2) for m in (-2, -1, 1, 2)]
+                n, bad, sup, used = 0, False, False, set()
+                for p in places:
+                    ix, iy = (int(t) for t in np.floor(p))
+                    if not (0 <= ix < 16 and 0 <= iy < 8) or (v["frame_name"], ix, iy) not in depth:
+                        continue
+                    d, strict = depth[v["frame_name"], ix, iy]
+                    lo, hi = zc - 3 * sigma, zc + 3 * sigma
+                    fr = lo > 0 and hi < d * 0.9
+                    behind = not fr and lo > d * 1.1
+                    bad |= not fr
+                    sup |= not fr and not behind
+                    if strict and (ix, iy) not in used:
+                        used.add((ix, iy))
+                        n += fr
+                key = (k, v["station_id"])
+                free[key] = free.get(key, False) or (n >= 1 if centre else n >= 3 and not bad)
+                blocked[key] = blocked.get(key, False) or bad
+                support[key] = support.get(key, False) or sup
+        out = {}
+        for k in rows:
+            own = [s for s in {v["station_id"] for v in views} if (k, s) in free]
+            good = sum(free[k, s] and not blocked[k, s] and not support[k, s] for s in own)
+            if good >= 3 and not any(support[k, s] for s in own):
+                out[k] = good
+        return out
+
+    pool = votes(range(len(ids)), True)
+    want = votes(sorted(pool), False)
+    got = {r.row_id: r["free"] for r in QUERIES["free_space"](spark, SF).collect()}
+    assert len(pool) > 5 and got == {int(ids[k]): n for k, n in want.items()}
+
+
+def test_free_space_finds_some(spark):
+    """A small Gaussian before far surfaces seen from four stations is free; one at a surface isn't."""
+    from vantage.operators.evidence import COVARIANCE, free_space
+
+    still = dict(zip(COVARIANCE, (1e-2, 0.0, 0.0, 1e-2, 0.0, 1e-2)))
+    g = [(1, 0.0, 0.0, 5.0, *still.values()), (2, 0.0, 0.0, 20.0, *still.values())]
+    eye = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    views = [(f"f{i}", i, 0.1 * i, 0.0, 0.0, 100.0, 100.0, 32.0, 32.0, 64, 64, *eye) for i in range(4)]
+    depths = [(f"f{i}", x, y, 20.0, 1.0) for i in range(4) for x in range(64) for y in range(64)]
+    from vantage.operators.evidence import VIEW
+
+    df = lambda rows, names: spark.createDataFrame(rows, names)
+    got = free_space(df(g, ["row_id", "x", "y", "z", *COVARIANCE]), df(views, ["frame_name", "station_id", *VIEW]), df(depths, ["frame_name", "ix", "iy", "depth", "confidence"]))
+    assert [tuple(r) for r in got.collect()] == [(1, 4)]
+
+
+def test_world_up_rules(spark):
+    from vantage.operators.stations import world_up
+
+    frames = lambda rows: spark.createDataFrame(rows, "station_id long, face string, r02 double, r12 double, r22 double")
+    assert world_up(frames([(1, "U", 0.0, -1.0, 0.0), (2, "down", 0.0, 1.0, 0.0), (3, "F", 1.0, 0.0, 0.0)])) == (0.0, -1.0, 0.0)
+    assert world_up(frames([(1, "U", 0.0, 1.0, 0.0)]), convention="OpenGL_c2w") == (0.0, -1.0, 0.0)
+    assert world_up(frames([(1, "F", 0.0, 0.0, 1.0)]), declared=[(0, 0, 2)]) == (0.0, 0.0, 1.0)
+    for rows, declared in (([(1, "F", 0.0, 0.0, 1.0)], []), ([(1, "U", 0.0, -1.0, 0.0), (2, "U", 1.0, 0.0, 0.0)], []), ([], [(0, 0, 1), (0, 0.1, 1)]), ([], [(0, 0, 0)])):
+        with pytest.raises(ValueError):
+            world_up(frames(rows), declared)
+
+
+def test_scene_rules(spark):
+    from vantage.operators.stations import checked_scene
+
+    for rows in ([(1, 0.0)], [(1, 0.0), (2, 0.0)], [(1, 0.0), (1, 1.0), (2, 5.0)], [(1, 0.0), (2, 1e-9), (3, 5.0)]):
+        with pytest.raises(Exception, match="station|radius"):
+            checked_scene(spark.createDataFrame([(s, x, 0.0, 0.0) for s, x in rows], "station_id long, cx double, cy double, cz double")).collect()
+
+
+def test_cleanup_input_rules(spark):
+    from vantage.operators import inputs
+
+    names = ["station_id", "face", *[p for p, _ in inputs.FIELDS.values()], *[h for _, h in inputs.FIELDS.values()]]
+    row = lambda i, bad=None: (i, "F", *[bad or f"{p}{i}" for p, _ in inputs.FIELDS.values()], *["x"] * 5)
+    df = lambda rows, n: spark.createDataFrame(rows, n)
+    files = df([(f"{p}{i}", "x") for p, _ in inputs.FIELDS.values() for i in (1, 2)] + [("a/../../b", "x")], ["path", "sha256"])
+    depths = lambda ids: df([(i, "F", f"file_path{i}", "d", "h") for i in ids], ["station_id", "face", "file_path", "depth_path", "depth_sha256"])
+    assert inputs.cleanup_inputs(df([row(1), row(2), row(1)], names), files, depths([1, 2])).count() == 2
+    changed = row(2)[:7] + ("y",) + row(2)[8:]
+    for rows, found in (([row(1), row(3)], [1, 3]), ([row(1), row(2)], [1]), ([row(1)], [1, 2]), ([row(1)], [1, 1]), ([row(2), changed], [2]), ([row(1, "a/../../b")], [1])):
+        with pytest.raises(Exception, match="input|roster|conflict"):
+            inputs.cleanup_inputs(df(rows, names), files, depths(found)).collect()
 
 
 def test_entry(spark):

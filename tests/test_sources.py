@@ -82,10 +82,10 @@ def test_size_filter_is_strict_and_scale_free(spark):
         r = stations.scene(cams).first().radius
         rows = [(i, 0.0, 0.0, 0.0, float(np.log(v * r)), -99.0, -99.0) for i, v in enumerate((0.1, 0.6, 50.0, 0.1))] + [(4, 0.0, 0.0, 0.0, float(np.log(0.5 * r)), -99.0, -99.0)]
         g = spark.createDataFrame(rows, "row_id long, x double, y double, z double, scale_0 double, scale_1 double, scale_2 double")
-        removed = sorted(r.row_id for r in gaussians.marked(g, cams, crop_ratio=100.0).where("NOT keep_size").collect())
+        removed = sorted(r.row_id for r in gaussians.marked(g, cams, (0.0, -1.0, 0.0), crop_ratio=100.0).where("NOT keep_size").collect())
         assert removed[:2] == [1, 2] and set(removed) <= {1, 2, 4}
     with pytest.raises(ValueError):
-        gaussians.marked(g, cams, size_ratio=11)
+        gaussians.marked(g, cams, (0.0, -1.0, 0.0), size_ratio=11)
 
 
 def test_lengths(spark):
@@ -106,7 +106,7 @@ def test_neighbours_equal_brute_force(spark):
     p = rng.uniform(-20, 20, (80, 3))
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double, z double")
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
-    got = {(r.id, r["rank"]): r.other for r in neighbours.nearest(df, df, 3, 1.0, apart=True, rounds=2).collect()}
+    got = {(r.id, r["rank"]): r.other for r in neighbours.nearest(df, df, 3, 1.0, apart=True).collect()}
     for i in range(80):
         order = [j for j in np.lexsort((np.arange(80), d[i])) if j != i][:3]
         assert [got[i, k] for k in (1, 2, 3)] == order
@@ -124,7 +124,17 @@ def test_neighbours_equal_brute_force(spark):
 def test_capture_times(spark):
     rows = [("2020-02-30",), ("2020-02-29 10:11:12",), ("2020-02",), ("2020-02-28",), (None,), ("soon",)]
     df = captures.dated(spark.createDataFrame(rows, "captured_at string"))
-    assert [(r.capture_precision, r.month, r.day, r.clock) for r in df.collect()] == [("unknown", None, None, None), ("second", "2020-02", "2020-02-29", "10:11"), ("month", "2020-02", None, None), ("day", "2020-02", "2020-02-28", None), (None, None, None, None), ("unknown", None, None, None)]
+    assert [(r.capture_precision, r.month, r.day, r.clock) for r in df.collect()] == [("unknown", None, None, None), ("second", "2020-02", "2020-02-29", "10:11"), ("month", "2020-02", None, None), ("day", "2020-02", "2020-02-28", None), ("unknown", None, None, None), ("unknown", None, None, None)]
+    bad = ["2020-01-01junk", "2020-01-01 25:99:00", "2020-01-01 10:30", "2020-1-1", "2020-13", "2020-", "0000-01-01", "2020-01-01 10:30:60", "2020-01-01  10:30:00", ""]
+    good = [(" 2020-01-01T23:59:59.123456 ", "second", "23:59"), ("2020-01-01 00:00:00", "second", "00:00"), ("2020-01\t", "month", None)]
+    got = captures.dated(spark.createDataFrame([(x,) for x in bad] + [(x,) for x, _, _ in good], "captured_at string")).collect()
+    assert {(r.capture_precision, r.capture_date, r.month, r.day, r.clock) for r in got[: len(bad)]} == {("unknown", None, None, None, None)}
+    assert [(r.capture_precision, r.clock) for r in got[len(bad) :]] == [x[1:] for x in good]
+    for bound in ("9:30", "24:00", "09:30\n"):
+        with pytest.raises(ValueError):
+            captures.by_policy(captures.dated(spark.createDataFrame([("2020-01",)], "captured_at string")), "any", None, bound)
+    with pytest.raises(ValueError):
+        captures.by_policy(captures.dated(spark.createDataFrame([("2020-01",)], "captured_at string")), "same_month", "2020-13")
     with pytest.raises(Exception, match="no clock"):
         df.where(capture.clock_between(df.clock, "09:00", None, strict=True)).collect()
 

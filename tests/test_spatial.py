@@ -261,13 +261,16 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "s.ply").write_bytes(raw)
     pose = lambda x: [[1, 0, 0, x], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
     frames = [{"file_path": f"{i}.png", "station_id": f"s{i}", "face": "F", "transform_matrix": pose(60.0 * i)} for i in range(2)]
-    (tmp_path / "c.json").write_text(json.dumps({"units": "m", "w": 8, "h": 8, "fl_x": 4.0, "fl_y": 4.0, "cx": 4.0, "cy": 4.0, "frames": frames}))
+    (tmp_path / "c.json").write_text(json.dumps({"units": "m", "world_up": [0, -1, 0], "w": 8, "h": 8, "fl_x": 4.0, "fl_y": 4.0, "cx": 4.0, "cy": 4.0, "frames": frames}))
     files = ["--scene", f"file://{tmp_path}/s.ply", "--cameras", f"file://{tmp_path}/c.json"]
     main(["inspect", *files])
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == 6
     main(["cleanup", *files, "--size", "10", "--crop", "100", "--out", f"file://{tmp_path}/o.ply"])
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == 6
     assert ply.rows_of((tmp_path / "o.ply").read_bytes())[1].tobytes() == ply.rows_of(raw)[1].tobytes()
+    spark.createDataFrame([("0.png", 4, 4, 1e4, 1.0)], ["frame_name", "ix", "iy", "depth", "confidence"]).write.parquet(f"file://{tmp_path}/depths")
+    main(["prune", *files, "--depths", f"file://{tmp_path}/depths", "--width", "8", "--height", "8", "--out", f"file://{tmp_path}/k.ply"])
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"rows": 6, "removed": 0, "out": f"file://{tmp_path}/k.ply"}
     spark.createDataFrame([(1, 37.5, 127.0), (2, 37.5001, 127.0), (3, 38.0, 127.0)], ["pano_id", "lat", "lng"]).write.parquet(f"file://{tmp_path}/captures")
     main(["discover", "--captures", f"file://{tmp_path}/captures", "--lat", "37.5", "--lng", "127.0"])
     assert [c["pano_id"] for c in json.loads(capsys.readouterr().out.splitlines()[-1])["captures"]] == [1, 2]

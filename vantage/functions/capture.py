@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,41 +12,50 @@ CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9]$"
 MONTH = r"^[0-9]{4}-(0[1-9]|1[0-2])$"
 
 
-def _part(text: Column, pattern: str) -> Column:
-    out = F.regexp_extract(text, pattern, 1)
-    return F.when(out != "", out)
+_SECOND = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?$"
+_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_MONTH = r"^[0-9]{4}-[0-9]{2}$"
 
 
 def capture_parts(text: Column) -> dict[str, Column]:
     """capture_date, precision, month, day and clock of a capture time; what a time doesn't say is null.
 
-    A date that doesn't exist has precision "unknown" and no parts.
+    A time is a whole month, day, or day with hours, minutes and seconds, whatever white space is around it. All
+    else, a null, and a date or clock that doesn't exist, has precision "unknown" and no parts.
     """
-    day = _part(text, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})")
-    month = _part(text, r"^([0-9]{4}-[0-9]{2})(?:$|-)")
-    real = F.try_to_date(F.coalesce(day, F.concat(month, F.lit("-01"))), "yyyy-MM-dd").isNotNull()
-    clock = F.when(real, _part(text, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([0-9]{2}:[0-9]{2})"))
-    precision = F.when(~F.coalesce(real, F.lit(False)), F.when(text.isNotNull(), F.lit("unknown"))).when(clock.isNotNull(), F.lit("second")).when(day.isNotNull(), F.lit("day")).otherwise(F.lit("month"))
+    raw = F.regexp_replace(text, r"^\s+|\s+$", "")
+    shape = F.when(raw.rlike(_SECOND), F.lit("second")).when(raw.rlike(_DAY), F.lit("day")).when(raw.rlike(_MONTH), F.lit("month"))
+    date = F.when(shape == "month", F.concat(raw, F.lit("-01"))).when(shape.isNotNull(), F.substr(raw, F.lit(1), F.lit(10)))
+    real = F.coalesce((F.substr(raw, F.lit(1), F.lit(4)) != "0000") & F.try_to_date(date, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    fine = real & shape.isin("day", "second")
     return {
-        "capture_date": F.when(real, F.coalesce(day, month)),
-        "capture_precision": precision,
-        "month": F.when(real, month),
-        "day": F.when(real, day),
-        "clock": clock,
+        "capture_date": F.when(real, F.substr(raw, F.lit(1), F.lit(10))),
+        "capture_precision": F.when(real, shape).otherwise(F.lit("unknown")),
+        "month": F.when(real, F.substr(raw, F.lit(1), F.lit(7))),
+        "day": F.when(fine, F.substr(raw, F.lit(1), F.lit(10))),
+        "clock": F.when(real & (shape == "second"), F.substr(raw, F.lit(12), F.lit(5))),
     }
 
 
+def checked_bound(value: str | None, pattern: str) -> str | None:
+    """A bound in the form of ``CLOCK`` or ``MONTH``, or None; ValueError for anything else."""
+    if value is not None and not re.fullmatch(pattern.strip("^$"), value):
+        raise ValueError(f"not a valid bound: {value!r}")
+    return value
+
+
 def policy(mode: str, value: str | None, month: Column, day: Column) -> Column:
     """Whether a capture meets a policy (any, same_month, same_day); unknown parts never do."""
     if mode == "any":
         return F.lit(True)
+    checked_bound(value, MONTH if mode == "same_month" else MONTH[:-1] + r"-(0[1-9]|[12][0-9]|3[01])$")
     column = {"same_month": month, "same_day": day}[mode]
     return F.coalesce(column == value, F.lit(False))
 
 
 def clock_between(clock: Column, start: str | None, end: str | None, strict: bool = False) -> Column:
     """HH:MM within inclusive bounds; an unknown clock fails, or is an error if ``strict``."""
-    if start is None and end is None:
+    if checked_bound(start, CLOCK) is None and checked_bound(end, CLOCK) is None:
         return F.lit(True)
     unknown = F.raise_error(F.lit("a capture has no clock")).cast("boolean") if strict else F.lit(False)
     out = F.lit(True)

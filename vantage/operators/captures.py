@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,8 +74,8 @@ def merged_first(pages: DataFrame, key: str, order: str) -> DataFrame:
     return pages.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def discover(links: DataFrame, nodes: DataFrame, start: list[int], max_rounds: int = 1000) -> DataFrame:
-    """id and depth of every node that links (src, dst) reach from ``start`` through ``nodes`` (id).
+def discover(links: DataFrame, nodes: DataFrame, start: list[int], max_rounds: int | None = None) -> DataFrame:
+    """id and depth of every node that links (src, dst) reach from ``start`` through ``nodes`` (id), up to a depth if one is given.
 
     A round joins only the nodes found in the last one; each round is a checkpoint, so that the plan doesn't
     grow and a lost executor costs one round. Links to ids that are no node are left out.
@@ -82,7 +84,7 @@ def discover(links: DataFrame, nodes: DataFrame, start: list[int], max_rounds: i
     keep = links.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct().persist()
     frontier = spark.createDataFrame([(i,) for i in start], "id long").join(nodes, "id", "left_semi").distinct().withColumn("depth", F.lit(0))
     seen = frontier
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1) if max_rounds is None else range(1, max_rounds + 1):
         step = keep.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         frontier = checkpointed(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

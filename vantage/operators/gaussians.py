@@ -17,8 +17,8 @@ def largest_scale() -> Column:
     return F.greatest(*SCALES)
 
 
-def marked(gaussians: DataFrame, cameras: DataFrame, size_ratio: float = 0.5, crop_ratio: float = 1.0, up: tuple[float, float, float] = (0.0, -1.0, 0.0)) -> DataFrame:
-    """Each Gaussian with keep_size and keep_crop.
+def marked(gaussians: DataFrame, cameras: DataFrame, up: tuple[float, float, float], size_ratio: float = 0.5, crop_ratio: float = 1.0) -> DataFrame:
+    """Each Gaussian with keep_size and keep_crop. ``up`` is declared, or what :func:`stations.world_up` finds.
 
     Size keeps what is strictly below ln(ratio * radius); the crop keeps what is within ratio * radius
     (inclusive) of the axis through the scene's centre along ``up``. The scene is one row, broadcast.
@@ -35,13 +35,13 @@ def marked(gaussians: DataFrame, cameras: DataFrame, size_ratio: float = 0.5, cr
     return own.withColumns({"keep_size": largest_scale() < F.log(F.lit(size_ratio) * F.col("radius")), "keep_crop": radial <= F.lit(crop_ratio) * F.col("radius")}).drop("mx", "my", "mz", "stations", "radius")
 
 
-def cleanup(gaussians: DataFrame, cameras: DataFrame, **options) -> DataFrame:
+def cleanup(gaussians: DataFrame, cameras: DataFrame, up: tuple[float, float, float], **options) -> DataFrame:
     """The Gaussians that both filters keep, in their columns."""
-    return marked(gaussians, cameras, **options).where("keep_size AND keep_crop").select(*gaussians.columns)
+    return marked(gaussians, cameras, up, **options).where("keep_size AND keep_crop").select(*gaussians.columns)
 
 
-def cleanup_counts(gaussians: DataFrame, cameras: DataFrame, **options) -> DataFrame:
-    m = marked(gaussians, cameras, **options)
+def cleanup_counts(gaussians: DataFrame, cameras: DataFrame, up: tuple[float, float, float], **options) -> DataFrame:
+    m = marked(gaussians, cameras, up, **options)
     return m.agg(
         F.count(F.lit(1)).alias("source_rows"),
         F.count_if(~F.col("keep_size")).alias("size_removed"),

@@ -35,27 +35,50 @@ def ball_count(queries: DataFrame, points: DataFrame, radius: float) -> DataFram
     return queries.select("id").join(found, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, apart: bool = False, rounds: int = 4) -> DataFrame:
-    """id, other, distance and rank of the k nearest points of each query, ties by id.
+def extent(points: DataFrame) -> tuple[float, int]:
+    """The longest side of the points' bounds, and their number."""
+    r = points.agg(*(f(c) for c in "xyz" for f in (F.min, F.max)), F.count(F.lit(1))).first()
+    return max((float(r[i + 1] - r[i]) for i in (0, 2, 4) if r[i] is not None), default=0.0), r[6]
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, apart: bool = False, ties: float | None = None) -> DataFrame:
+    """id, other, distance and rank of the k nearest points of each query, ties by id; with ``ties`` also all others
+    within the k-th distance and that part of it.
 
     A query's result is complete once its k-th distance is no more than a cell, as nothing nearer lies outside
-    the adjoining cells. Others go on with cells four times as wide; those left after ``rounds`` meet all
-    points in a join without cells. A round is a checkpoint, so that none is computed twice.
+    the adjoining cells. Others go on with cells four times as wide, until a cell is as wide as all bounds. A round
+    is a checkpoint, so that none is computed twice.
     """
-    ranked = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+    slack = 1 + (ties or 0.0)
+    w = Window.partitionBy("id").orderBy("distance", "other")
+
+    def ranked(d):
+        d = d.withColumn("rank", F.row_number().over(w))
+        if ties is None:
+            return d.where(F.col("rank") <= k)
+        cut = F.max(F.when(F.col("rank") <= k, F.col("distance"))).over(Window.partitionBy("id"))
+        return d.withColumn("_cut", cut).where(F.col("distance") <= F.col("_cut") * slack).drop("_cut")
+
+    whole, _ = extent(points.select("x", "y", "z").unionAll(queries.select("x", "y", "z")))
     out, rest = None, queries.select("id", "x", "y", "z")
-    for _ in range(rounds):
+    while True:
         found = checkpointed(ranked(_pairs(rest, points, cell, apart)))
-        full = found.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where((F.col("n") == k) & (F.col("far") <= cell)).select("id")
+        if cell >= whole:
+            return found if out is None else out.unionAll(found)
+        kth = F.max(F.when(F.col("rank") <= k, F.col("distance"))) * slack
+        full = found.groupBy("id").agg(kth.alias("far"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= k) & (F.col("far") <= cell)).select("id")
         done = found.join(full, "id", "left_semi")
         out = done if out is None else out.unionAll(done)
         rest = checkpointed(rest.join(full, "id", "left_anti"))
         if rest.isEmpty():
             return out
         cell *= 4
-    p = points.select(F.col("id").alias("other"), *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    last = rest.join(p, (F.col("id") != F.col("other")) if apart else F.lit(True)).withColumn("distance", distance([F.col(c) for c in "xyz"], [F.col(f"p{c}") for c in "xyz"])).select("id", "other", "distance")
-    return ranked(last) if out is None else out.unionAll(ranked(last))
+
+
+def nearest_distance(points: DataFrame) -> DataFrame:
+    """id and distance of each point's nearest other one; the first cells hold about one point each."""
+    whole, n = extent(points)
+    return nearest(points, points, 1, max(whole, 1e-9) / max(1.0, n ** (1 / 3)), apart=True).select("id", "distance")
 
 
 def sphere_nearest(queries: DataFrame, cores: DataFrame, degrees: float) -> DataFrame:
@@ -72,14 +95,12 @@ def sphere_nearest(queries: DataFrame, cores: DataFrame, degrees: float) -> Data
     return queries.select("id").join(near, "id", "left").withColumn("angle", angle).select("id", "angle", F.coalesce(1 - t * t * (3 - 2 * t), F.lit(0.0)).alias("weight"))
 
 
-def nearest_stations(queries: DataFrame, stations: DataFrame, k: int, epsilon: float = 128 * 2.220446049250313e-16) -> DataFrame:
+def nearest_stations(queries: DataFrame, stations: DataFrame, k: int, cell: float = 4.0, epsilon: float = 128 * 2.220446049250313e-16) -> DataFrame:
     """id and far_height: the greatest height of the k nearest stations (station_id, x, y, z) by horizontal distance.
 
     All stations within the k-th distance and a relative epsilon count. y points down, so height is -y.
-    Stations are a table of bounded size beside the points and are read by every task if Spark finds them small.
     """
-    s = stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-    d = queries.select("id", "x", "z").crossJoin(s).withColumn("d", F.sqrt((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz"))))
-    w = Window.partitionBy("id").orderBy("d", "station_id")
-    cut = d.withColumn("rank", F.row_number().over(w)).withColumn("cut", F.max(F.when(F.col("rank") <= k, F.col("d"))).over(Window.partitionBy("id")))
-    return cut.where(F.col("d") <= F.col("cut") * (1 + epsilon)).groupBy("id").agg(F.max(0 - F.col("sy")).alias("far_height"), F.count(F.lit(1)).alias("stations"))
+    flat = lambda d, key: d.select(F.col(key).alias("id"), "x", F.lit(0.0).alias("y"), "z")
+    near = nearest(flat(queries, "id"), flat(stations, "station_id"), k, cell, ties=epsilon)
+    heights = stations.select(F.col("station_id").alias("other"), F.col("y").alias("sy"))
+    return near.join(heights, "other").groupBy("id").agg(F.max(0 - F.col("sy")).alias("far_height"), F.count(F.lit(1)).alias("stations"))

@@ -30,30 +30,68 @@ def tally(observations: DataFrame, reason: Column) -> DataFrame:
 ORDER = ("reprojection_error_px", "px", "py", "source_row", "depth_z", "support_station_count", "angle_deg")
 
 
-def deduplicated(observations: DataFrame, frame: list[str], consistent: bool = False) -> DataFrame:
-    """One row a (frame, point): the one with the least error, then x, y and all else.
+def _groups(observations: DataFrame, frame: list[str], rtol_depth: float, rtol_angle: float) -> DataFrame:
+    """Of each (frame, point): its best row ``b``, its rows ``n``, and ``ok``: whether all agree with the first one.
 
-    With ``consistent``, groups that disagree on station, split, support, depth (1e-9 of it) or angle (1e-6) go.
+    Rows agree in station, split and support, and in depth and angle within a part of the first row's.
     """
+    near = lambda c, rtol: F.coalesce(F.greatest(F.max(c) - F.min_by(c, "source_row"), F.min_by(c, "source_row") - F.min(c)) <= rtol * F.abs(F.min_by(c, "source_row")), F.lit(False))
+    one = lambda c: F.min(c).eqNullSafe(F.max(c)) & (F.count(c).isin(0) | (F.count(c) == F.count(F.lit(1))))
+    ok = (F.count(F.lit(1)) == 1) | (one("station_id") & one("split") & one("support_station_count") & near("depth_z", rtol_depth) & near("angle_deg", rtol_angle))
     group = [*frame, "point_id"]
-    rows = observations
-    if consistent:
-        ok = (
-            (F.count_distinct("station_id", "split", "support_station_count") == 1)
-            & (F.max("depth_z") - F.min("depth_z") <= 1e-9 * F.max(F.abs("depth_z")))
-            & (F.max("angle_deg") - F.min("angle_deg") <= 1e-6)
-        )
-        good = rows.groupBy(*group).agg(ok.alias("ok")).where("ok")
-        rows = rows.join(good.select(*group), group, "left_semi")
-    best = rows.groupBy(*group).agg(F.min(F.struct(*ORDER, *(c for c in rows.columns if c not in ORDER and c not in group))).alias("b"))
-    return best.select(*group, *(F.col(f"b.{c}").alias(c) for c in rows.columns if c not in group))
-
-
-def rasterised(observations: DataFrame, frame: list[str], spread: float = 0.02) -> DataFrame:
-    """frame, pixel, depth (the nearest), hits and ambiguous (depths differ by more than ``spread`` of the nearest)."""
+    rest = [c for c in observations.columns if c not in ORDER and c not in group]
+    # station_id may be a key of the frame; it is compared all the same.
+    return observations.groupBy(*group).agg(F.min(F.struct(*ORDER, *rest)).alias("b"), F.count(F.lit(1)).alias("n"), ok.alias("ok"))
+
+
+def deduplicated(observations: DataFrame, frame: list[str], rtol_depth: float = 1e-9, rtol_angle: float = 1e-6) -> DataFrame:
+    """One row a (frame, point): the one with the least error, then x, y and place.
+
+    Groups whose rows disagree on station, split, support, depth or angle are rejected as a whole; see
+    :func:`dedup_report`. Nothing is averaged.
+    """
+    group = [*frame, "point_id"]
+    best = _groups(observations, frame, rtol_depth, rtol_angle).where("ok")
+    return best.select(*group, *(F.col(f"b.{c}").alias(c) for c in observations.columns if c not in group))
+
+
+def dedup_report(observations: DataFrame, frame: list[str], rtol_depth: float = 1e-9, rtol_angle: float = 1e-6) -> DataFrame:
+    """One row: input_rows, groups, output_rows, duplicate_groups, removed_rows and rejected_groups of :func:`deduplicated`."""
+    g = _groups(observations, frame, rtol_depth, rtol_angle)
+    out = g.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("input_rows"), F.count(F.lit(1)).alias("groups"), F.count_if("ok").alias("output_rows"),
+        F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.count_if(~F.col("ok")).alias("rejected_groups"),
+    )
+    return out.withColumn("removed_rows", F.col("input_rows") - F.col("output_rows"))
+
+
+def confidence(support: Column, angle: Column, error: Column, max_error: float = 2.0) -> Column:
+    """How far an observation is to be trusted, from 0 to 1: by its stations (3), angle (10 degrees) and error."""
+    return F.least(support / 3.0, F.lit(1.0)) * F.least(angle / 10.0, F.lit(1.0)) * F.exp(-0.5 * (error / max_error) * (error / max_error))
+
+
+def rasterised(observations: DataFrame, frame: list[str], spread: float = 0.02, max_error: float = 2.0) -> DataFrame:
+    """frame, pixel, hits, ambiguous (depths differ by more than ``spread`` of the nearest), and of the nearest row
+    depth, point_id and confidence, which are null where the pixel is ambiguous."""
     at = observations.withColumns({"ix": F.floor("px").cast("long"), "iy": F.floor("py").cast("long")})
-    out = at.groupBy(*frame, "ix", "iy").agg(F.min("depth_z").alias("depth"), F.max("depth_z").alias("_far"), F.count(F.lit(1)).alias("hits"))
-    return out.withColumn("ambiguous", (F.col("_far") - F.col("depth")) / F.col("depth") > spread).drop("_far")
+    one = F.min(F.struct("depth_z", "source_row", "point_id", confidence(F.col("support_station_count"), F.col("angle_deg"), F.col("reprojection_error_px"), max_error).alias("c")))
+    out = at.groupBy(*frame, "ix", "iy").agg(one.alias("b"), F.max("depth_z").alias("_far"), F.count(F.lit(1)).alias("hits"))
+    near = F.col("b.depth_z")
+    out = out.withColumn("ambiguous", (F.col("_far") - near) / near > spread)
+    clear = lambda c: F.when(~F.col("ambiguous"), F.col(c))
+    return out.select(*frame, "ix", "iy", "hits", "ambiguous", clear("b.depth_z").alias("depth"), clear("b.point_id").alias("point_id"), clear("b.c").alias("confidence"))
+
+
+def core_clear(observations: DataFrame, mask: DataFrame, frame: list[str]) -> DataFrame:
+    """The observations whose pixel and its eight neighbours are all in a mask (frame, ix, iy: the pixels that are set).
+
+    The mask's 3 x 3 erosion is a count of neighbours, worked out once, not nine lookups for each observation.
+    """
+    step = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("d")
+    around = mask.select(*frame, "ix", "iy").distinct().select(*frame, "ix", "iy", step)
+    core = around.groupBy(*frame, (F.col("ix") + F.col("d.dx")).alias("ix"), (F.col("iy") + F.col("d.dy")).alias("iy")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 9")
+    at = observations.withColumns({"ix": F.floor("px").cast("long"), "iy": F.floor("py").cast("long")})
+    return at.join(core.select(*frame, "ix", "iy"), [*frame, "ix", "iy"], "left_semi").drop("ix", "iy")
 
 
 def balanced(observations: DataFrame, value: str) -> DataFrame:
@@ -63,18 +101,35 @@ def balanced(observations: DataFrame, value: str) -> DataFrame:
     return out.withColumn("value", F.rint("value").cast("long"))
 
 
-def calibration(pairs: DataFrame, by: list[str], min_fit: int = 20, min_test: int = 8, inlier: float = 0.1) -> DataFrame:
-    """scale = exp(median ln(metric / raw)) on the fit split, and relative errors on the test split, per group."""
-    ok = pairs.where("metric > 0 AND raw > 0")
-    fit = ok.where("split = 'train'").groupBy(*by).agg(F.exp(F.median(F.log(F.col("metric") / F.col("raw")))).alias("scale"), F.count(F.lit(1)).alias("fit_points"))
-    err = F.abs(F.col("scale") * F.col("raw") / F.col("metric") - 1)
-    test = ok.where("split <> 'train'").join(fit, by).groupBy(*by).agg(F.median(err).alias("median_error"), F.percentile(err, F.lit(0.9)).alias("p90_error"), F.avg((err <= inlier).cast("double")).alias("inliers"), F.count(F.lit(1)).alias("test_points"))
-    return fit.join(test, by, "left").withColumn("usable", F.coalesce((F.col("fit_points") >= min_fit) & (F.col("test_points") >= min_test), F.lit(False)))
-
+def calibration(pairs: DataFrame, by: list[str], min_fit: int = 20, min_test: int = 8, max_median: float = 0.2, max_p90: float = 0.5, min_inliers: float = 0.65, inlier: float = 0.25) -> DataFrame:
+    """scale = exp(median ln(metric / raw)) of the fitting points of each group, and relative errors on the others.
 
-def ground(observations: DataFrame, frame: list[str]) -> DataFrame:
-    """Points seen from two stations or more, each frame counted once by its least error."""
-    once = deduplicated(observations, frame)
+    ``pairs`` are by, point_id, fit (boolean), metric and raw; values that are not finite and positive are left out.
+    ``accepted`` groups reach the median, 90 % and inlier limits; with too few points of either kind there is no
+    scale. A point that comes twice in a group is an error.
+    """
+    once = pairs.groupBy(*by, "point_id").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("fit", "metric", "raw")))
+    once = once.where(F.when(F.col("n") > 1, F.raise_error(F.lit("a point comes twice in a calibration group")).cast("boolean")).otherwise(F.lit(True)))
+    ok = once.where(" AND ".join(f"{c} > 0 AND {c} < double('inf') AND NOT isnan({c})" for c in ("metric", "raw")))
+    fit = ok.where("fit").groupBy(*by).agg(F.exp(F.median(F.log(F.col("metric") / F.col("raw")))).alias("scale"), F.count(F.lit(1)).alias("fit_points"))
+    err = F.abs(F.col("scale") * F.col("raw") - F.col("metric")) / F.col("metric")
+    test = ok.where("NOT fit").join(fit.select(*by, "scale"), by).groupBy(*by).agg(
+        F.median(err).alias("median_error"), F.percentile(err, F.lit(0.9)).alias("p90_error"), F.avg((err < inlier).cast("double")).alias("inliers"), F.count(F.lit(1)).alias("test_points")
+    )
+    out = fit.join(test, by, "left").withColumn("test_points", F.coalesce("test_points", F.lit(0)))
+    enough = (F.col("fit_points") >= min_fit) & (F.col("test_points") >= min_test)
+    good = enough & (F.col("median_error") <= max_median) & (F.col("p90_error") <= max_p90) & (F.col("inliers") >= min_inliers)
+    only = lambda c: F.when(enough, F.col(c)).alias(c)
+    return out.select(*by, only("scale"), "fit_points", "test_points", only("median_error"), only("p90_error"), only("inliers"), F.coalesce(good, F.lit(False)).alias("accepted"))
+
+
+def ground(observations: DataFrame, frame: list[str], mask: DataFrame | None = None) -> DataFrame:
+    """Points that training observations see from two stations or more, each frame counted once by its least error.
+
+    With ``mask`` (frame, ix, iy) only observations whose 3 x 3 neighbourhood is ground count.
+    """
+    own = observations.where("split = 'train'")
+    once = deduplicated(own if mask is None else core_clear(own, mask, frame), frame)
     return once.groupBy("point_id").agg(F.count_distinct("station_id").alias("stations"), F.min("reprojection_error_px").alias("least_error"), F.max("angle_deg").alias("angle")).where("stations >= 2").withColumn("strong", (F.col("stations") >= 3) & (F.col("angle") >= 4) & (F.col("least_error") <= 1))
 
 

@@ -2,10 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import psnr
+from ..functions.geo import finite, psnr
+
+
+def checked_pixels(pixels: DataFrame) -> Column:
+    """What is wrong with a pixel (pr, pg, pb, rr, rg, rb, alpha), null if nothing: all finite, references from 0 to 1, alpha nearly so."""
+    values = [F.col(c) for c in ("pr", "pg", "pb", "rr", "rg", "rb", "alpha")]
+    whole = reduce(lambda a, b: a & b, (F.coalesce(finite(c), F.lit(False)) for c in values))
+    inside = reduce(lambda a, b: a & b, (F.col(c).between(0, 1) for c in ("rr", "rg", "rb"))) & F.col("alpha").between(-1e-5, 1 + 1e-5)
+    return F.when(~whole, "a value isn't finite").when(~inside, "colours and alpha are to be from 0 to 1")
+
+
+def masked_metrics(pixels: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Per view: metrics of predicted colours pr, pg, pb against rr, rg, rb on pixels whose ``mask`` is set.
+
+    Predictions are cut to 0..1 first. Gives static_pixels, static_sse, masked_psnr_db, masked_l1, alpha_mean,
+    covered_pixels (alpha from ``threshold`` on) and coverage_fraction; a view without a masked pixel has nulls. A pixel
+    that breaks :func:`checked_pixels`, masked or not, is an error. One pass, aggregated before the shuffle.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold isn't from 0 to 1")
+    fault = checked_pixels(pixels)
+    own = pixels.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True)))
+    d = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"p{c}"))) - F.col(f"r{c}") for c in "rgb"]
+    m = F.col("mask")
+    out = own.groupBy(*by).agg(
+        F.count_if(m).alias("static_pixels"), F.coalesce(F.sum(F.when(m, d[0] * d[0] + d[1] * d[1] + d[2] * d[2])), F.lit(0.0)).alias("static_sse"),
+        F.avg(F.when(m, (F.abs(d[0]) + F.abs(d[1]) + F.abs(d[2])) / 3)).alias("masked_l1"), F.avg(F.when(m, F.col("alpha"))).alias("alpha_mean"),
+        F.count_if(m & (F.col("alpha") >= threshold)).alias("covered_pixels"),
+    )
+    share = F.when(F.col("static_pixels") > 0, F.col("covered_pixels") / F.col("static_pixels"))
+    return out.withColumns({"masked_psnr_db": psnr(F.col("static_sse"), F.col("static_pixels")), "coverage_fraction": share})
+
+
+def station_mean_psnr(metrics: DataFrame, sse: str = "static_sse") -> DataFrame:
+    """One row: the mean over stations of their pooled PSNR, and the stations; stations without pixels don't count in the mean."""
+    per = metrics.groupBy("station_id").agg(psnr(F.sum(sse), F.sum("static_pixels")).alias("p"))
+    return per.agg(F.avg("p").alias("station_mean_psnr_db"), F.count(F.lit(1)).alias("stations"))
+
+
+def depth_metrics(pixels: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Per view: weighted sums of the relative depth error and spread of moments m1, m2 and alpha against target_z.
+
+    Pixels count that are ``valid``, with a finite positive target and a positive ``confidence``. A ray of no
+    alpha has error 1 and spread 0. Gives target_pixels, confidence_sum, relative_error_sum, relative_variance_sum,
+    relative_moment_sum, covered_pixels, and the means where there is a pixel. Nonfinite moments are an error.
+    """
+    bad = ~(finite(F.col("m1")) & finite(F.col("m2")) & finite(F.col("alpha"))) | (F.col("alpha") < -1e-6) | ~finite(F.col("confidence")) | (F.col("confidence") < 0)
+    own = pixels.where(F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("invalid depth moments or confidence")).cast("boolean")).otherwise(F.lit(True)))
+    use = F.coalesce(F.col("valid") & finite(F.col("target_z")) & (F.col("target_z") > 0) & (F.col("confidence") > 0), F.lit(False))
+    over = F.greatest(F.col("alpha"), F.lit(1e-8))
+    mean = F.col("m1") / over
+    z, seen, w = F.col("target_z"), F.col("alpha") > 1e-6, F.col("confidence")
+    own = own.withColumns({"_u": use, "_e": F.when(seen, ((mean - z) / z) * ((mean - z) / z)).otherwise(1.0), "_s": F.when(seen, F.greatest(F.lit(0.0), F.col("m2") / over - mean * mean) / (z * z)).otherwise(0.0)})
+    total = lambda x: F.coalesce(F.sum(F.when(F.col("_u"), x)), F.lit(0.0))
+    out = own.groupBy(*by).agg(
+        F.count_if("_u").alias("target_pixels"), total(w).alias("confidence_sum"), total(w * F.col("_e")).alias("relative_error_sum"),
+        total(w * F.col("_s")).alias("relative_variance_sum"), F.count_if(F.col("_u") & (F.col("alpha") >= threshold)).alias("covered_pixels"),
+    )
+    some = lambda x: F.when(F.col("target_pixels") > 0, x)
+    return out.withColumn("relative_moment_sum", F.col("relative_error_sum") + F.col("relative_variance_sum")).withColumns({
+        "relative_target_rmse": some(F.sqrt(F.col("relative_error_sum") / F.col("confidence_sum"))),
+        "relative_center_depth_variance": some(F.col("relative_variance_sum") / F.col("confidence_sum")),
+        "coverage_fraction": some(F.col("covered_pixels") / F.col("target_pixels")),
+    })
 
 
 def view_summary(metrics: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,12 +31,40 @@ def scene(cameras: DataFrame, dedup: bool = True, factor: float = 1.0) -> DataFr
     return far.agg((factor * F.max(distance([F.col("cx"), F.col("cy"), F.col("cz")], [F.col("mx"), F.col("my"), F.col("mz")]))).alias("radius"))
 
 
-def baseline(cameras: DataFrame, limit: int = 1024) -> DataFrame:
-    """The median positive distance between stations, of at most ``limit`` in the order of their ids' hashes."""
-    own = centres(cameras).withColumn("h", F.sha2(F.col("station_id").cast("string"), 256)).orderBy("h").limit(limit)
+def checked_scene(cameras: DataFrame) -> DataFrame:
+    """:func:`scene` of distinct centres, where stations are what they should be; an error tells which rule fails.
+
+    There must be two stations or more, the radius positive, all centres of a station within 1e-6 of the radius of its
+    mean, and no two stations within that of each other. Near stations meet in cells of a grid.
+    """
+    from .neighbours import nearest_distance
+
+    own, whole = centres(cameras), scene(cameras)
+    at = [F.col(c) for c in ("cx", "cy", "cz")]
+    far = cameras.select("station_id", *(F.col(c).alias(f"o{c}") for c in ("cx", "cy", "cz"))).join(own, "station_id")
+    off = far.agg(F.max(distance(at, [F.col(f"o{c}") for c in ("cx", "cy", "cz")])).alias("off"))
+    near = nearest_distance(own.select(F.col("station_id").alias("id"), *(F.col(f"c{c}").alias(c) for c in "xyz"))).agg(F.min("distance").alias("near"))
+    out = whole.crossJoin(F.broadcast(off)).crossJoin(F.broadcast(near))
+    fault = (
+        F.when(F.col("stations") < 2, "fewer than two stations").when(~F.coalesce((F.col("radius") > 0) & (F.col("radius") < float("inf")), F.lit(False)), "the radius isn't positive")
+        .when(F.col("off") > 1e-6 * F.col("radius"), "a station has different centres").when(F.col("near") <= 1e-6 * F.col("radius"), "two stations have one centre")
+    )
+    return out.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True))).select(*whole.columns)
+
+
+def baseline(cameras: DataFrame, limit: int = 1024, capture: str = "pano_id") -> DataFrame:
+    """One row: the median positive distance between stations, of at most ``limit`` in the order of their ids' hashes.
+
+    Faces are averaged within a capture, and captures within a station. Also stations (all), sampled and pairs
+    (positive); the baseline is null where there is no such pair.
+    """
+    xyz = ("cx", "cy", "cz")
+    per = cameras.groupBy("station_id", capture).agg(*(F.avg(c).alias(c) for c in xyz)).groupBy("station_id").agg(*(F.avg(c).alias(c) for c in xyz))
+    own = per.withColumn("h", F.sha2(F.col("station_id").cast("string"), 256)).orderBy("h").limit(limit)
     a, b = own.alias("a"), F.broadcast(own).alias("b")
-    d = a.join(b, F.col("a.h") < F.col("b.h")).select(distance([F.col(f"a.{x}") for x in ("cx", "cy", "cz")], [F.col(f"b.{x}") for x in ("cx", "cy", "cz")]).alias("d"))
-    return d.where("d > 0").agg(F.median("d").alias("baseline"))
+    d = a.join(b, F.col("a.h") < F.col("b.h")).select(distance([F.col(f"a.{x}") for x in xyz], [F.col(f"b.{x}") for x in xyz]).alias("d"))
+    found = d.where("d > 0").agg(F.median("d").alias("baseline"), F.count(F.lit(1)).alias("pairs"))
+    return found.crossJoin(F.broadcast(per.agg(F.count(F.lit(1)).alias("stations")))).withColumn("sampled", F.least("stations", F.lit(limit)))
 
 
 def characteristic_length(cameras: DataFrame, cell: float = 4.0) -> DataFrame:
@@ -49,16 +79,44 @@ def characteristic_length(cameras: DataFrame, cell: float = 4.0) -> DataFrame:
     return nearest(named, named, 1, cell, apart=True).agg(F.median("distance").alias("length"))
 
 
-def up_axis(cameras: DataFrame, ux: str, uy: str, uz: str) -> DataFrame:
-    """The mean up direction: normalised per station, then over stations; and whether all are within 5 degrees."""
-    per = cameras.groupBy("station_id").agg(*(F.avg(c).alias(c) for c in (ux, uy, uz)))
-    n = F.sqrt(sum((F.col(c) * F.col(c) for c in (uy, uz)), F.col(ux) * F.col(ux)))
-    per = per.select("station_id", *((F.col(c) / n).alias(c) for c in (ux, uy, uz)))
-    mean = per.agg(*(F.avg(c).alias(f"m_{c}") for c in (ux, uy, uz)))
-    m = F.sqrt(sum((F.col(f"m_{c}") * F.col(f"m_{c}") for c in (uy, uz)), F.col(f"m_{ux}") * F.col(f"m_{ux}")))
-    mean = mean.select(*((F.col(f"m_{c}") / m).alias(f"m_{c}") for c in (ux, uy, uz)))
-    dot = sum((F.col(c) * F.col(f"m_{c}") for c in (uy, uz)), F.col(ux) * F.col(f"m_{ux}"))
-    return per.crossJoin(F.broadcast(mean)).groupBy(*(f"m_{c}" for c in (ux, uy, uz))).agg(F.bool_and(dot >= F.cos(F.radians(F.lit(5.0)))).alias("consistent"))
+def unit_vector(v: tuple[float, float, float]) -> tuple[float, float, float]:
+    n = math.sqrt(sum(x * x for x in v))
+    if len(v) != 3 or not math.isfinite(n) or n <= 1e-10:
+        raise ValueError("not a direction")
+    return tuple(x / n for x in v)
+
+
+def world_up(frames: DataFrame, declared: list[tuple[float, float, float]] = (), convention: str = "OpenCV_c2w") -> tuple[float, float, float]:
+    """The upward direction of a scene; no axis is ever assumed.
+
+    Declared directions go first, and must agree within one degree. Else the frames (station_id, face, r02, r12, r22:
+    the third column of their rotation) that look up or down tell: the mean of each station's distinct directions,
+    and the mean over stations, which all of them must meet within 5 degrees. ValueError where nothing tells or they
+    don't agree. One row of sums comes to the driver.
+    """
+    if declared:
+        units = [unit_vector(v) for v in declared]
+        if any(sum(a * b for a, b in zip(u, units[0])) < math.cos(math.radians(1)) for u in units):
+            raise ValueError("the declared directions differ")
+        return units[0]
+    ahead = 1 if convention == "OpenCV_c2w" else -1
+    face = F.lower("face")
+    sign = F.when(face.isin("u", "up"), F.lit(1.0)).when(face.isin("d", "down"), F.lit(-1.0)) * ahead
+    names = ("ux", "uy", "uz")
+    rows = frames.where(face.isin("u", "up", "d", "down")).select("station_id", *((sign * F.col(f"r{i}2")).alias(n) for i, n in enumerate(names))).distinct()
+    per = rows.groupBy("station_id").agg(*(F.avg(n).alias(n) for n in names))
+    length = F.sqrt(sum((F.col(n) * F.col(n) for n in names[1:]), F.col(names[0]) * F.col(names[0])))
+    per = per.withColumn("_n", length).select(*((F.col(n) / F.col("_n")).alias(n) for n in names), (F.col("_n") <= 1e-10).alias("none"))
+    mean = per.agg(*(F.avg(n).alias(n) for n in names), F.count(F.lit(1)).alias("n"), F.bool_or("none").alias("none")).first()
+    if not mean.n:
+        raise ValueError("the upward direction needs a declaration, or cameras that look up or down")
+    if mean.none:
+        raise ValueError("the cameras that look up and down have no common axis")
+    up = unit_vector((mean.ux, mean.uy, mean.uz))
+    dot = sum((F.col(n) * u for n, u in zip(names[1:], up[1:])), F.col(names[0]) * up[0])
+    if not per.where(dot < math.cos(math.radians(5))).isEmpty():
+        raise ValueError("the cameras that look up and down have no common axis")
+    return up
 
 
 def holdout(stations: DataFrame, seed: str, fraction: float) -> DataFrame:
@@ -83,11 +141,18 @@ def complete_link(places: DataFrame, tolerance_m: float = 0.25) -> DataFrame:
     from ..functions.geo import EARTH_RADIUS_M, haversine
     from .graph import connected
 
+    # Cells of a latitude band have one width in degrees, chosen where the band is nearest to a pole; a point meets the
+    # cells around it in its own band and, by their width, in the bands beside it. Longitude wraps.
     step = tolerance_m / EARTH_RADIUS_M * 57.29577951308232 * 1.01
-    cell = places.withColumn("gy", F.floor(F.col("lat") / step)).withColumn("gx", F.floor(F.col("lng") * F.cos(F.radians(F.floor(F.col("lat") * 10) / 10.0)) / (step * 1.01)))
-    near = cell.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("gy", F.col("gy") + F.col("dy"))
-    b = cell.select(F.col("id").alias("o"), F.col("lat").alias("la"), F.col("lng").alias("lo"), F.col("gy"))
-    pairs = near.join(b, "gy").where((F.col("id") < F.col("o")) & (F.abs(F.col("lng") - F.col("lo")) * F.cos(F.radians("lat")) <= 2 * step) & (haversine(F.col("lat"), F.col("lng"), F.col("la"), F.col("lo")) <= tolerance_m))
+    width = lambda gy: step / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(gy * step), F.abs((gy + 1) * step)) + step))))
+    around = lambda gy: F.greatest(F.lit(1), F.floor(360.0 / width(gy))).cast("long")
+    row = F.floor(F.col("lat") / step)
+    own = places.withColumn("gy", row)
+    own = own.withColumn("gx", F.pmod(F.floor(F.col("lng") / width(F.col("gy"))), around(F.col("gy"))))
+    near = places.select("id", "lat", "lng", F.explode(F.array(row - 1, row, row + 1)).alias("gy"))
+    near = near.withColumn("gx", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(F.floor(F.col("lng") / width(F.col("gy"))) + d, around(F.col("gy")))))))
+    b = own.select(F.col("id").alias("o"), F.col("lat").alias("la"), F.col("lng").alias("lo"), "gy", "gx")
+    pairs = near.join(b, ["gy", "gx"]).where((F.col("id") < F.col("o")) & (haversine(F.col("lat"), F.col("lng"), F.col("la"), F.col("lo")) <= tolerance_m)).select("id", "o").distinct()
     parts = connected(pairs.select(F.col("id").alias("a"), F.col("o").alias("b")))
     joined = places.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import capture, geo
-from ..operators import alignment, captures, evidence, gates, gaussians, graph, lineage, neighbours, observations, pairs, quality, raster, sampling, sky, stations
+from ..operators import alignment, captures, evidence, gates, gaussians, graph, inputs, lineage, neighbours, observations, pairs, quality, raster, sampling, sky, stations
 from ..operators import projection as reprojection
 from ..sources.views import duck, table, view
 
@@ -48,28 +48,35 @@ def _r(name: str, column=None, digits: int = 6):
 
 _SCENE = """st AS (SELECT station_id, avg(cx) cx, avg(cy) cy, avg(cz) cz FROM (SELECT DISTINCT station_id, cx, cy, cz FROM v_camera) d GROUP BY station_id),
 mid AS (SELECT avg(cx) mx, avg(cy) my, avg(cz) mz FROM st),
-scene AS (SELECT mx, my, mz, max(sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz))) radius FROM st, mid GROUP BY mx, my, mz),
-marked AS (SELECT g.*, greatest(scale_0, scale_1, scale_2) < ln(0.5::DOUBLE*radius) keep_size, sqrt((x-mx)*(x-mx)+(z-mz)*(z-mz)) <= radius keep_crop FROM v_gaussian g, scene)"""
+scene AS (SELECT mx, my, mz, max(sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz))) radius FROM st, mid GROUP BY mx, my, mz)"""
+_UP = """ud AS (SELECT DISTINCT station_id, CASE face WHEN 'U' THEN r02 ELSE -r02 END ux, CASE face WHEN 'U' THEN r12 ELSE -r12 END uy, CASE face WHEN 'U' THEN r22 ELSE -r22 END uz FROM v_pose WHERE face IN ('U','D')), us AS (SELECT station_id, avg(ux) ux, avg(uy) uy, avg(uz) uz FROM ud GROUP BY 1),
+un AS (SELECT ux/l ux, uy/l uy, uz/l uz FROM (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) l FROM us)), um AS (SELECT avg(ux) x, avg(uy) y, avg(uz) z FROM un), up AS (SELECT x/sqrt(x*x+y*y+z*z) ux, y/sqrt(x*x+y*y+z*z) uy, z/sqrt(x*x+y*y+z*z) uz FROM um)"""
+_MARKED = f"""{_SCENE}, {_UP}, along AS (SELECT g.*, radius, x-mx dx, y-my dy, z-mz dz, ux, uy, uz, (x-mx)*ux+(y-my)*uy+(z-mz)*uz t FROM v_gaussian g, scene, up),
+marked AS (SELECT *, greatest(scale_0, scale_1, scale_2) < ln(0.5::DOUBLE*radius) keep_size, sqrt((dx-t*ux)*(dx-t*ux)+(dy-t*uy)*(dy-t*uy)+(dz-t*uz)*(dz-t*uz)) <= radius keep_crop FROM along)"""
 
 
-@query("v_gaussian v_camera", f"""WITH {_SCENE} SELECT count(*) source_rows, count(*) FILTER (NOT keep_size) size_removed, count(*) FILTER (keep_size AND NOT keep_crop) crop_additional_removed,
+def _up(spark, sf_dir):
+    return stations.world_up(view(spark, sf_dir, "v_pose"))
+
+
+@query("v_gaussian v_camera v_pose", f"""WITH {_MARKED} SELECT count(*) source_rows, count(*) FILTER (NOT keep_size) size_removed, count(*) FILTER (keep_size AND NOT keep_crop) crop_additional_removed,
 count(*) FILTER (NOT (keep_size AND keep_crop)) removed, count(*) FILTER (keep_size AND keep_crop) remaining FROM marked""")
 def cleanup_counts(spark, sf_dir):
-    return gaussians.cleanup_counts(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera"))
+    return gaussians.cleanup_counts(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera"), _up(spark, sf_dir))
 
 
-@query("v_gaussian v_camera", f"WITH {_SCENE} SELECT row_id, round(x,6) x, round(y,6) y, round(z,6) z FROM marked WHERE keep_size AND keep_crop")
+@query("v_gaussian v_camera v_pose", f"WITH {_MARKED} SELECT row_id, round(x,6) x, round(y,6) y, round(z,6) z FROM marked WHERE keep_size AND keep_crop")
 def cleanup_rows(spark, sf_dir):
-    return gaussians.cleanup(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera")).select("row_id", _r("x"), _r("y"), _r("z"))
+    return gaussians.cleanup(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera"), _up(spark, sf_dir)).select("row_id", _r("x"), _r("y"), _r("z"))
 
 
-@query("v_gaussian v_camera", f"WITH {_SCENE} SELECT row_id FROM marked WHERE NOT (keep_size AND keep_crop)")
+@query("v_gaussian v_camera v_pose", f"WITH {_MARKED} SELECT row_id FROM marked WHERE NOT (keep_size AND keep_crop)")
 def removed_selection(spark, sf_dir):
     g = view(spark, sf_dir, "v_gaussian")
-    return gaussians.removed_rows(g, gaussians.cleanup(g, view(spark, sf_dir, "v_camera")))
+    return gaussians.removed_rows(g, gaussians.cleanup(g, view(spark, sf_dir, "v_camera"), _up(spark, sf_dir)))
 
 
-@query("v_camera", f"WITH {_SCENE.split('marked AS')[0].rstrip().rstrip(',')} SELECT round(mx,6) mx, round(my,6) my, round(mz,6) mz, round(radius,6) radius FROM scene")
+@query("v_camera", f"WITH {_SCENE} SELECT round(mx,6) mx, round(my,6) my, round(mz,6) mz, round(radius,6) radius FROM scene")
 def scene_radius(spark, sf_dir):
     return stations.scene(view(spark, sf_dir, "v_camera")).select(_r("mx"), _r("my"), _r("mz"), _r("radius"))
 
@@ -80,10 +87,25 @@ def training_radius(spark, sf_dir):
     return stations.scene(view(spark, sf_dir, "v_camera"), dedup=False, factor=1.1).select(_r("radius"))
 
 
-@query("v_camera", """WITH st AS (SELECT station_id, avg(cx) cx, avg(cy) cy, avg(cz) cz, sha256(CAST(station_id AS VARCHAR)) h FROM (SELECT DISTINCT station_id, cx, cy, cz FROM v_camera) d GROUP BY station_id ORDER BY h LIMIT 1024)
-SELECT round(median(d),6) baseline FROM (SELECT sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz)) d FROM st a JOIN st b ON a.h < b.h) WHERE d > 0""")
+_CAPTURES = "cc AS (SELECT station_id, CASE WHEN face IN ('F','R') THEN 0 ELSE 1 END pano_id, cx+(CASE face WHEN 'F' THEN 1 WHEN 'R' THEN 2 WHEN 'U' THEN 3 ELSE 0 END)::DOUBLE/10 cx, cy, cz FROM v_camera)"
+_BASELINE = f"""{_CAPTURES}, bs AS (SELECT station_id, avg(cx) cx, avg(cy) cy, avg(cz) cz, sha256(CAST(station_id AS VARCHAR)) h FROM (SELECT station_id, pano_id, avg(cx) cx, avg(cy) cy, avg(cz) cz FROM cc GROUP BY ALL) GROUP BY station_id ORDER BY h LIMIT 1024),
+bl AS (SELECT median(d) baseline, count(*) pairs FROM (SELECT sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz)) d FROM bs a JOIN bs b ON a.h < b.h) WHERE d > 0)"""
+
+
+def _captures(spark, sf_dir):
+    """Cameras of two captures a station, whose faces' centres differ."""
+    off = F.when(F.col("face") == "F", 1).when(F.col("face") == "R", 2).when(F.col("face") == "U", 3).otherwise(0) / 10
+    return view(spark, sf_dir, "v_camera").withColumns({"pano_id": F.when(F.col("face").isin("F", "R"), 0).otherwise(1), "cx": F.col("cx") + off})
+
+
+@query("v_camera", f"WITH {_BASELINE} SELECT round(baseline,6) baseline, pairs, (SELECT count(DISTINCT station_id) FROM v_camera) stations, least((SELECT count(DISTINCT station_id) FROM v_camera), 1024) sampled FROM bl")
 def camera_baseline(spark, sf_dir):
-    return stations.baseline(view(spark, sf_dir, "v_camera")).select(_r("baseline"))
+    return stations.baseline(_captures(spark, sf_dir)).select(_r("baseline"), "pairs", "stations", F.col("sampled").cast("long").alias("sampled"))
+
+
+@query("v_camera", f"WITH {_SCENE} SELECT round(mx,6) mx, round(my,6) my, round(mz,6) mz, round(radius,6) radius FROM scene")
+def checked_scene(spark, sf_dir):
+    return stations.checked_scene(view(spark, sf_dir, "v_camera")).select(_r("mx"), _r("my"), _r("mz"), _r("radius"))
 
 
 @query("v_camera", """WITH c AS (SELECT DISTINCT cx, cy, cz FROM v_camera)
@@ -106,9 +128,9 @@ def radius_filter(spark, sf_dir):
     return captures.within(view(spark, sf_dir, "v_capture"), LAT, LNG, 800.0).select("pano_id", _r("distance_m", digits=4))
 
 
-_PARTS = """p AS (SELECT pano_id, captured_at, lat, lng, nullif(regexp_extract(captured_at,'^([0-9]{4}-[0-9]{2}-[0-9]{2})',1),'') d0, nullif(regexp_extract(captured_at,'^([0-9]{4}-[0-9]{2})(?:$|-)',1),'') m0,
-nullif(regexp_extract(captured_at,'^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([0-9]{2}:[0-9]{2})',1),'') c0 FROM v_capture),
-parts AS (SELECT pano_id, lat, lng, coalesce(d0,m0) capture_date, CASE WHEN captured_at IS NULL THEN NULL WHEN c0 IS NOT NULL THEN 'second' WHEN d0 IS NOT NULL THEN 'day' ELSE 'month' END capture_precision, m0 AS month, d0 AS day, c0 AS clock FROM p)"""
+_PARTS = """p AS (SELECT pano_id, lat, lng, trim(captured_at) t FROM v_capture), k AS (SELECT *, CASE WHEN regexp_full_match(t,'[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?') THEN 'second'
+WHEN regexp_full_match(t,'[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'day' WHEN regexp_full_match(t,'[0-9]{4}-[0-9]{2}') THEN 'month' END s FROM p), v AS (SELECT *, coalesce(try_cast(CASE WHEN s='month' THEN t||'-01' WHEN s IS NOT NULL THEN substr(t,1,10) END AS DATE) IS NOT NULL, false) ok FROM k),
+parts AS (SELECT pano_id, lat, lng, CASE WHEN ok THEN substr(t,1,10) END capture_date, CASE WHEN ok THEN s ELSE 'unknown' END capture_precision, CASE WHEN ok THEN substr(t,1,7) END AS month, CASE WHEN ok AND s<>'month' THEN substr(t,1,10) END AS day, CASE WHEN ok AND s='second' THEN substr(t,12,5) END AS clock FROM v)"""
 
 
 @query("v_capture", f"WITH {_PARTS} SELECT pano_id, capture_date, capture_precision, month, day, clock FROM parts")
@@ -199,25 +221,25 @@ def knn_pairs(spark, sf_dir):
     return pairs.knn_pairs(_station_points(spark, sf_dir), 8, cell=1.0)
 
 
-@query("", f"""WITH {_ST}, e AS (SELECT a.id a, b.id b FROM st a JOIN st b ON a.id < b.id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 1)
+@query("", f"""WITH {_ST}, e AS (SELECT a.id a, b.id b FROM st a JOIN st b ON a.id < b.id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 4)
 SELECT a, b FROM e WHERE (a % 4 = 0) <> (b % 4 = 0) AND (a + b) % 7 <> 0""")
 def recovery_pairs(spark, sf_dir):
     p = _station_points(spark, sf_dir)
-    near = pairs.ball_pairs(p, 1.0)
+    near = pairs.ball_pairs(p, 4.0)
     registered = p.select("id", (F.col("id") % 4 == 0).alias("registered"))
     return pairs.recovery_pairs(near, registered, near.where("(a + b) % 7 = 0"))
 
 
-@query("v_camera", f"""WITH {_ST}, e AS (SELECT a.id a, b.id b FROM st a JOIN st b ON a.id < b.id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.5::DOUBLE)
+@query("v_camera", f"""WITH {_ST}, e AS (SELECT a.id a, b.id b FROM st a JOIN st b ON a.id < b.id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 3)
 SELECT p.frame_name first_frame, q.frame_name second_frame FROM e JOIN v_camera p ON p.station_id = a JOIN v_camera q ON q.station_id = b""")
 def face_pairs(spark, sf_dir):
-    return pairs.face_pairs(pairs.ball_pairs(_station_points(spark, sf_dir), 0.5), view(spark, sf_dir, "v_camera"))
+    return pairs.face_pairs(pairs.ball_pairs(_station_points(spark, sf_dir), 3.0), view(spark, sf_dir, "v_camera"))
 
 
-@query("", "SELECT c_custkey pano_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("", "SELECT c_custkey pano_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority LIKE '1%')")
 def unregistered(spark, sf_dir):
-    have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pano_id"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pano_id")).join(have, "pano_id", "left_anti")
+    have = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("pano_id"))
+    return pairs.unregistered(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pano_id")), have)
 
 
 @query("v_gaussian", f"WITH {_ST} SELECT g.row_id id, (SELECT count(*) FROM st WHERE sqrt((st.x-g.x)*(st.x-g.x)+(st.y-g.y)*(st.y-g.y)+(st.z-g.z)*(st.z-g.z)) <= 4) \"count\" FROM v_gaussian g")
@@ -259,16 +281,34 @@ def seed_support(spark, sf_dir):
     return o.where(observations.seed_support(F.col("support_station_count"), F.col("angle_deg"), F.col("reprojection_error_px"))).groupBy("point_id").agg(F.count(F.lit(1)).alias("observations"))
 
 
-@query("v_observation", """SELECT station_id, face_ix, point_id, reprojection_error_px, px, py, source_row FROM (SELECT *, row_number() OVER (PARTITION BY station_id, face_ix, point_id
-ORDER BY reprojection_error_px, px, py, source_row, depth_z, support_station_count, angle_deg) rn FROM v_observation) WHERE rn = 1""")
+_FIRST = "f AS (SELECT *, first_value(depth_z) OVER w d0, first_value(angle_deg) OVER w a0, first_value(support_station_count) OVER w s0 FROM v_observation{where} WINDOW w AS (PARTITION BY station_id, face_ix, point_id ORDER BY source_row ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), g AS (SELECT station_id, face_ix, point_id, count(*) n, count(DISTINCT split)=1 AND bool_and(support_station_count=s0 AND abs(depth_z-d0)<=1e-9::DOUBLE*abs(d0) AND abs(angle_deg-a0)<=1e-6::DOUBLE*abs(a0)) ok FROM f GROUP BY ALL), once AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY station_id, face_ix, point_id ORDER BY reprojection_error_px, px, py, source_row) rn FROM v_observation v{where} ) JOIN g USING (station_id, face_ix, point_id) WHERE rn=1 AND (ok OR n=1))"
+
+
+@query("v_observation", f"WITH {_FIRST.format(where='')} SELECT station_id, face_ix, point_id, reprojection_error_px, px, py, source_row FROM once")
 def observation_dedup(spark, sf_dir):
     out = observations.deduplicated(view(spark, sf_dir, "v_observation"), ["station_id", "face_ix"])
     return out.select("station_id", "face_ix", "point_id", "reprojection_error_px", "px", "py", "source_row")
 
 
-@query("v_observation", """SELECT station_id, face_ix, ix, iy, depth, hits, (far-depth)/depth > 0.02::DOUBLE ambiguous FROM (SELECT station_id, face_ix, CAST(floor(px) AS BIGINT) ix, CAST(floor(py) AS BIGINT) iy, min(depth_z) depth, max(depth_z) far, count(*) hits FROM v_observation GROUP BY ALL)""")
+@query("v_observation", f"WITH {_FIRST.format(where='')} SELECT (SELECT count(*) FROM v_observation) input_rows, (SELECT count(*) FROM g) AS groups, (SELECT count(*) FROM once) output_rows, (SELECT count(*) FROM g WHERE n>1) duplicate_groups, (SELECT count(*) FROM g WHERE n>1 AND NOT ok) rejected_groups, (SELECT count(*) FROM v_observation)-(SELECT count(*) FROM once) removed_rows")
+def dedup_report(spark, sf_dir):
+    return observations.dedup_report(view(spark, sf_dir, "v_observation"), ["station_id", "face_ix"])
+
+
+@query("v_observation", """WITH o AS (SELECT station_id, face_ix, CAST(floor(px) AS BIGINT) ix, CAST(floor(py) AS BIGINT) iy, *, row_number() OVER (PARTITION BY station_id, face_ix, floor(px), floor(py) ORDER BY depth_z, source_row) rn, max(depth_z) OVER (PARTITION BY station_id, face_ix, floor(px), floor(py)) far,
+count(*) OVER (PARTITION BY station_id, face_ix, floor(px), floor(py)) hits FROM v_observation) SELECT station_id, face_ix, ix, iy, hits, (far-depth_z)/depth_z > 0.02::DOUBLE ambiguous, CASE WHEN NOT (far-depth_z)/depth_z > 0.02::DOUBLE THEN depth_z END depth, CASE WHEN NOT (far-depth_z)/depth_z > 0.02::DOUBLE THEN point_id END point_id,
+CASE WHEN NOT (far-depth_z)/depth_z > 0.02::DOUBLE THEN round(least(support_station_count/3,1)*least(angle_deg/10,1)*exp(-0.5::DOUBLE*pow(reprojection_error_px/2,2)),6) END confidence FROM o WHERE rn=1""")
 def pixel_collisions(spark, sf_dir):
-    return observations.rasterised(view(spark, sf_dir, "v_observation"), ["station_id", "face_ix"])
+    return observations.rasterised(view(spark, sf_dir, "v_observation"), ["station_id", "face_ix"]).withColumn("confidence", _r("confidence"))
+
+
+@query("v_observation", """WITH o AS (SELECT *, CAST(floor(px) AS BIGINT) ix, CAST(floor(py) AS BIGINT) iy FROM v_observation), m AS (SELECT DISTINCT station_id, ix+a x, iy+b y FROM o, range(-1,3) r(a), range(-1,2) q(b))
+SELECT source_row FROM o WHERE (SELECT count(*) FROM m WHERE m.station_id=o.station_id AND abs(m.x-o.ix)<=1 AND abs(m.y-o.iy)<=1)=9""")
+def core_observations(spark, sf_dir):
+    o = view(spark, sf_dir, "v_observation")
+    at = o.select("station_id", F.floor("px").cast("long").alias("x"), F.floor("py").cast("long").alias("y"), F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    mask = at.select("station_id", (F.col("x") + F.col("a")).alias("ix"), (F.col("y") + F.col("b")).alias("iy"))
+    return observations.core_clear(o, mask, ["station_id"]).select("source_row")
 
 
 @query("v_observation", """SELECT point_id, CAST(round_even(median(m),0) AS BIGINT) "value", count(*) stations FROM (SELECT point_id, station_id, median(px) m FROM v_observation WHERE split='train' GROUP BY ALL) GROUP BY point_id HAVING count(*)>=2""")
@@ -276,16 +316,17 @@ def balanced_value(spark, sf_dir):
     return observations.balanced(view(spark, sf_dir, "v_observation"), "px")
 
 
-@query("v_observation", """WITH o AS (SELECT face_ix, split, depth_z metric, depth_z*(1+reprojection_error_px/100)/2 raw FROM v_observation), f AS (SELECT face_ix, exp(median(ln(metric/raw))) s, count(*) fp FROM o WHERE metric>0 AND raw>0 AND split='train' GROUP BY 1),
-t AS (SELECT face_ix, median(abs(s*raw/metric-1)) me, quantile_cont(abs(s*raw/metric-1),0.9) p9, avg(CASE WHEN abs(s*raw/metric-1)<=0.1::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) inl, count(*) tp FROM o JOIN f USING (face_ix) WHERE metric>0 AND raw>0 AND split<>'train' GROUP BY 1)
-SELECT face_ix, round(s,6) scale, fp fit_points, round(me,6) median_error, round(p9,6) p90_error, tp test_points, coalesce(fp>=20 AND tp>=8,false) usable FROM f LEFT JOIN t USING (face_ix)""")
+@query("v_observation", """WITH o AS (SELECT face_ix, point_id, bool_and(point_id%4<>0) fit, min(depth_z) metric, min(depth_z)*(1+min(reprojection_error_px)/(1+face_ix))/2 raw FROM v_observation GROUP BY face_ix, point_id), f AS (SELECT face_ix, exp(median(ln(metric/raw))) s, count(*) fp FROM o WHERE metric>0 AND raw>0 AND fit GROUP BY 1),
+t AS (SELECT face_ix, median(abs(s*raw-metric)/metric) me, quantile_cont(abs(s*raw-metric)/metric,0.9) p9, avg(CASE WHEN abs(s*raw-metric)/metric<0.25::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) inl, count(*) tp FROM o JOIN f USING (face_ix) WHERE metric>0 AND raw>0 AND NOT fit GROUP BY 1)
+SELECT face_ix, CASE WHEN fp>=20 AND tp>=8 THEN round(s,6) END scale, fp fit_points, coalesce(tp,0) test_points, CASE WHEN fp>=20 AND tp>=8 THEN round(me,6) END median_error, CASE WHEN fp>=20 AND tp>=8 THEN round(p9,6) END p90_error, CASE WHEN fp>=20 AND tp>=8 THEN round(inl,6) END inliers,
+coalesce(fp>=20 AND tp>=8 AND me<=0.2::DOUBLE AND p9<=0.5::DOUBLE AND inl>=0.65::DOUBLE,false) accepted FROM f LEFT JOIN t USING (face_ix)""")
 def scale_calibration(spark, sf_dir):
-    o = view(spark, sf_dir, "v_observation").select("face_ix", "split", F.col("depth_z").alias("metric"), (F.col("depth_z") * (1 + F.col("reprojection_error_px") / 100) / 2).alias("raw"))
-    return observations.calibration(o, ["face_ix"]).select("face_ix", _r("scale"), "fit_points", _r("median_error"), _r("p90_error"), "test_points", "usable")
+    o = view(spark, sf_dir, "v_observation").groupBy("face_ix", "point_id").agg(F.min("depth_z").alias("metric"), F.min("reprojection_error_px").alias("e"))
+    o = o.select("face_ix", "point_id", (F.col("point_id") % 4 != 0).alias("fit"), "metric", (F.col("metric") * (1 + F.col("e") / (1 + F.col("face_ix"))) / 2).alias("raw"))
+    return observations.calibration(o, ["face_ix"]).select("face_ix", _r("scale"), "fit_points", "test_points", _r("median_error"), _r("p90_error"), _r("inliers"), "accepted")
 
 
-@query("v_observation", """WITH d AS (SELECT station_id, face_ix, point_id, min((reprojection_error_px, px, py, source_row, depth_z, support_station_count, angle_deg)) b FROM v_observation GROUP BY ALL),
-e AS (SELECT point_id, station_id, b[1] er, b[7] an FROM d) SELECT point_id, count(DISTINCT station_id) stations, min(er) least_error, max(an) angle, count(DISTINCT station_id)>=3 AND max(an)>=4 AND min(er)<=1 strong FROM e GROUP BY point_id HAVING count(DISTINCT station_id)>=2""")
+@query("v_observation", f"WITH {_FIRST.format(where=chr(32) + 'WHERE split=' + repr('train'))} SELECT point_id, count(DISTINCT station_id) stations, min(reprojection_error_px) least_error, max(angle_deg) angle, count(DISTINCT station_id)>=3 AND max(angle_deg)>=4 AND min(reprojection_error_px)<=1 strong FROM once GROUP BY point_id HAVING count(DISTINCT station_id)>=2")
 def ground_inventory(spark, sf_dir):
     return observations.ground(view(spark, sf_dir, "v_observation"), ["station_id", "face_ix"])
 
@@ -357,10 +398,11 @@ def cache_totals(spark, sf_dir):
     return quality.cache_prefix(p)
 
 
-@query("", "SELECT CAST(5 AS BIGINT) reusable_stages")
+@query("", """WITH p AS (SELECT p_partkey%9 stage, CAST(p_partkey AS VARCHAR) path, sha256(CAST(p_partkey AS VARCHAR)) h FROM part), n AS (SELECT path, CASE WHEN stage=5 THEN 'changed' ELSE h END h FROM p WHERE stage<>7)
+SELECT coalesce(min(p.stage) FILTER (n.h IS NULL OR n.h<>p.h), max(p.stage)+1) reusable_stages FROM p LEFT JOIN n USING (path)""")
 def reuse_plan(spark, sf_dir):
     p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 9).alias("stage_index"), F.col("p_partkey").cast("string").alias("path"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"))
-    now = p.select("path", F.when(F.col("stage_index") == 5, F.lit("changed")).otherwise(F.col("sha256")).alias("sha256"))
+    now = p.where("stage_index <> 7").select("path", F.when(F.col("stage_index") == 5, F.lit("changed")).otherwise(F.col("sha256")).alias("sha256"))
     return quality.reuse_plan(p, now)
 
 
@@ -370,23 +412,23 @@ def distribution(spark, sf_dir):
     return out.select("finite", "other", *(_r(c) for c in out.columns[2:]))
 
 
-_INSPECT = "i AS (SELECT row_id, list_sort([exp(scale_0),exp(scale_1),exp(scale_2)]) s, 1/(1+exp(-opacity)) alpha FROM v_gaussian), k AS (SELECT row_id, s[1] a, s[2] m, s[3] b, alpha FROM i)"
+_INSPECT = f"{_BASELINE}, i AS (SELECT row_id, list_sort([exp(scale_0),exp(scale_1),exp(scale_2)]) s, 1/(1+exp(-opacity)) alpha FROM v_gaussian), k AS (SELECT row_id, s[1] a, s[2] m, s[3] b, alpha, baseline bl FROM i, bl)"
 
 
-@query("v_gaussian", f"WITH {_INSPECT} SELECT row_id, round(a,6) sigma_min, round(m,6) sigma_mid, round(b,6) sigma_max, round(b/a,4) axis_ratio, 6*b/4>4 \"large\", b/a>100 \"long\", alpha>0.5::DOUBLE opaque FROM k")
+@query("v_gaussian v_camera", f"WITH {_INSPECT} SELECT row_id, round(a,6) sigma_min, round(m,6) sigma_mid, round(b,6) sigma_max, round(b/a,4) axis_ratio, 6*b/bl>4 \"large\", b/a>100 \"long\", alpha>0.5::DOUBLE opaque FROM k")
 def inspection(spark, sf_dir):
-    out = gaussians.inspection(view(spark, sf_dir, "v_gaussian"), spark.createDataFrame([(4.0,)], "baseline double"))
+    out = gaussians.inspection(view(spark, sf_dir, "v_gaussian"), stations.baseline(_captures(spark, sf_dir)).select("baseline"))
     return out.select("row_id", _r("sigma_min"), _r("sigma_mid"), _r("sigma_max"), _r("axis_ratio", digits=4), "large", "long", "opaque")
 
 
-@query("v_gaussian", f"WITH {_INSPECT}, f AS (SELECT row_id, 'large' flag FROM k WHERE 6*b/4>4 UNION ALL SELECT row_id, 'long' FROM k WHERE b/a>100) SELECT flag, row_id FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY row_id) rn FROM f) WHERE rn<=32")
+@query("v_gaussian v_camera", f"WITH {_INSPECT}, f AS (SELECT row_id, 'large' flag FROM k WHERE 6*b/bl>4 UNION ALL SELECT row_id, 'long' FROM k WHERE b/a>100) SELECT flag, row_id FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY row_id) rn FROM f) WHERE rn<=32")
 def first_examples(spark, sf_dir):
-    return gaussians.first_examples(gaussians.inspection(view(spark, sf_dir, "v_gaussian"), spark.createDataFrame([(4.0,)], "baseline double")), ("large", "long"))
+    return gaussians.first_examples(gaussians.inspection(view(spark, sf_dir, "v_gaussian"), stations.baseline(_captures(spark, sf_dir)).select("baseline")), ("large", "long"))
 
 
-@query("v_gaussian", """WITH s AS (SELECT *, exp(greatest(scale_0,scale_1,scale_2)) g FROM v_gaussian) SELECT round(min(x),6) min_x, round(max(x),6) max_x, round(min(z),6) min_z, round(max(z),6) max_z, round(quantile_cont(g,0.5),6) q50, round(quantile_cont(g,0.95),6) q95, round(quantile_cont(g,0.99),6) q99, round(max(g),6) q100, count(*) FILTER (g>0.5::DOUBLE) "large", round(avg(1/(1+exp(-opacity))),6) mean_opacity FROM s""")
+@query("v_gaussian v_camera", f"""WITH {_SCENE}, s AS (SELECT *, exp(greatest(scale_0,scale_1,scale_2)) g FROM v_gaussian, scene) SELECT round(min(x),6) min_x, round(max(x),6) max_x, round(min(z),6) min_z, round(max(z),6) max_z, round(quantile_cont(g,0.5),6) q50, round(quantile_cont(g,0.95),6) q95, round(quantile_cont(g,0.99),6) q99, round(max(g),6) q100, count(*) FILTER (g>0.05::DOUBLE*radius) "large", round(avg(1/(1+exp(-opacity))),6) mean_opacity FROM s""")
 def geometry(spark, sf_dir):
-    out = gaussians.geometry(view(spark, sf_dir, "v_gaussian"), spark.createDataFrame([(10.0,)], "radius double"))
+    out = gaussians.geometry(view(spark, sf_dir, "v_gaussian"), stations.scene(view(spark, sf_dir, "v_camera")))
     return out.select(*(_r(c) for c in ("min_x", "max_x", "min_z", "max_z", "q50", "q95", "q99", "q100")), "large", _r("mean_opacity"))
 
 
@@ -409,58 +451,63 @@ def covariance(spark, sf_dir):
     return view(spark, sf_dir, "v_gaussian").select("row_id", *(F.round(c[n], 3).alias(n) for n in ("cxx", "cxy", "cyy")))
 
 
-_PROJ = "g AS (SELECT row_id, frame_name, station_id, 128*(x-cx)/(z-cz)+128 u, 128*(y-cy)/(z-cz)+64 v, z-cz depth FROM v_gaussian, v_camera WHERE z>cz AND station_id<=20), s AS (SELECT * FROM g WHERE u>=0 AND u<256 AND v>=0 AND v<128)"
+_PROJ = """pj AS (SELECT row_id, frame_name, station_id, fl_x, fl_y, pp_x, pp_y, w, h, r00*(x-cx)+r10*(y-cy)+r20*(z-cz) xc, r01*(x-cx)+r11*(y-cy)+r21*(z-cz) yc, r02*(x-cx)+r12*(y-cy)+r22*(z-cz) depth FROM v_gaussian, v_pose),
+s AS (SELECT *, fl_x*xc/depth+pp_x u, fl_y*yc/depth+pp_y v FROM pj WHERE depth>0 AND fl_x*xc/depth+pp_x>=0 AND fl_x*xc/depth+pp_x<w AND fl_y*yc/depth+pp_y>=0 AND fl_y*yc/depth+pp_y<h)"""
 
 
 def _seen(spark, sf_dir):
-    return evidence.projected(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera").where("station_id <= 20"), 128.0, 256, 128)
+    return evidence.projected(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_pose"))
 
 
-@query("v_gaussian v_camera", f"WITH {_PROJ} SELECT row_id, frame_name, round(u,4) u, round(v,4) v, round(depth,6) depth FROM s")
+@query("v_gaussian v_pose", f"WITH {_PROJ} SELECT row_id, frame_name, round(u,3) u, round(v,3) v, round(depth,6) depth FROM s")
 def projection(spark, sf_dir):
-    return _seen(spark, sf_dir).select("row_id", "frame_name", _r("u", digits=4), _r("v", digits=4), _r("depth"))
+    return _seen(spark, sf_dir).select("row_id", "frame_name", _r("u", digits=3), _r("v", digits=3), _r("depth"))
 
 
 _SEEN = f"{_PROJ}, e AS (SELECT row_id, station_id, depth < 6 fr, depth BETWEEN 6 AND 9 su, depth > 20 bl FROM s), w AS (SELECT row_id, station_id, bool_or(fr) AND NOT bool_or(su) AND NOT bool_or(bl) fr, bool_or(su) su FROM e GROUP BY ALL)"
 
 
-@query("v_gaussian v_camera", f"WITH {_SEEN} SELECT row_id, count(*) FILTER (fr) \"free\", count(*) FILTER (su) support, count(*) FILTER (fr)>=3 AND count(*) FILTER (su)=0 AS remove FROM w GROUP BY row_id")
+@query("v_gaussian v_pose", f"WITH {_SEEN} SELECT row_id, count(*) FILTER (fr) \"free\", count(*) FILTER (su) support, count(*) FILTER (fr)>=3 AND count(*) FILTER (su)=0 AS remove FROM w GROUP BY row_id")
 def station_votes(spark, sf_dir):
-    return _station_votes(_seen(spark, sf_dir))
+    s = _seen(spark, sf_dir).select("row_id", "station_id", (F.col("depth") < 6).alias("free"), F.col("depth").between(6, 9).alias("support"), (F.col("depth") > 20).alias("blocked"))
+    return evidence.selection(evidence.station_votes(s))
 
 
-@query("v_gaussian v_camera", f"WITH {_PROJ}, l AS (SELECT row_id, station_id, bool_or(v<64) sky, bool_or(v>=64) ground FROM s GROUP BY ALL) SELECT row_id, count(*) FILTER (sky) sky_votes, count(*) FILTER (ground) ground_votes FROM l GROUP BY row_id")
+@query("v_gaussian v_pose", f"WITH {_PROJ}, l AS (SELECT row_id, station_id, bool_or(v<64) sky, bool_or(v>=64) ground FROM s GROUP BY ALL) SELECT row_id, count(*) FILTER (sky) sky_votes, count(*) FILTER (ground) ground_votes FROM l GROUP BY row_id")
 def label_votes(spark, sf_dir):
-    return _label_votes(_seen(spark, sf_dir))
+    return evidence.label_votes(_seen(spark, sf_dir).withColumn("label", F.when(F.col("v") < 64, "sky").otherwise("ground")), ["sky", "ground"])
 
 
-def _seen_whole(spark, sf_dir):
-    """The views of all stations; the product is too slow for the SQL, which keeps the first few."""
-    return evidence.projected(view(spark, sf_dir, "v_gaussian"), view(spark, sf_dir, "v_camera"), 128.0, 256, 128)
+_SPREAD = "c3 AS (SELECT row_id, " + ", ".join(f"{n} {a}" for a, n in (("w", "rot_0"), ("qx", "rot_1"), ("qy", "rot_2"), ("qz", "rot_3"))) + ", exp(2*scale_0) v0, exp(2*scale_1) v1, exp(2*scale_2) v2, 2/(rot_0*rot_0+rot_1*rot_1+rot_2*rot_2+rot_3*rot_3) s FROM v_gaussian), m3 AS (SELECT *, 1-s*(qy*qy+qz*qz) a00, s*(qx*qy-w*qz) a01, s*(qx*qz+w*qy) a02, s*(qx*qy+w*qz) a10, 1-s*(qx*qx+qz*qz) a11, s*(qy*qz-w*qx) a12, s*(qx*qz-w*qy) a20, s*(qy*qz+w*qx) a21, 1-s*(qx*qx+qy*qy) a22 FROM c3)"
+# With the Gaussian's axes a and a direction d, d' C d is the sum of v (a' d)^2.
+_ALONG = "+".join(f"v{k}*pow(a0{k}*({{0}})+a1{k}*({{1}})+a2{k}*({{2}}),2)" for k in range(3))
+_CROSS = "+".join(f"v{k}*(a0{k}*({{0}})+a1{k}*({{1}})+a2{k}*({{2}}))*(a0{k}*({{3}})+a1{k}*({{4}})+a2{k}*({{5}}))" for k in range(3))
 
 
-def _station_votes(seen):
-    s = seen.select("row_id", "station_id", (F.col("depth") < 6).alias("free"), F.col("depth").between(6, 9).alias("support"), (F.col("depth") > 20).alias("blocked"))
-    return evidence.selection(evidence.station_votes(s))
+def _with_spread(spark, sf_dir, shrunk=0):
+    c = geo.covariance([F.col(f"rot_{i}") for i in range(4)], [F.col(f"scale_{i}") - shrunk for i in range(3)])
+    return view(spark, sf_dir, "v_gaussian").select("row_id", "x", "y", "z", *(v.alias(n) for n, v in c.items()))
 
 
-def _label_votes(seen):
-    return evidence.label_votes(seen.withColumn("label", F.when(F.col("v") < 64, "sky").otherwise("ground")), ["sky", "ground"])
+_JX = [f"(fl_x/depth*r{i}0-fl_x*xc/(depth*depth)*r{i}2)" for i in range(3)]
+_JY = [f"(fl_y/depth*r{i}1-fl_y*yc/(depth*depth)*r{i}2)" for i in range(3)]
 
 
-@query()
-def projection_whole(spark, sf_dir):
-    return _seen_whole(spark, sf_dir).select("row_id", "frame_name", _r("u", digits=4), _r("v", digits=4), _r("depth"))
+@query("v_gaussian v_pose", f"""WITH {_PROJ}, {_SPREAD}, im AS (SELECT s.row_id, frame_name, sqrt({_ALONG.format('r02', 'r12', 'r22')}) sigma, {_ALONG.format(*_JX)} a, {_CROSS.format(*_JX, *_JY)} b, {_ALONG.format(*_JY)} c
+FROM (SELECT s.*, r00, r01, r02, r10, r11, r12, r20, r21, r22 FROM s JOIN (SELECT frame_name, r00, r01, r02, r10, r11, r12, r20, r21, r22 FROM v_pose) USING (frame_name)) s JOIN m3 ON m3.row_id=s.row_id WHERE depth>2) SELECT row_id, frame_name, round(sigma,4) sigma, round(ln(a),5) log_a, round(ln(c),5) log_c, round(1+b/sqrt(a*c),5) tilt FROM im""")
+def projected_spread(spark, sf_dir):
+    seen = evidence.projected(_with_spread(spark, sf_dir), view(spark, sf_dir, "v_pose")).where("depth > 2")
+    a, b, c = evidence.image_covariance()
+    out = seen.select("row_id", "frame_name", evidence.depth_sigma().alias("sigma"), a.alias("a"), b.alias("b"), c.alias("c"))
+    return out.select("row_id", "frame_name", _r("sigma", digits=4), _r("log_a", F.log("a"), 5), _r("log_c", F.log("c"), 5), _r("tilt", 1 + F.col("b") / F.sqrt(F.col("a") * F.col("c")), 5))
 
 
 @query()
-def station_votes_whole(spark, sf_dir):
-    return _station_votes(_seen_whole(spark, sf_dir))
-
-
-@query()
-def label_votes_whole(spark, sf_dir):
-    return _label_votes(_seen_whole(spark, sf_dir))
+def free_space(spark, sf_dir):
+    """Sparse pruning by centres and footprints, at the resolution of the depths; tests hold it against numpy."""
+    small = {n: F.col(n) / 16 for n in ("fl_x", "fl_y", "pp_x", "pp_y", "w", "h")}
+    depths = view(spark, sf_dir, "v_depth").select("frame_name", F.col("tx").alias("ix"), F.col("ty").alias("iy"), "depth", "confidence")
+    return evidence.free_space(_with_spread(spark, sf_dir, 2), view(spark, sf_dir, "v_pose").withColumns(small), depths)
 
 
 _PIX = "px AS (SELECT 'a' frame_name, CAST(i%96 AS BIGINT) ix, CAST(i//96 AS BIGINT) iy, (i*7919)%13<>0 \"valid\", CAST((i*31)%97 AS DOUBLE) depth FROM range(0,96*64) t(i))"
@@ -499,20 +546,19 @@ def box_matches(spark, sf_dir):
     return out.select("instance_id", "detection_id", _r("iou"), _r("inside"), "verified")
 
 
-@query("v_link", "WITH RECURSIVE e AS (SELECT src a, dst b FROM v_link WHERE src%20=dst%20 AND src<>dst), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a id, a c FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a=r.c) SELECT id, min(c) component FROM r GROUP BY id")
+@query("v_link", "WITH RECURSIVE e AS (SELECT DISTINCT src a, dst b FROM v_link WHERE src<>dst), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a id, a c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a=r.id AND r.c<u.b) SELECT id, min(c) component FROM r GROUP BY id")
 def connected(spark, sf_dir):
-    l = view(spark, sf_dir, "v_link").where("src % 20 = dst % 20 AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    l = view(spark, sf_dir, "v_link").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return graph.connected(l)
 
 
-@query()
-def connected_whole(spark, sf_dir):
-    """All of v_link, which recursive SQL is too slow for; tests hold it against a union-find."""
-    l = view(spark, sf_dir, "v_link").where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return graph.connected(l)
+_APART = _HAVERSINE.format(a="p.lat", b="p.lng", c="m.lat", d="m.lng")
 
 
-@query()
+@query("v_capture", f"""WITH RECURSIVE p AS (SELECT pano_id id, lat, lng, row_number() OVER (ORDER BY pano_id) n FROM v_capture), r AS (SELECT CAST(0 AS BIGINT) n, CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lng DOUBLE)[][]) g UNION ALL
+SELECT q.n, CASE WHEN k IS NULL THEN list_append(g, [struct_pack(id := q.id, lat := q.lat, lng := q.lng)]) ELSE list_transform(g, lambda x, i: CASE WHEN i=k THEN list_append(x, struct_pack(id := q.id, lat := q.lat, lng := q.lng)) ELSE x END) END
+FROM (SELECT p.n, p.id, p.lat, p.lng, r.g, list_position(list_transform(r.g, lambda x: len(list_filter(x, lambda m: {_APART} > 25))=0), true) k FROM r JOIN p ON p.n=r.n+1) q),
+w AS (SELECT unnest(g) x FROM r WHERE n=(SELECT max(n) FROM p)) SELECT unnest(list_transform(x, lambda m: m.id)) id, x[1].id group_id FROM w""")
 def complete_link(spark, sf_dir):
     c = view(spark, sf_dir, "v_capture").select(F.col("pano_id").alias("id"), "lat", "lng")
     return stations.complete_link(c, 25.0)
@@ -644,7 +690,7 @@ def manifest_faults(spark, sf_dir):
     return lineage.manifest_faults(p.drop("p_partkey"), now.drop("p_partkey"))
 
 
-@query("v_camera", f"WITH {_SCENE.split('marked AS')[0].rstrip().rstrip(',')} SELECT st.station_id FROM st, scene ORDER BY sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz)), st.station_id LIMIT 1")
+@query("v_camera", f"WITH {_SCENE} SELECT st.station_id FROM st, scene ORDER BY sqrt((cx-mx)*(cx-mx)+(cy-my)*(cy-my)+(cz-mz)*(cz-mz)), st.station_id LIMIT 1")
 def central_station(spark, sf_dir):
     own = stations.centres(view(spark, sf_dir, "v_camera"))
     mid = own.agg(*(F.avg(c).alias(f"m{c}") for c in ("cx", "cy", "cz")))
@@ -652,10 +698,9 @@ def central_station(spark, sf_dir):
     return own.crossJoin(F.broadcast(mid)).orderBy(d, "station_id").limit(1).select("station_id")
 
 
-@query("v_camera", "WITH s AS (SELECT station_id, avg(cx) ux, avg(cy+20) uy, avg(cz) uz FROM v_camera GROUP BY 1), n AS (SELECT ux/sqrt(ux*ux+uy*uy+uz*uz) ux, uy/sqrt(ux*ux+uy*uy+uz*uz) uy, uz/sqrt(ux*ux+uy*uy+uz*uz) uz FROM s), m AS (SELECT avg(ux) ux, avg(uy) uy, avg(uz) uz FROM n), k AS (SELECT ux/sqrt(ux*ux+uy*uy+uz*uz) mx, uy/sqrt(ux*ux+uy*uy+uz*uz) my, uz/sqrt(ux*ux+uy*uy+uz*uz) mz FROM m) SELECT round(mx,6) mx, round(my,6) my, round(mz,6) mz, bool_and(ux*mx+uy*my+uz*mz>=cos(radians(5))) consistent FROM n, k GROUP BY mx, my, mz")
-def up_axis(spark, sf_dir):
-    c = view(spark, sf_dir, "v_camera").withColumn("cy", F.col("cy") + 20)
-    return stations.up_axis(c, "cx", "cy", "cz").select(_r("mx", F.col("m_cx")), _r("my", F.col("m_cy")), _r("mz", F.col("m_cz")), "consistent")
+@query("v_pose", f"WITH {_UP} SELECT round(ux,6)+0 ux, round(uy,6)+0 uy, round(uz,6)+0 uz FROM up")
+def world_up(spark, sf_dir):
+    return spark.createDataFrame([_up(spark, sf_dir)], "ux double, uy double, uz double").select(*((F.round(c, 6) + 0.0).alias(c) for c in ("ux", "uy", "uz")))
 
 
 _SQUARE = "JOIN mk b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import rigid
 
 FRAME = "file_path string, station_id string, pano_id string, face string, w int, h int, fl_x double, fl_y double, cx double, cy double, transform_matrix array<array<double>>"
-DOCUMENT = f"coordinate_frame string, units string, camera_convention string, w int, h int, fl_x double, fl_y double, cx double, cy double, frames array<struct<{FRAME.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>"
+DOCUMENT = f"coordinate_frame string, units string, camera_convention string, world_up array<double>, w int, h int, fl_x double, fl_y double, cx double, cy double, frames array<struct<{FRAME.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>"
 UNITS = ("m", "meters", "metres")
 
 
@@ -31,6 +31,15 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def declarations(spark: SparkSession, path: str) -> tuple[list[tuple[float, ...]], str]:
+    """The directions that the documents declare as up, and their camera convention (OpenCV_c2w if none says)."""
+    docs = spark.read.schema(DOCUMENT).json(path, multiLine=True).select("world_up", "camera_convention").distinct().collect()
+    conventions = {d.camera_convention or "OpenCV_c2w" for d in docs}
+    if len(conventions) > 1:
+        raise ValueError("the documents' camera conventions differ")
+    return [tuple(d.world_up) for d in docs if d.world_up is not None], next(iter(conventions), "OpenCV_c2w")
+
+
 def to_opencv(cameras: DataFrame) -> DataFrame:
     """Turn OpenGL rotations into OpenCV ones: the second and third columns change sign."""
     return cameras.withColumns({f"r{i}{j}": -F.col(f"r{i}{j}") for i in range(3) for j in (1, 2)})
