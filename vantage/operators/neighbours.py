@@ -90,7 +90,7 @@ def sphere_nearest(queries: DataFrame, cores: DataFrame, degrees: float) -> Data
 
     chord = 2 * math.sin(math.radians(degrees) / 2)
     near = _pairs(queries, cores, chord, False).where(F.col("distance") <= chord * (1 + 1e-12)).groupBy("id").agg(F.min("distance").alias("d"))
-    angle = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.col("d") / 2)))
+    angle = F.when(F.col("d").isNotNull(), F.degrees(2 * F.asin(F.least(F.lit(1.0), F.col("d") / 2))))
     t = F.least(F.lit(1.0), F.col("angle") / degrees)
     return queries.select("id").join(near, "id", "left").withColumn("angle", angle).select("id", "angle", F.coalesce(1 - t * t * (3 - 2 * t), F.lit(0.0)).alias("weight"))
 

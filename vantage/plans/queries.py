@@ -793,3 +793,6 @@ def sky_guards(spark, sf_dir):
     m = view(spark, sf_dir, "v_view_metric").withColumn("category", F.when(F.col("category") == "A", "all").when(F.col("category") == "N", "sky").otherwise("foreground"))
     m = m.withColumnsRenamed({"static_pixels": "pixels", "new_hole_pixels": "new_holes"}).withColumns({"before_covered": F.col("pixels"), "after_covered": F.col("pixels")})
     return gates.sky_guards(m).select("category", "pixels", "stations", _r("worst_loss"), _r("pooled_loss"), "new_holes")
+
+
+from . import more  # noqa: E402, F401 - registers the rest
