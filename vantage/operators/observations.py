@@ -159,3 +159,48 @@ def unique_pixels(rows: DataFrame, group: str, pixel: list[str], order: str) ->
     """The first valid occurrence of each pixel within a row."""
     w = Window.partitionBy(group, *pixel).orderBy(order)
     return rows.where("valid").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def anchors(observations: DataFrame, frame: list[str], mask: DataFrame, width: int, height: int, min_support: int, min_angle: float, max_error: float) -> DataFrame:
+    """Observations that may anchor a depth scale: known, well supported, inside the image by a pixel and clear of the mask's edge."""
+    ok = F.coalesce((F.col("depth_z") > 0) & (F.col("depth_z") < float("inf")) & (F.col("support_station_count") >= min_support) & (F.col("angle_deg") >= min_angle) & (F.col("reprojection_error_px") <= max_error), F.lit(False))
+    ix, iy = F.floor("px"), F.floor("py")
+    inner = F.coalesce((ix >= 1) & (ix < width - 1) & (iy >= 1) & (iy < height - 1), F.lit(False))
+    return core_clear(observations.where(ok & inner), mask, frame)
+
+
+def eligible_frames(pixels: DataFrame, frame: str, min_stations: int) -> DataFrame:
+    """frame and station_id of the frames with a pixel of sky that isn't foreground; too few stations of them are an error."""
+    own = pixels.groupBy(frame, "station_id").agg(F.bool_or(F.col("sky") & ~F.col("foreground")).alias("ok")).where("ok").drop("ok")
+    n = own.agg(F.count_distinct("station_id").alias("_n"))
+    few = F.when(F.col("_n") < min_stations, F.raise_error(F.lit("too few stations show the sky")).cast("boolean")).otherwise(F.lit(True))
+    # The check stands beside the rows, so it is made where there are none, too.
+    return n.where(few).crossJoin(own).drop("_n")
+
+
+def tracks(points: DataFrame, images: DataFrame, sources: DataFrame) -> DataFrame:
+    """point_id, image_id, point2d and the source's columns of each element of the points' tracks (array of image_id, point2d).
+
+    Only images with a pose, and names (``name``) that a source is bound to, count.
+    """
+    flat = points.select("point_id", F.explode("track").alias("t")).select("point_id", F.col("t.image_id").alias("image_id"), F.col("t.point2d").alias("point2d"))
+    return flat.join(images.where("has_pose").select("image_id", "name"), "image_id").join(sources, "name")
+
+
+def bound_by_name(frames: DataFrame, depths: DataFrame) -> DataFrame:
+    """Frames (file_path) with the depth (image, depth_path) of the same base name; a frame without one keeps a null."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    own = depths.select(base(F.col("image")).alias("_base"), "depth_path")
+    return frames.withColumn("_base", base(F.col("file_path"))).join(own, "_base", "left").drop("_base")
+
+
+def paired_depths(metric: DataFrame, poses: DataFrame) -> DataFrame:
+    """Metric and pose rows of each image; that both come from the same source image is checked, and an error if not."""
+    both = metric.join(poses.withColumnRenamed("source_sha256", "_sha"), "image")
+    same = F.when(F.coalesce(F.col("source_sha256") != F.col("_sha"), F.lit(True)), F.raise_error(F.concat(F.lit("inferred from another image: "), F.col("image"))).cast("boolean")).otherwise(F.lit(True))
+    return both.where(same).drop("_sha")
+
+
+def face_tallies(frames: DataFrame) -> DataFrame:
+    """face, frames, accepted frames and their pixels."""
+    return frames.groupBy("face").agg(F.count(F.lit(1)).alias("frames"), F.count_if("accepted").alias("accepted_frames"), F.coalesce(F.sum(F.when(F.col("accepted"), F.col("pixels"))), F.lit(0)).cast("long").alias("pixels"))

@@ -176,3 +176,20 @@ def complete_link(places: DataFrame, tolerance_m: float = 0.25) -> DataFrame:
         return out
 
     return joined.groupBy("component").applyInPandas(greedy, "id long, group_id long")
+
+
+def preferred_view(frames: DataFrame) -> DataFrame:
+    """The frame (station_id, face, r12, frame_index, cx, cy, cz) to start from: of the station nearest to the mean of
+    stations, a front face before others, then the least tilted, then the first."""
+    xyz = ("cx", "cy", "cz")
+    own = centres(frames, dedup=False)
+    mid = own.agg(*(F.avg(c).alias(f"m{c}") for c in xyz))
+    d = distance([F.col(c) for c in xyz], [F.col(f"m{c}") for c in xyz])
+    first = own.crossJoin(F.broadcast(mid)).agg(F.min(F.struct(d.alias("d"), F.col("station_id").cast("string").alias("s"), "station_id")).alias("b")).select("b.station_id")
+    rank = F.struct((~F.col("face").isin("F", "front")).alias("other"), F.abs("r12").alias("tilt"), F.col("frame_index"))
+    return frames.join(F.broadcast(first), "station_id", "left_semi").withColumn("_k", rank).orderBy("_k").limit(1).drop("_k")
+
+
+def best_first(rows: DataFrame, keys: list[str], ascending: bool = False) -> DataFrame:
+    """The row with the greatest (or least) keys, compared in their order; a partial top-1, not a sort."""
+    return rows.orderBy(*(F.col(k).asc() if ascending else F.col(k).desc() for k in keys)).limit(1)

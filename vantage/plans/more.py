@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import capture, geo
-from ..operators import evidence, lineage, neighbours, observations, raster, sampling, stations
+from ..operators import evidence, lineage, neighbours, observations, raster, rig, sampling, stations
 from ..sources.views import table, view
-from .queries import _PROJ, _SCENE, _r, _seen, query
+from .queries import _ALONG, _CROSS, _PROJ, _SCENE, _SPREAD, _r, _seen, _with_spread, query
 
 _LINEAR = "CASE WHEN {0}<=0.04045::DOUBLE THEN {0}/12.92::DOUBLE ELSE pow(({0}+0.055::DOUBLE)/1.055::DOUBLE,2.4::DOUBLE) END"
 _SRGB = "CASE WHEN {0}<=0.0031308::DOUBLE THEN {0}*12.92::DOUBLE ELSE 1.055::DOUBLE*pow({0},1/2.4::DOUBLE)-0.055::DOUBLE END"
@@ -132,3 +132,87 @@ def replayed_report(spark, sf_dir):
     a = view(spark, sf_dir, "v_view_metric").select("frame", "category", "static_pixels")
     b = a.where("frame % 23 <> 0").withColumn("static_pixels", F.when(F.col("frame") % 17 == 0, F.col("static_pixels") + 1).otherwise(F.col("static_pixels")))
     return lineage.replayed(a, b)
+
+
+_AX = [[f"r{i}{j}" for i in range(3)] for j in range(3)]
+
+
+def _tangent(x: str, j: int, sign: str) -> str:
+    """x / z at a tangent of the ellipsoid of three deviations, by its quadratic's formula."""
+    xx, xz, zz = f"v{j}{j}", f"v{j}2", "v22"
+    return f"(({x}*depth-9*{xz}){sign}sqrt(greatest(0,pow({x}*depth-9*{xz},2)-(depth*depth-9*{zz})*({x}*{x}-9*{xx}))))/(depth*depth-9*{zz})"
+
+
+_VARS = ", ".join([f"{_ALONG.format(*_AX[j])} v{j}{j}" for j in range(3)] + [f"{_CROSS.format(*_AX[j], *_AX[2])} v{j}2" for j in range(2)])
+
+
+@query("v_gaussian v_pose", f"""WITH {_PROJ}, {_SPREAD}, b AS (SELECT s.row_id, frame_name, depth, xc, yc, fl_x, fl_y, pp_x, pp_y, {_VARS.replace('v0*', 'm3.v0*').replace('v1*', 'm3.v1*').replace('v2*', 'm3.v2*')}
+FROM (SELECT s.*, r00, r01, r02, r10, r11, r12, r20, r21, r22 FROM s JOIN (SELECT frame_name, r00, r01, r02, r10, r11, r12, r20, r21, r22 FROM v_pose) USING (frame_name)) s JOIN (SELECT * REPLACE (v0/54.598150033144236 AS v0, v1/54.598150033144236 AS v1, v2/54.598150033144236 AS v2) FROM m3) m3 ON m3.row_id=s.row_id)
+SELECT row_id, frame_name, round(depth-3*sqrt(v22),4) front, round(fl_x*{_tangent('xc', 0, '-')}+pp_x,2)+0 u_low, round(fl_x*{_tangent('xc', 0, '+')}+pp_x,2)+0 u_high, round(fl_y*{_tangent('yc', 1, '-')}+pp_y,2)+0 v_low, round(fl_y*{_tangent('yc', 1, '+')}+pp_y,2)+0 v_high FROM b WHERE depth>5*sqrt(v22)""")
+def perspective_bounds(spark, sf_dir):
+    seen = evidence.projected(_with_spread(spark, sf_dir, 2), view(spark, sf_dir, "v_pose")).withColumn("sigma", evidence.depth_sigma())
+    b = evidence.perspective_bounds()
+    own = seen.where("depth > 5 * sigma").where(b["numeric"])
+    return own.select("row_id", "frame_name", _r("front", b["front"], 4), *((F.round(b[n], 2) + 0.0).alias(n) for n in ("u_low", "u_high", "v_low", "v_high")))
+
+
+@query()
+def rig_coverage(spark, sf_dir):
+    """A rig and rays of fixed size, which no table holds; tests hold it against numpy."""
+    return rig.coverage(rig.sphere_rays(spark, 256, 128), rig.views(spark))
+
+
+@query("v_observation", """WITH o AS (SELECT *, CAST(floor(px) AS BIGINT) ix, CAST(floor(py) AS BIGINT) iy FROM v_observation), m AS (SELECT DISTINCT station_id, ix+a x, iy+b y FROM o, range(-1,3) r(a), range(-1,2) q(b))
+SELECT source_row FROM o WHERE depth_z>0 AND support_station_count>=3 AND angle_deg>=4 AND reprojection_error_px<=1.5::DOUBLE AND ix BETWEEN 1 AND 1022 AND iy BETWEEN 1 AND 1022 AND (SELECT count(*) FROM m WHERE m.station_id=o.station_id AND abs(m.x-o.ix)<=1 AND abs(m.y-o.iy)<=1)=9""")
+def anchor_observations(spark, sf_dir):
+    o = view(spark, sf_dir, "v_observation")
+    at = o.select("station_id", F.floor("px").cast("long").alias("x"), F.floor("py").cast("long").alias("y"), F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    mask = at.select("station_id", (F.col("x") + F.col("a")).alias("ix"), (F.col("y") + F.col("b")).alias("iy"))
+    return observations.anchors(o, ["station_id"], mask, 1024, 1024, 3, 4.0, 1.5).select("source_row")
+
+
+@query("v_depth v_pose", "SELECT DISTINCT frame_name, station_id FROM v_depth JOIN v_pose USING (frame_name) WHERE depth>130 AND confidence<0.5::DOUBLE")
+def eligible_frames(spark, sf_dir):
+    p = view(spark, sf_dir, "v_depth").join(view(spark, sf_dir, "v_pose").select("frame_name", "station_id"), "frame_name")
+    return observations.eligible_frames(p.select("frame_name", "station_id", (F.col("depth") > 130).alias("sky"), (F.col("confidence") >= 0.5).alias("foreground")), "frame_name", 2)
+
+
+@query("v_observation", "SELECT point_id, station_id image_id, source_row point2d, 'f'||station_id source FROM v_observation WHERE station_id%3<>0 AND station_id%5<>1")
+def track_rows(spark, sf_dir):
+    o = view(spark, sf_dir, "v_observation")
+    points = o.groupBy("point_id").agg(F.collect_list(F.struct(F.col("station_id").alias("image_id"), F.col("source_row").alias("point2d"))).alias("track"))
+    ids = o.select(F.col("station_id").alias("image_id")).distinct()
+    images = ids.select("image_id", F.concat(F.lit("n"), F.col("image_id").cast("string")).alias("name"), (F.col("image_id") % 3 != 0).alias("has_pose"))
+    sources = ids.where("image_id % 5 <> 1").select(F.concat(F.lit("n"), F.col("image_id").cast("string")).alias("name"), F.concat(F.lit("f"), F.col("image_id").cast("string")).alias("source"))
+    return observations.tracks(points, images, sources).select("point_id", "image_id", "point2d", "source")
+
+
+@query("v_camera", "SELECT concat('a/b/', frame_name) file_path, CASE WHEN station_id%4<>0 THEN concat('d/', frame_name) END depth_path FROM v_camera")
+def depth_by_name(spark, sf_dir):
+    c = view(spark, sf_dir, "v_camera").select("station_id", "frame_name")
+    depths = c.where("station_id % 4 <> 0").select(F.concat(F.lit("other/"), "frame_name").alias("image"), F.concat(F.lit("d/"), "frame_name").alias("depth_path"))
+    return observations.bound_by_name(c.select(F.concat(F.lit("a/b/"), "frame_name").alias("file_path")), depths)
+
+
+@query("v_camera", "SELECT frame_name image, station_id*2 metric, station_id*3 pose FROM v_camera WHERE station_id%2=0")
+def paired_depths(spark, sf_dir):
+    c = view(spark, sf_dir, "v_camera").select(F.col("frame_name").alias("image"), F.sha2("frame_name", 256).alias("source_sha256"), "station_id")
+    return observations.paired_depths(c.select("image", "source_sha256", (F.col("station_id") * 2).alias("metric")), c.where("station_id % 2 = 0").select("image", "source_sha256", (F.col("station_id") * 3).alias("pose"))).select("image", "metric", "pose")
+
+
+@query("v_camera", "SELECT face, count(*) frames, count(*) FILTER (station_id%3=0) accepted_frames, CAST(coalesce(sum(station_id) FILTER (station_id%3=0),0) AS BIGINT) pixels FROM v_camera GROUP BY 1")
+def face_tallies(spark, sf_dir):
+    c = view(spark, sf_dir, "v_camera")
+    return observations.face_tallies(c.select("face", (F.col("station_id") % 3 == 0).alias("accepted"), F.col("station_id").alias("pixels")))
+
+
+@query("v_pose", """WITH s AS (SELECT station_id, avg(cx) cx, avg(cy) cy, avg(cz) cz FROM v_pose GROUP BY 1), m AS (SELECT avg(cx) x, avg(cy) y, avg(cz) z FROM s), c AS (SELECT station_id FROM s, m ORDER BY sqrt((cx-x)*(cx-x)+(cy-y)*(cy-y)+(cz-z)*(cz-z)), CAST(station_id AS VARCHAR) LIMIT 1)
+SELECT frame_name FROM v_pose WHERE station_id=(FROM c) ORDER BY face<>'F', abs(r12), frame_name LIMIT 1""")
+def preferred_view(spark, sf_dir):
+    return stations.preferred_view(view(spark, sf_dir, "v_pose").withColumn("frame_index", F.col("frame_name"))).select("frame_name")
+
+
+@query("v_view_metric", "SELECT station_id, n, p FROM (SELECT station_id, count(*) n, CAST(sum(static_pixels) AS BIGINT) p FROM v_view_metric GROUP BY 1) ORDER BY n DESC, p DESC, station_id DESC LIMIT 1")
+def best_model(spark, sf_dir):
+    m = view(spark, sf_dir, "v_view_metric").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.sum("static_pixels").alias("p"))
+    return stations.best_first(m, ["n", "p", "station_id"])
