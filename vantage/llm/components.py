@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, skew_join, stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _watched(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``edges`` stored, and what changes with them, which the writing observes."""
+    seen = Observation()
+    mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    out = stored(edges.observe(seen, *mark), name)
+    return out, (seen.get["n"], seen.get["s"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,20 +24,18 @@ def components(links: DataFrame) -> DataFrame:
     shuffle; no id's neighbours are gathered in one row. The links of each round are a table in the shared
     folder, and rounds end when they no longer change.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = _mark(edges)
+    edges, mark = _watched(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = skew_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        after = stored(small.where("u <> v").distinct(), "links")
+        small = skew_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        after, now = _watched(small.where("u <> v").distinct(), "links")
         dropped(edges)
         dropped(large)
-        edges, before = after, mark
-        mark = _mark(edges)
+        edges, before, mark = after, mark, now
         if mark == before:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

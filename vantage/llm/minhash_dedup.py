@@ -13,10 +13,10 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import lean, skew_join, stored, text_bytes, trimmed
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -50,7 +50,7 @@ class Shingler:
         import xxhash
 
         words = text.lower().split()
-        if len(self.seen) > 1 << 19:
+        if len(self.seen) > 1 << 17:
             self.seen.clear()
         seen, digest = self.seen, xxhash.xxh3_64_intdigest
         for w in set(words).difference(seen):
@@ -123,8 +123,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def row_key() -> Column:
+    """A fingerprint of doc_id and text (null: empty) that tells a null id from others."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.coalesce(F.col("text"), F.lit("")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and row (:func:`row_key`)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row"))
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set) and sig of each row; digest and sig are null for empty sets."""
+    """doc_id, row, n_shingles, digest (of the set) and sig of each row; digest and sig are null for empty sets."""
 
     def run(batches):
         import pyarrow as pa
@@ -136,15 +146,15 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("row"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "digest", "sig"],
+                ["doc_id", "row", "n_shingles", "digest", "sig"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return _rows(docs).mapInArrow(lean(run), "doc_id long, row long, n_shingles long, digest binary, sig binary")
 
 
 def _banded(signs: DataFrame) -> DataFrame:
@@ -158,29 +168,37 @@ def _banded(signs: DataFrame) -> DataFrame:
             keys = np.concatenate([np.zeros(0, np.int64), *map(band_keys, sig)])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("id").to_numpy(zero_copy_only=False), BANDS))], ["bucket", "id"])
 
-    return signs.select("id", "sig").mapInArrow(run, "bucket long, id long")
+    return signs.select("id", "sig").mapInArrow(lean(run), "bucket long, id long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and set (sorted fingerprints) of the classes' first documents in ``ids`` (id, digest)."""
+    """id and set (sorted fingerprints) of the classes in ``ids`` (id, row, digest), from a row of each."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        make = Shingler(words)
+        make, done = Shingler(words), set()
         for b in batches:
-            sets = [make(t).tobytes() for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "set"])
+            # Of equal rows a task reads one.
+            first = {r: i for i, r in enumerate(b.column("row").to_pylist()) if r not in done}
+            done.update(first)
+            sets = [make(t).tobytes() for t in text_bytes(b.column("text").take(pa.array(list(first.values()), pa.int64())))]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "set"])
+
+    rows = _rows(docs).join(ids.select("row"), "row", "left_semi")
+    return rows.mapInArrow(lean(run), "digest binary, set binary").join(ids.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    # A doc_id may come with several texts; the class wants the one with its digest, once.
-    return rows.mapInArrow(run, "id long, digest binary, set binary").join(ids, ["id", "digest"], "left_semi").dropDuplicates(["id"])
+
+def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """The pairs (p, q) as a, b with both ends' ``name``; p may be one end of very many pairs."""
+    ends = [of.select(F.col("id").alias(c), F.col(name).alias(f"{name}_{to}")) for c, to in (("p", "a"), ("q", "b"))]
+    both = pairs.join(ends[1], "q").join(ends[0], "p")
+    return both.select(F.col("p").alias("a"), F.col("q").alias("b"), f"{name}_a", f"{name}_b")
 
 
 def _tested(pairs: DataFrame, signs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) that the Bayesian tests don't prune."""
+    """The pairs (p, q) that the Bayesian tests don't prune, as a, b."""
 
     def run(batches):
         import pyarrow as pa
@@ -189,12 +207,11 @@ def _tested(pairs: DataFrame, signs: DataFrame, percent: int, miss: float) -> Da
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(survives(x, y, percent / 100, miss)))
 
-    signed = pairs.join(signs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(signs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return signed.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, signs, "sig").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (p, q) whose full sets are similar enough, as a, b."""
 
     def run(batches):
         import pyarrow as pa
@@ -204,8 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([similar(p, q, percent) for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(keep)
 
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sets, "set").mapInArrow(lean(run), "a long, b long")
 
 
 def _tile(rows: list[tuple], percent: int, miss: float) -> list[tuple[int, int]]:
@@ -265,42 +281,55 @@ def _tiles(live: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, mis
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     full = placed.join(signs.select("id", "sig").join(sets.select("id", "set"), "id"), "id")
-    return full.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
+    return full.groupBy("component", "i", "j").applyInArrow(trimmed(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text) by word shingles.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and
-    kept (doc_id = component_id) of each row. Words are runs of anything but space and 0x09-0x0D, with A-Z
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included),
+    kept (doc_id = component_id), row (:func:`row_key`) and group (a number of the group, null without a word) of
+    each row. Words are runs of anything but space and 0x09-0x0D, with A-Z
     lower-cased; a text with fewer than ``words`` words is one shingle. Two rows are linked from
     100 * intersection >= percent * union on; null, empty and blank texts have no shingle and are linked with
-    nothing. ``miss`` is the chance that a candidate at the threshold is pruned. Equal texts are in one group
-    whatever their number. Repeated rows are judged by their own text each; a row without a doc_id gets its
-    group's id (null if no row of it has one) and is never kept. Other columns are ignored; an empty table
-    gives an empty table. Shingles are compared as 64-bit fingerprints.
+    nothing. ``miss`` bounds each of the six tests' chance, under a uniform prior, that a pair that it prunes is
+    similar enough. Equal texts are in one group whatever their number. Repeated rows, and rows that share a doc_id,
+    are judged by their own text each; a row without a doc_id links like others, gets its group's id (null if no
+    row of it has one) and is never kept. Other columns are ignored; an empty table gives an empty table.
+    Shingles are compared as 64-bit fingerprints.
     """
     signed = stored(_signed(docs, words), "signed")
-    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id")).where(F.col("id").isNotNull())
-    signs = signed.select(F.col("doc_id").alias("id"), "digest", "sig").join(classes, ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    signs = stored(signs, "signs")
+    # A class is a set of shingles; its id is a number of its own, given once and kept in a table.
+    first = F.min(F.struct("row", "sig")).alias("first")
+    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("doc"), first)
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "doc", "first.row", "first.sig"), "classes")
+    signs = classes.select("id", "sig")
     band = _banded(signs)
     shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stored(band.join(shared, "bucket"), "members")
-    sets = stored(_sets(docs, signs.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest"), words), "sets")
+    sets = stored(_sets(docs, classes.select("id", "row", "digest").join(members.select("id").distinct(), "id", "left_semi"), words), "sets")
 
     pivot = members.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("p"))
-    pairs = members.join(pivot, "bucket").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    links = stored(_verified(_tested(pairs, signs, percent, miss), sets, percent), "found")
+    pairs = skew_join(members, pivot, "bucket").where("id <> p").select("p", F.col("id").alias("q")).distinct()
+    tested = _tested(stored(pairs, "pairs"), signs, percent, miss).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    links = stored(_verified(stored(tested, "tested"), sets, percent), "found")
     labels = stored(components(links), "labels")
-    labelled = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    labelled = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2")
-    live = stored(labelled.join(open_.select("bucket"), "bucket"), "live")
+    live = stored(skew_join(labelled, open_.select("bucket"), "bucket"), "live")
     more = stored(_tiles(live, signs, sets, percent, miss), "found")
     if not more.isEmpty():
-        labels = stored(components(links.unionAll(more)), "labels")
-
-    out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    out = out.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").withColumn("id", F.coalesce("component", "id"))
-    whole = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"))
+        # Groups joined by more links: components of the groups, which are far fewer than their members.
+        named = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group"))
+        between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+        joined = stored(components(between.distinct()), "joined")
+        whole = labels.select("id", F.col("component").alias("g")).unionAll(joined.select("id", F.col("id").alias("g")).join(labels.select("id"), "id", "left_anti"))
+        over = joined.select(F.col("id").alias("g"), F.col("component").alias("top"))
+        labels = stored(skew_join(whole, over, "g", "left").select("id", F.coalesce("top", "g").alias("component")), "labels")
+
+    known = stored(classes.join(labels, "id", "left").select("digest", "doc", F.coalesce("component", "id").alias("group")), "known")
+    least = known.groupBy("group").agg(F.min("doc").alias("component_id"))
+    named = skew_join(known, least, "group").select("digest", "component_id", "group")
+    out = skew_join(signed.select("doc_id", "n_shingles", "digest", "row"), named, "digest", "left")
+    whole = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(False)).alias("kept"), "row", "group")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import free_name, lean, text_bytes
 
 
 @dataclass(frozen=True)
@@ -114,12 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, s
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """score (0 to 1) and predicted (1 from ``threshold``) for every whole text.
 
-    Returns doc_id, score, predicted; with ``keep`` all columns of ``docs`` instead of doc_id. A null or
+    Returns doc_id, score, predicted; with ``keep`` all columns of ``docs`` instead of doc_id, and where they hold a
+    column of these names, the results' names begin with further underscores (:func:`free_name`). A null or
     empty text has difference 0, hence the calibration's offset as score. Rows are scored one by one, so
     repeated rows and null ids need no rule.
     """
     schema = docs.schema
     columns = docs.columns if keep else ["doc_id"]
+    names = free_name(columns, "score", "predicted")
+    (text,) = free_name(columns, "_scored_text")
 
     def run(batches):
         import pyarrow as pa
@@ -133,10 +136,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: bool = Fa
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(b.num_columns - 1)), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())],
-                [*columns, "score", "predicted"],
+                [*columns, *names],
             )
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    out = StructType([*(schema[c] for c in columns), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return docs.select(*columns, F.coalesce("text", F.lit("")).alias("_scored_text")).mapInArrow(run, out)
+    out = StructType([*(schema[c] for c in columns), StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    return docs.select(*columns, F.coalesce("text", F.lit("")).alias(text)).mapInArrow(lean(run), out)
