@@ -4,14 +4,17 @@ Every document of a source should be taken target / size times. The whole part i
 fraction is rounded by the pivotal method: two documents pass probability mass, weighed by their words, between
 them at random until one of them is decided, and the other goes on to meet the next. Chunks of documents of one
 source do so side by side, each leaving one undecided document; those meet in a tree of further chunks, so that
-the words taken stay near the target without gathering a source in one task.
+the words taken stay near the target without gathering a source in one task. The last document of a source is drawn
+by what is left of its probability. What that is off the target is passed on once more, as whole documents in random
+order: out where there is too much, in where there is too little. As both happen with the chances that cancel the
+draw, expectations are kept (tests measure them), and the source comes as near its target as whole documents allow.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,7 +86,7 @@ def pivotal(keys: list[int], sizes: list[int], p: list[float], seed: int) -> tup
 
 
 def settle(sizes: list[int], out: list[int], over: float, order: list[int]) -> None:
-    """Turn decisions, in the given order, while that brings the words taken nearer to their target."""
+    """Pass ``over`` words too many (or, below 0, too few) on to decided documents, in the given order, while that brings them nearer."""
     for i in order:
         change = -sizes[i] if out[i] else sizes[i]
         if abs(over + change) < abs(over):
@@ -97,19 +100,17 @@ _KEPT = "doc_id long, row long, times long, size long, key string, copies long,
 def _meet(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """Meetings within each group of ``keys``; ``rest`` is what is undecided, null once it is decided.
 
-    Where a group is all that is left of a source (``whole``), its last document is drawn too, and the words
-    that this is off the target are made up for by turning decisions of others in random order.
+    Where a group is all that is left of a source (``whole``), its last document is drawn too, and :func:`settle` follows.
     """
 
     def run(pdf):
         pdf = pdf.sort_values(["size", "row", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        p = pdf["rest"].tolist()
-        ids, sizes = pdf["row"].tolist(), (pdf["size"] * pdf["times"]).tolist()
+        p, ids, sizes = pdf["rest"].tolist(), pdf["row"].tolist(), pdf["size"].tolist()
         fixed = [q <= 1e-9 for q in p]
         out, held = pivotal(ids, sizes, p, seed)
         if held >= 0 and pdf["whole"].iloc[0]:
             out[held] = int(unit(seed, ids[held]) < p[held])
-            order = [i for i in sorted(range(len(ids)), key=lambda i: unit(seed, ids[i])) if i != held and not fixed[i]]
+            order = [i for i in sorted(range(len(ids)), key=lambda i: unit(seed, ids[i], 1)) if i != held and not fixed[i]]
             settle(sizes, out, (out[held] - p[held]) * sizes[held], order)
             held = -1
         pdf["copies"] = [c + max(0, o) for c, o in zip(pdf["copies"].tolist(), out)]
@@ -121,22 +122,27 @@ def _meet(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return rows.repartition(*keys).groupBy(*keys).applyInPandas(run, _KEPT).withColumn("rest", F.when(F.isnan("rest"), F.lit(None)).otherwise(F.col("rest")))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17, chunk: int = 2_000) -> DataFrame:
+def row_key(columns: tuple[str, ...]) -> Column:
+    """A fingerprint of the columns that tells nulls from values."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17, chunk: int = 2_000, by: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
     """How often each document is taken.
 
-    Returns doc_id, row (a hash of doc_id, text and source), times (equal rows), size (words; null text: 0),
-    source_size, target, copies, one row for equal rows. Copies are target / source_size rounded up or down,
-    hence at most ``cap`` rounded up. Sources go in code point order, a null one last. Equal rows are decided
-    as one and taken equally often. Documents of size 0 are rounded like others and take nothing; a source
-    of size 0 has target 0. Reruns agree, as all randomness comes from ``seed`` and row hashes. An empty table
-    gives an empty table; other columns are ignored.
+    Returns doc_id, row (:func:`row_key` of ``by``), times (rows that are equal in ``by``), size (words; null text: 0), source_size, target and
+    copies (of all equal rows together), one row for equal rows. Of ``times`` equal rows, times * target / source_size
+    copies are taken, rounded up or down by the pivotal method; no row is taken more than ``cap`` times, rounded up.
+    Sources go in code point order, a null one last. Documents of size 0 are rounded like others and take nothing; a
+    source of size 0 has target 0. Reruns agree, as all randomness comes from ``seed`` and row hashes. An empty
+    table gives an empty table; other columns are ignored.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text", "source").alias("row"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(by).alias("row"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = stored(rows.groupBy("doc_id", "row", "key", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
     per = stored(targets(rows.select("key", (F.col("size") * F.col("times")).alias("size")), share, cap, weights), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    open_ = rows.join(per, "key").withColumn("ratio", ratio).withColumn("copies", F.floor(F.col("ratio") + 1e-12).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("ratio") - F.col("copies")))
+    open_ = rows.join(per, "key").withColumn("ratio", ratio * F.col("times")).withColumn("copies", F.floor(F.col("ratio") + 1e-9).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("ratio") - F.col("copies")))
     counts = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 0
     done, level = [], 0
@@ -153,7 +159,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     return out.join(per, "key").select("doc_id", "row", "times", "size", "source_size", "target", "copies")
 
 
+def shared_out(copies: Column, times: Column) -> Column:
+    """How often each of ``times`` equal rows is taken, as an array whose sum is ``copies``."""
+    low = F.floor(copies / times).cast("long")
+    return F.transform(F.sequence(F.lit(1).cast("long"), times), lambda i: low + F.when(i <= copies - low * times, F.lit(1)).otherwise(F.lit(0)))
+
+
 def mixed_rows(mixed: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for each row that :func:`mix` was given."""
-    one = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", one).drop("one")
+    each = mixed.select("doc_id", "size", "source_size", "target", F.explode(shared_out(F.col("copies"), F.col("times"))).alias("copies"))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
