@@ -19,7 +19,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import lean, stored, text_bytes
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by (MPEG-1?, layer) and index from 1, and sample rates.
 KBPS = {
@@ -79,6 +79,61 @@ def crc16(raw: bytes) -> int:
     return crc
 
 
+#: Bits of the allocation of each subband by table: (subbands, bits) runs. Fixed values of the same standards.
+_ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+
+
+def _layer2_bits(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a Layer II frame."""
+    if h.version != 3:
+        name = "low"
+    else:
+        each = h.kbps if h.mono else h.kbps // 2
+        name = ("c" if h.rate != 32000 else "d") if each <= 48 else "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for count, bits in _ALLOCATION[name] for _ in range(count)]
+
+
+def protected(frame: bytes, h: Header) -> bytes | None:
+    """What the checksum of a frame covers, as a string of bits padded by nothing (``bits`` of '0' and '1'); None if cut off.
+
+    The last two header bytes, then side information (Layer III), bit allocation (I), or that and the selection of
+    scale factors (II).
+    """
+    body = int.from_bytes(frame[6:], "big")
+    size = 8 * len(frame[6:])
+    at = 0
+
+    def take(n: int) -> int:
+        nonlocal at
+        at += n
+        return body >> (size - at) & ((1 << n) - 1) if at <= size else 0
+
+    channels, joint = (1 if h.mono else 2), frame[3] >> 6 == 1
+    bound = 4 * (frame[3] >> 4 & 3) + 4 if joint else 32
+    if h.layer == 3:
+        take(8 * h.side)
+    elif h.layer == 1:
+        take(4 * (min(bound, 32) * channels + (32 - min(bound, 32))))
+    else:
+        bits, used = _layer2_bits(h), 0
+        for k, n in enumerate(bits):
+            own = [take(n) for _ in range(channels if k < bound else 1)]
+            used += sum(map(bool, own)) if k < bound or channels == 1 else 2 * bool(own[0])
+        take(2 * used)
+    if at > size:
+        return None
+    return f"{int.from_bytes(frame[2:4], 'big'):016b}{body >> (size - at):0{at}b}".encode() if at else f"{int.from_bytes(frame[2:4], 'big'):016b}".encode()
+
+
+@functools.lru_cache(4096)
+def crc16_bits(bits: bytes) -> int:
+    """:func:`crc16` of a string of '0' and '1', which need not fill whole bytes."""
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if (crc >> 15) ^ (bit & 1) else crc << 1 & 0xFFFF
+    return crc
+
+
 @dataclass
 class Audio:
     """What :func:`parse` found; offsets are of audio frames, without the frame of the bitrate table."""
@@ -97,9 +152,11 @@ class Audio:
 
     @property
     def duration(self) -> Fraction:
-        """Seconds, exactly."""
+        """Seconds, exactly, without the delay and padding that the encoder noted."""
         of = Counter((h.samples, h.rate) for h in self.heads)
-        return sum((Fraction(n * samples, rate) for (samples, rate), n in of.items()), Fraction(0))
+        whole = sum((Fraction(n * samples, rate) for (samples, rate), n in of.items()), Fraction(0))
+        extra = (self.table or {}).get("delay", 0) + (self.table or {}).get("padding", 0)
+        return max(Fraction(0), whole - Fraction(extra, self.heads[0].rate)) if extra and self.heads else whole
 
 
 def _synchsafe(raw: bytes) -> int:
@@ -138,6 +195,10 @@ def _table(frame: bytes, h: Header) -> dict | None:
                     raw = frame[pos : pos + size]
                     out[name] = list(raw) if name == "seek" else int.from_bytes(raw, "big")
                     pos += size
+            # The encoder's own field: nine bytes of name, and at its byte 21 twelve bits each of delay and padding.
+            if frame[pos : pos + 4] in (b"LAME", b"Lavf", b"Lavc") and pos + 24 <= len(frame):
+                both = int.from_bytes(frame[pos + 21 : pos + 24], "big")
+                out |= {"encoder": frame[pos : pos + 9].decode("latin-1").rstrip("\0 "), "delay": both >> 12, "padding": both & 4095}
             return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width, step = struct.unpack(">IIHHHH", frame[46:62])
@@ -150,8 +211,8 @@ def parse(data: bytes) -> Audio:
     """Parse MPEG audio of any layer.
 
     A header counts once the next frame's header follows it with the same version, layer and sample rate, or
-    the data end there; after a frame that counts, a header of the same kind does at once. Anything else is skipped byte by byte and counted. Checksums of Layer III are verified;
-    a frame whose checksum differs stays, and is listed. Empty data give an empty result.
+    the data end there; after a frame that counts, a header of the same kind does at once. Anything else is skipped byte by byte and counted. Checksums of all layers are verified;
+    a frame whose checksum differs stays, and is listed. Frames of free format count as none. Empty data give an empty result.
     """
     out = Audio()
     pos, out.tags = _id3v2(data)
@@ -178,9 +239,15 @@ def parse(data: bytes) -> Audio:
         if first and h.layer == 3 and (table := _table(data[pos : pos + h.length], h)):
             out.table = table
         else:
-            if h.checked and h.layer == 3:
+            if h.checked:
+                want = int.from_bytes(data[pos + 4 : pos + 6], "big")
+                if h.layer == 3:
+                    got = crc16(data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + h.side])
+                else:
+                    bits = protected(data[pos : pos + h.length], h)
+                    got = None if bits is None else crc16_bits(bits)
                 out.checked += 1
-                if crc16(data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + h.side]) != int.from_bytes(data[pos + 4 : pos + 6], "big"):
+                if got != want:
                     out.broken.append(pos)
             out.offsets.append(pos)
             out.heads.append(h)
@@ -256,14 +323,14 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 ids.append(i)
                 media.append(write(pad(t), len(t)))
                 size += len(media[-1])
-                if size >= 8 << 20:  # a batch of texts makes several batches of media
+                if size >= 4 << 20:  # a batch of texts makes several batches of media
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
                     ids, media, size = [], [], 0
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, media binary")
+    return rows.mapInArrow(lean(run), "doc_id long, media binary")
 
 
 def probe_media(media: DataFrame) -> DataFrame:
@@ -286,10 +353,13 @@ def probe_media(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     schema = "doc_id long, frames long, samples long, duration_num long, duration_den long, checked long, broken long, skipped long, tags map<string,string>, table_frames long, frame_offsets array<long>"
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "media").mapInArrow(lean(run), schema)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "duration_num long, duration_den long, frame_offsets array<long>"
+)
 
 
 def _digest(doc_id: int | None, raw: bytes) -> tuple:
@@ -302,39 +372,32 @@ def _digest(doc_id: int | None, raw: bytes) -> tuple:
 
     payload, a = read(raw)
     h, t = a.heads[0], a.duration
-    seek = zlib.crc32(np.array(a.offsets, "<i8").tobytes())
-    feature = f"mpeg{NAMES[h.version]}-layer{h.layer};rate={h.rate};frames={len(a.offsets)};samples={a.samples};seconds={t.numerator}/{t.denominator};checked={a.checked - len(a.broken)};seek={seek:08x}"
-    return doc_id, int(a.tags["n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature
+    offsets = np.array(a.offsets, "<i8")
+    feature = f"mpeg{NAMES[h.version]}-layer{h.layer};rate={h.rate};frames={len(a.offsets)};samples={a.samples};seconds={t.numerator}/{t.denominator};checked={a.checked - len(a.broken)};seek={zlib.crc32(offsets.tobytes()):08x}"
+    return (
+        doc_id, int(a.tags["n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+        len(raw), hashlib.sha256(raw).hexdigest(), feature, t.numerator, t.denominator, offsets,
+    )
 
 
 def _digests(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     names = [x.split()[0] for x in DIGEST.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
-def digest_media(media: DataFrame) -> DataFrame:
-    """Digests (:func:`_digest`) of a table of :func:`encode_media`."""
-
-    def run(batches):
-        for b in batches:
-            yield _digests([_digest(i, raw) for i, raw in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist())])
-
-    return media.mapInArrow(run, DIGEST)
-
+def stored_media(docs: DataFrame) -> DataFrame:
+    """The media of :func:`encode_media` as a table in the shared folder, in row groups of bounded bytes."""
+    return stored(encode_media(docs), "media", compression="zstd", **{"parquet.block.size": str(16 << 20)})
 
-def digest_texts(docs: DataFrame) -> DataFrame:
-    """Store each text as :func:`encode_media` does, read the stored bytes back, and digest them.
 
-    A task holds the media of one text at a time, which never pass through the JVM.
-    """
+def digest_media(media: DataFrame) -> DataFrame:
+    """Digests (:func:`_digest`) of a table of :func:`encode_media`, of which a task holds a part of a batch at a time."""
 
     def run(batches):
         for b in batches:
-            texts = zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")))
-            yield _digests([_digest(i, write(pad(t), len(t))) for i, t in texts])
+            yield _digests([_digest(i, raw) for i, raw in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist())])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, DIGEST)
+    return media.mapInArrow(lean(run), DIGEST)
