@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, blocked, by_bucket, pack_array, pack_sorted, pack_words, squeezed, stored, unpack_array, unpack_sorted, unpack_words, whole_texts
+from .common import BLOCK_BYTES, block_count, blocked, by_bucket, multiplied, pack_array, pack_sorted, pack_words, squeezed, stored, trimmed, unpack_array, unpack_sorted, unpack_words, whole_texts
 
 DEPTH = 5
 #: The mark before and after a text; no UTF-8 text holds this byte.
@@ -106,16 +106,16 @@ class Trees:
     def log10(self, top: tuple) -> np.ndarray:
         """log10 of the probability of each gram's byte after its context.
 
-        A context that training texts don't hold adds nothing: the estimate of the longest one that they hold
-        takes its place.
+        A node's probability weighs its own estimate against its child's by the posterior of being a leaf; a node
+        that training texts don't hold says 1/2.
         """
         out = np.zeros(len(self.keys))
         byte = (self.keys & np.uint64(255)).astype(np.int64)
-        near = (self.keys >> np.uint64(40)).astype(np.int64)
+        near = (self.keys >> np.uint64(8 * DEPTH)).astype(np.int64)
         for j in range(8):
             bit = byte >> (7 - j) & 1
             at = np.arange(len(self.keys))
-            p, seen = np.full(len(at), 0.5), np.zeros(len(at), bool)
+            p = np.full(len(at), 0.5)
             for d in range(DEPTH, 1, -1):
                 if d < DEPTH:
                     at = self.to[d][at]
@@ -123,15 +123,15 @@ class Trees:
                 zeros, ones = self.zeros[d, j][node], self.ones[d, j][node]
                 own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
                 if d < DEPTH:
-                    w = np.where(seen, self.weight[d, j][node], 1.0)
+                    w = self.weight[d, j][node]
                     own = w * own + (1 - w) * p
-                p, seen = own, zeros + ones > 0
+                p = own
             prefix = 1 << j | byte >> (8 - j)
             for zeros_, ones_, weight, index in ((*top[1], near * 256 + prefix), (*top[0], prefix)):
                 zeros, ones = zeros_[index], ones_[index]
                 own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
-                w = np.where(seen, weight[index], 1.0)
-                p, seen = w * own + (1 - w) * p, zeros + ones > 0
+                w = weight[index]
+                p = w * own + (1 - w) * p
             out += np.log10(p)
         return out
 
@@ -169,10 +169,18 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _slots(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each key, by its two nearest context bytes."""
-    near = keys >> np.uint64(32)
+    near = keys >> np.uint64(8 * (DEPTH - 1))
     return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
+def _by_slot(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that have keys, and which ones, in order."""
+    slot = _slots(keys, buckets)
+    order = np.argsort(slot, kind="stable")
+    cut = np.flatnonzero(np.diff(slot[order], prepend=-1))
+    return list(zip(slot[order[cut]].tolist(), np.split(order, cut[1:]))) if len(keys) else []
+
+
 class Finder:
     """Indices in sorted distinct keys of keys that are all among them."""
 
@@ -195,10 +203,12 @@ _SENT = "block int, bucket int, words binary, word_counts binary, grams binary,
 
 
 def _block(table, buckets: int):
-    """Of a block: doc_ids, held-out flags, texts, words of texts, words by bucket, and whether texts train."""
-    texts = whole_texts(table)
-    words = [t.lower().split() for t in texts]
-    return texts, words, by_bucket(set().union(*words), buckets), table.column("train").to_pylist()
+    """Of a block: texts, words by bucket, and how often texts train."""
+    texts, words = whole_texts(table), set()
+    for t in texts:
+        words.update(t.lower().split())
+    train = [n * t for n, t in zip(table.column("times").to_pylist(), table.column("train").to_pylist())]
+    return texts, by_bucket(words, buckets), train
 
 
 def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES * 3 // 4) -> DataFrame:
@@ -212,21 +222,24 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
     training row all bits have probability 1/2.
     """
     blocks = block_count(docs, block_bytes)
-    buckets = min(4096, blocks)
+    buckets = blocks
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     rows = squeezed(blocked(docs, blocks, F.coalesce(rest != held_out, F.lit(False)).alias("train"), F.coalesce(rest == held_out, F.lit(False)).alias("held_out")))
 
     def send(table):
         import pyarrow as pa
 
-        texts, words, by, train = _block(table, buckets)
+        texts, by, train = _block(table, buckets)
         counts: Counter = Counter()
-        for w, t in zip(words, train):
-            if t:
-                counts.update(w)
+        for t, n in zip(texts, train):
+            if n == 1:
+                counts.update(t.lower().split())
+            elif n:
+                counts.update({w: n * k for w, k in Counter(t.lower().split()).items()})
         keys, starts = grams_of(texts)
         keys <<= np.uint64(1)
-        keys |= np.repeat(np.array(train, bool), np.diff(starts))
+        keys |= np.repeat(np.array(train) > 0, np.diff(starts))
+        more = [(keys[starts[i] : starts[i + 1]] >> np.uint64(1), n - 1) for i, n in enumerate(train) if n > 1]
         keys.sort()
         both = keys
         new = np.ones(len(both), bool)
@@ -234,12 +247,13 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         first = np.flatnonzero(new)
         own = both[first] >> np.uint64(1)
         learned = np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(first) else first
-        slot = _slots(own, buckets)
+        for k, n in more:
+            np.add.at(learned, np.searchsorted(own, k), n)
+        grams, nothing = dict(_by_slot(own, buckets)), np.zeros(0, np.int64)
         rows = []
-        for k in range(buckets):
-            mine = slot == k
-            if by[k] or mine.any():
-                rows.append((k, pack_words(by[k]), pack_array(np.array([counts[w] for w in by[k]], np.uint32)), pack_sorted(own[mine]), pack_array(learned[mine].astype(np.uint32))))
+        for k in sorted(by.keys() | grams.keys()):
+            w, mine = by.get(k, []), grams.get(k, nothing)
+            rows.append((k, pack_words(w), pack_array(np.array([counts[x] for x in w], np.uint32)), pack_sorted(own[mine]), pack_array(learned[mine].astype(np.uint32))))
         block = table.column("block")[0].as_py()
         ends = sum(train)
         # The number of texts that train stands in a row of its own, without words or grams.
@@ -248,7 +262,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         kinds = (pa.int32(), *[pa.binary()] * 4)
         return pa.table({"block": pa.array([block] * len(rows), pa.int32())} | {n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate(zip(names, kinds))})
 
-    sent = stored(rows.groupBy("block").applyInArrow(send, _SENT), "grams")
+    sent = stored(rows.groupBy("block").applyInArrow(trimmed(send), _SENT), "grams")
 
     def merged_words(table):
         lists = [unpack_words(x) for x in table.column("words").to_pylist()]
@@ -280,7 +294,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         return pa.table({"node": pa.array(nodes, pa.int32()), "zeros": pa.array(map(int, zeros), pa.int64()), "ones": pa.array(map(int, ones), pa.int64()), "children": pa.array(children, pa.float64())})
 
     # At most 256 * 255 nodes and two rows of totals come to the driver.
-    partial = sent.groupBy("bucket").applyInArrow(sums, "node int, zeros long, ones long, children double")
+    partial = sent.groupBy("bucket").applyInArrow(trimmed(sums), "node int, zeros long, ones long, children double")
     found = {r.node: (r.zeros, r.ones, r.children) for r in partial.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children")).collect()}
     ends = found.pop(-2, (0, 0, 0))[0]
     tokens, kinds = found.pop(-1, (0, 0, 0))[:2]
@@ -299,19 +313,18 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         grams = [pack_array(log10[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "words": pa.array(words, pa.binary()), "grams": pa.array(grams, pa.binary())})
 
-    answers = sent.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(answer, "block int, bucket int, words binary, grams binary")
+    answers = sent.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(trimmed(answer), "block int, bucket int, words binary, grams binary")
     bottom = math.log10(tokens + kinds + 1)
 
     def finish(left, right):
         import pyarrow as pa
 
-        texts, words, by, _ = _block(left, buckets)
+        texts, by, _ = _block(left, buckets)
         got = {k: (w, g) for k, w, g in zip(right.column("bucket").to_pylist(), right.column("words").to_pylist(), right.column("grams").to_pylist())}
         at, known = {}, [np.zeros(0, np.uint32)]
-        for k, own in enumerate(by):
-            if own:
-                at.update(zip(own, range(len(at), len(at) + len(own))))
-                known.append(unpack_array(got[k][0], np.uint32))
+        for k, own in by.items():
+            at.update(zip(own, range(len(at), len(at) + len(own))))
+            known.append(unpack_array(got[k][0], np.uint32))
         known = np.concatenate(known).astype(np.float64)
         value = np.log10(known + 1) - bottom
         end = math.log10(ends + 1) - bottom
@@ -319,12 +332,9 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
         own = np.sort(keys)
         own = own[np.append(True, own[1:] != own[:-1])]
         find = Finder(own)
-        slot = _slots(own, buckets)
         log10 = np.zeros(len(own), np.float32)
-        for k, (_, g) in got.items():
-            mine = slot == k
-            if mine.any():
-                log10[mine] = unpack_array(g, np.float32)
+        for k, mine in _by_slot(own, buckets):
+            log10[mine] = unpack_array(got[k][1], np.float32)
         scores = []
         for a in range(0, len(starts) - 1, 256):
             cut = starts[a : a + 257]
@@ -332,7 +342,8 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
             scores.append(np.add.reduceat(part, cut[:-1] - cut[0]))
         scores = np.concatenate(scores)
         n, n_known, base = [], [], []
-        for w in words:
+        for t in texts:
+            w = t.lower().split()
             i = np.fromiter(map(at.__getitem__, w), np.int64, len(w))
             n.append(len(w) + 1)
             n_known.append(int((known[i] > 0).sum()) + (ends > 0))
@@ -347,8 +358,9 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, block_bytes: int =
                 "base_score": pa.array(base, pa.float64()),
                 "score": pa.array(scores, pa.float64()),
                 "bits_per_byte": pa.array(-scores / np.diff(starts) / math.log10(2), pa.float64()),
+                "times": left.column("times"),
             }
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double, times long"
+    return multiplied(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(finish), schema))
