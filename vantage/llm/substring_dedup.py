@@ -15,13 +15,13 @@ windows only, so no passage is hot however often it occurs.
 
 from __future__ import annotations
 
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_count, blocked, pack, pack_array, pack_sorted, squeezed, unpack, unpack_array, unpack_sorted, whole_texts
+from .common import BLOCK_BYTES, block_count, blocked, multiplied, pack, pack_sorted, squeezed, trimmed, unpack, unpack_sorted, whole_texts
 
 # Arrays of one, whose products wrap without a warning.
 _M1, _M2, _M3 = (np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -51,20 +51,25 @@ def limits(window: int) -> list[int]:
     return out
 
 
-def fingerprints(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit fingerprint of each word of all texts, and the texts' first positions with the end."""
     import xxhash
 
-    index = {w: i for i, w in enumerate(set().union(*texts))}
+    index: dict = {}
+    parts = [np.zeros(0, np.int32)]
+    for t in texts:
+        words = t.split()
+        for w in set(words).difference(index):
+            index[w] = len(index)
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
     prints = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-    ends = np.cumsum([0, *map(len, texts)])
-    return prints[np.fromiter(map(index.__getitem__, chain.from_iterable(texts)), np.int64, int(ends[-1]))], ends
+    return prints[np.concatenate(parts)], np.cumsum([0, *map(len, parts[1:])])
 
 
 class Parse:
     """The symbols of a block's texts, and each window's range of interior symbols.
 
-    ``names`` are the last step's symbols; the window that starts at word ``starts[i]`` has the interior
+    ``names`` are the last step's symbols and ``text`` their texts; the window that starts at word ``starts[i]`` has the interior
     symbols ``left[i]`` to ``right[i]`` (excluded), at least one.
     """
 
@@ -107,7 +112,7 @@ class Parse:
             index = np.append(np.cumsum(keep) - 1, keep.sum())
             names, length, text = merged[keep], total[keep], text[keep]
             left, right = index[left], index[right]
-        self.names, self.left, self.right = names, left, right
+        self.names, self.left, self.right, self.text = names, left, right, text
 
 
 def window_keys(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +140,11 @@ def window_keys(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndar
     return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
-def _canonical(table) -> tuple[list, list[list[bytes]]]:
-    """doc_ids and words of a block's rows, in an order that is the same whenever the block is read."""
-    rows = sorted(zip(table.column("doc_id").to_pylist(), whole_texts(table)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    return [r[0] for r in rows], [r[1].split() for r in rows]
+def _canonical(table) -> tuple[list, list[bytes], np.ndarray]:
+    """doc_ids, texts and times of a block's rows, in an order that is the same whenever the block is read."""
+    rows = zip(table.column("doc_id").to_pylist(), whole_texts(table), table.column("times").to_pylist())
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    return [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
 def _distinct(keys: np.ndarray, checks: np.ndarray | None = None):
@@ -160,13 +166,18 @@ def _distinct(keys: np.ndarray, checks: np.ndarray | None = None):
     return k[new], None if checks is None else c[new], inverse, twice
 
 
+def _step(buckets: int) -> int:
+    """How many values of a key's upper 32 bits a bucket has."""
+    return (1 << 32) // buckets + 1
+
+
 def _sent(block: int, keys: np.ndarray, checks: np.ndarray | None, twice: np.ndarray, buckets: int) -> list[tuple]:
     """Rows (block, bucket, keys, checks, twice) of distinct sorted keys; a bucket is a range of keys."""
-    cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64) * np.uint64((1 << 32) // buckets + 1))
+    own = (keys >> np.uint64(32)) // np.uint64(_step(buckets))
+    cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
     out = []
-    for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-        if a < b:
-            out.append((block, k, pack_sorted(keys[a:b]), b"" if checks is None else checks[a:b].tobytes(), pack(np.packbits(twice[a:b]).tobytes())))
+    for a, b in zip(cut[:-1], cut[1:]):
+        out.append((block, int(own[a]), pack_sorted(keys[a:b]), b"" if checks is None else checks[a:b].tobytes(), pack(np.packbits(twice[a:b]).tobytes())))
     return out
 
 
@@ -198,16 +209,15 @@ def _merge(rows: DataFrame, buckets: int, width: int) -> DataFrame:
         cuts = np.cumsum([0, *sizes])
         return _table([(b, k, b"", b"", pack(np.packbits(found[x:y]).tobytes())) for b, k, x, y in zip(blocks, bucket, cuts[:-1], cuts[1:])])
 
-    return rows.groupBy("bucket").applyInArrow(run, _ROWS)
+    return rows.groupBy("bucket").applyInArrow(trimmed(run), _ROWS)
 
 
 def _flags(table, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The answers of :func:`_merge` in the order of a block's distinct keys."""
-    cut = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64) * np.uint64((1 << 32) // buckets + 1))
-    out = np.zeros(len(keys), bool)
+    out, high = np.zeros(len(keys), bool), keys >> np.uint64(32)
     for k, t in zip(table.column("bucket").to_pylist(), table.column("twice").to_pylist()):
         if k < buckets:
-            a, b = cut[k], cut[k + 1]
+            a, b = np.searchsorted(high, np.array([k, k + 1], np.uint64) * np.uint64(_step(buckets)))
             out[a:b] = np.unpackbits(np.frombuffer(unpack(t), np.uint8), count=b - a).astype(bool)
     return out
 
@@ -225,31 +235,36 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = BLOCK_B
     if window < 1:
         raise ValueError("a window has at least one word")
     blocks = block_count(docs, block_bytes)
-    buckets = min(4096, blocks)
+    buckets = blocks
     # Symbols are compared by so many bits; a chance match only lets a window through to the full comparison.
     width = min(64, max(34, (blocks * block_bytes).bit_length() + 10))
     drop = np.uint64(64 - width)
     rows = squeezed(blocked(docs, blocks))
 
-    def symbols_of(words, ends):
+    def symbols_of(words, ends, times):
         parse = Parse(words, ends, window)
-        return parse, _distinct(parse.names >> drop << drop)
+        keys, checks, inverse, twice = _distinct(parse.names >> drop << drop)
+        twice[inverse[times[parse.text] > 1]] = True
+        return parse, (keys, checks, inverse, twice)
 
     def first(table):
-        words, ends = fingerprints(_canonical(table)[1])
-        _, (keys, _, _, twice) = symbols_of(words, ends)
+        _, texts, times = _canonical(table)
+        words, ends = fingerprints(texts)
+        _, (keys, _, _, twice) = symbols_of(words, ends, times)
         found = _sent(table.column("block")[0].as_py(), keys, None, twice, buckets)
         return _table([(b, k, pack_sorted(unpack_sorted(x) >> drop), c, t) for b, k, x, c, t in found])
 
     def second(left, right):
-        words, ends = fingerprints(_canonical(left)[1])
-        parse, (keys, _, inverse, _) = symbols_of(words, ends)
+        _, texts, times = _canonical(left)
+        words, ends = fingerprints(texts)
+        parse, (keys, _, inverse, _) = symbols_of(words, ends, times)
         once = ~_flags(right, keys, buckets)[inverse] if len(keys) else np.zeros(0, bool)
         before = np.concatenate([[0], np.cumsum(once)])
         maybe = before[parse.right] == before[parse.left]
         at = parse.starts[maybe]
         block = left.column("block")[0].as_py()
-        keys, checks, _, twice = _distinct(*window_keys(words, at, window))
+        keys, checks, inverse, twice = _distinct(*window_keys(words, at, window))
+        twice[inverse[times[np.searchsorted(ends, at, "right") - 1] > 1]] = True
         mask = np.zeros(len(words), bool)
         mask[at] = True
         return _table([*_sent(block, keys, checks, twice, buckets), (block, buckets + block, b"", b"", pack(np.packbits(mask).tobytes()))])
@@ -257,7 +272,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = BLOCK_B
     def third(left, right):
         import pyarrow as pa
 
-        ids, texts = _canonical(left)
+        ids, texts, times = _canonical(left)
         words, ends = fingerprints(texts)
         mask = next(t for k, t in zip(right.column("bucket").to_pylist(), right.column("twice").to_pylist()) if k >= buckets)
         at = np.flatnonzero(np.unpackbits(np.frombuffer(unpack(mask), np.uint8), count=len(words)))
@@ -267,7 +282,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = BLOCK_B
         np.add.at(change, hit, 1)
         np.add.at(change, hit + window, -1)
         keep = np.cumsum(change)[:-1] == 0
-        kept = [b" ".join(compress(t, keep[a:b].tolist())) for t, a, b in zip(texts, ends[:-1], ends[1:])]
+        kept = [b" ".join(compress(t.split(), keep[a:b].tolist())) for t, a, b in zip(texts, ends[:-1], ends[1:])]
         gone = np.concatenate([[0], np.cumsum(~keep)])
         return pa.table(
             {
@@ -275,10 +290,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, block_bytes: int = BLOCK_B
                 "n_words": pa.array(np.diff(ends), pa.int64()),
                 "n_removed": pa.array(gone[ends[1:]] - gone[ends[:-1]], pa.int64()),
                 "kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                "times": pa.array(times, pa.int64()),
             }
         )
 
-    shared = _merge(rows.groupBy("block").applyInArrow(first, _ROWS), buckets, width)
-    windows = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(second, _ROWS)
+    shared = _merge(rows.groupBy("block").applyInArrow(trimmed(first), _ROWS), buckets, width)
+    windows = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(trimmed(second), _ROWS)
     answers = _merge(windows, buckets, 64)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(third, "doc_id long, n_words long, n_removed long, kept string")
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(trimmed(third), "doc_id long, n_words long, n_removed long, kept string, times long")
+    return multiplied(out)
