@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import skew_join, stored
 from .components import components
 
 #: Vectors compared with one another at once.
@@ -36,16 +36,26 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """id (the smallest vec_id), n (copies), size and unit (the vector at length 1) of each distinct usable vector."""
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """vec_id, v (the vector as doubles, -0.0 as 0.0) and key (a fingerprint of 128 bits), null where there is no usable vector."""
     wide = F.col("embedding").cast("array<double>")
     usable = F.col("embedding").isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(wide, lambda x: x != 0)
-    # Length 1 by way of the largest component, lest squares overflow or vanish. -0.0 becomes 0.0.
-    one = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: x + 0.0).alias("v"))
-    one = one.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).where("id is not null")
+    v = F.when(F.coalesce(usable, F.lit(False)), F.transform(wide, lambda x: x + 0.0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return rows.withColumn("key", F.when(F.col("v").isNotNull(), F.concat_ws("/", *(F.xxhash64(F.lit(seed), "v").cast("string") for seed in (1, 2)))))
+
+
+def classes(keyed: DataFrame) -> DataFrame:
+    """id, key, vec_id (the smallest), n (copies), size and unit (the vector at length 1) of each distinct usable vector.
+
+    Ids are numbers of their own, so the result is to be stored before it is used.
+    """
+    one = keyed.where("v is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    # Length 1 by way of the largest component, lest squares overflow or vanish.
     top = one.withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("top")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return top.withColumn("norm", norm).select("id", "n", F.size("v").alias("size"), F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+    unit = F.transform("v", lambda x: x / F.col("norm"))
+    return top.withColumn("norm", norm).select(F.monotonically_increasing_id().alias("id"), "key", "vec_id", "n", F.size("v").alias("size"), unit.alias("unit"))
 
 
 def _best(lists: DataFrame, k: int) -> DataFrame:
@@ -106,10 +116,20 @@ def _first(units: DataFrame, tables: range, bits: int, k: int, threshold: float,
 
 
 def _refined(graph: DataFrame, units: DataFrame, k: int, threshold: float) -> DataFrame:
-    """One round: neighbours of neighbours are compared, and the k best of old and new kept."""
-    edges = graph.select("id", F.explode("near.id").alias("via"))
-    hops = edges.join(graph.select(F.col("id").alias("via"), F.col("near.id").alias("next")), "via").select("id", F.explode("next").alias("to"))
-    new = hops.where("id <> to").distinct().join(edges.select("id", F.col("via").alias("to")), ["id", "to"], "left_anti")
+    """One round: neighbours of neighbours are compared, and the k best of old and new kept.
+
+    Neighbours are those of a vector's list and the k best of those whose lists hold it.
+    """
+    forward = graph.select("id", F.explode("near").alias("x"))
+    # A hub is in very many lists; parts of them are ranked first, then the k best of each part.
+    part = forward.groupBy(F.col("x.id").alias("to"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col("x.sim").alias("sim"), F.col("id"))), asc=False).alias("own"))
+    back = _best(part.select(F.col("to").alias("id"), F.slice("own", 1, k).alias("near")), k)
+    both = graph.unionAll(back).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near.id"))).alias("all"))
+    both = stored(both, "both")
+    edges = both.select("id", F.explode("all").alias("via"))
+    hops = edges.join(both.withColumnRenamed("id", "via"), "via").select("id", F.explode("all").alias("to"))
+    held = graph.select("id", F.explode("near.id").alias("to"))
+    new = hops.where("id <> to").distinct().join(held, ["id", "to"], "left_anti")
 
     def compare(batches):
         import pyarrow as pa
@@ -264,18 +284,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 10, ta
     """Near-duplicate groups of ``vectors`` (vec_id, embedding) by cosine.
 
     Returns vec_id, n_links (other rows linked directly), component_id (the smallest vec_id reachable, itself
-    included) and kept (vec_id = component_id) of each row. Vectors that are null, empty or zero, or hold null
-    or non-finite components, are linked with nothing; vectors of different lengths are not linked. Equal
-    vectors are one class and linked. Repeated vec_ids are judged by their own vector each. A row without a
-    vec_id gets its group's id, and is never kept. Other columns are ignored; an empty table gives an empty one.
+    included), kept (vec_id = component_id) and recall (what the audit measured, 1 where all vectors were compared) of
+    each row. Vectors that are null, empty or zero, or hold null or non-finite components, are linked with nothing;
+    vectors of different lengths are not linked. Equal vectors are one class and linked. Rows that share a vec_id are
+    judged by their own vector each. A row without a vec_id links like others, gets its group's id (null if no row of
+    it has one), and is never kept. Other columns are ignored; an empty table gives an empty one.
     """
-    units = stored(classes(vectors), "units")
+    keyed = _keyed(vectors)
+    named = stored(classes(keyed), "units")
+    units = named.select("id", "n", "size", "unit")
     total = units.count()
     bits = max(0, math.ceil(math.log2(max(total, 1) / 64)))
-    # Neighbours that are far from the threshold don't lead to any at it.
+    # Neighbours that are far from the threshold seldom lead to any at it; the audit measures what that costs.
     floor = threshold - 0.35 if threshold > 0 else -1.0
     step, most = _tables(bits, threshold, recall, tables), 8 * tables
-    truth, seen, graph = None, 0, None
+    truth, seen, graph, measured = None, 0, None, 1.0
     # Where codes of any bounded number of tables miss too many pairs, only the exact comparison is left.
     whole = step > most
     step = min(step, most)
@@ -298,18 +321,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 10, ta
             counts = stored(_counts(members, units, threshold), "counts")
             if truth is None:
                 truth = stored(vectors.sparkSession.createDataFrame(_audit(units, sample, threshold), "id long, links long"), "truth")
-            if _recalled(truth, counts, k) >= recall:
+            measured = _recalled(truth, counts, k)
+            if measured >= recall:
                 break
             whole = seen >= most
         if whole:
             points = units.join(members, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "size", "unit", F.lit(0.0).alias("radius"))
             members = stored(components(links.unionAll(_close(points, threshold))), "members")
-            counts = stored(_counts(members, units, threshold), "counts")
+            counts, measured = stored(_counts(members, units, threshold), "counts"), 1.0
             break
-    ids = units.select("id", "n").join(counts, "id", "left").join(members, "id", "left")
-    wide = F.col("embedding").cast("array<double>")
-    keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(wide, lambda x: x + 0.0).alias("v"))
-    sizes = keyed.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"))
-    out = keyed.join(sizes, "v", "left").join(ids, "id", "left")
-    whole = F.when(F.col("n").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("n").isNotNull(), F.coalesce("linked", F.lit(0)) + F.col("n") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.coalesce(F.col("vec_id") == whole, F.lit(False)).alias("kept"))
+    own = named.select("id", "key", "n", "vec_id").join(counts.select("id", "linked"), "id", "left").join(members, "id", "left")
+    own = stored(own.select("key", "n", "linked", "vec_id", F.coalesce("component", "id").alias("group")), "own")
+    least = own.groupBy("group").agg(F.min("vec_id").alias("component_id"))
+    own = skew_join(own, least, "group").select("key", "n", "linked", "component_id")
+    out = skew_join(keyed.select("key", "vec_id"), own, "key", "left")
+    usable = F.col("n").isNotNull()
+    whole = F.when(usable, F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select(
+        "vec_id", F.when(usable, F.coalesce("linked", F.lit(0)) + F.col("n") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        whole.alias("component_id"), F.coalesce(F.col("vec_id") == whole, F.lit(False)).alias("kept"), F.lit(float(measured)).alias("recall"),
+    )
