@@ -279,3 +279,30 @@ def test_command_line(spark, tmp_path, capsys):
     inventory.where("path <> 'c'").write.parquet(f"file://{tmp_path}/now")
     main(["reuse", "--inventory", f"file://{tmp_path}/i", "--present", f"file://{tmp_path}/now"])
     assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"reusable_stages": 2, "files": 2, "bytes": 12}
+
+
+def test_pages_are_replayed(spark, tmp_path):
+    from vantage.operators.pages import Pages
+
+    pages = Pages(spark, f"file://{tmp_path}/pages", {"lat": 1.0, "radius": 5})
+    token = pages.opened()
+    first = sorted(r.id for r in pages.page(token, lambda: spark.range(5)).collect())
+    assert first == sorted(r.id for r in pages.page(token, lambda: spark.range(100, 105)).collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="scope"):
+        Pages(spark, f"file://{tmp_path}/pages", {"lat": 1.0, "radius": 6}).page(token, lambda: spark.range(1))
+    with pytest.raises(ValueError, match="expired"):
+        pages.page(token, lambda: spark.range(1), now=4e9)
+    for bad in ("0" * 32, "../x"):
+        with pytest.raises(ValueError):
+            pages.page(bad, lambda: spark.range(1))
+
+
+def test_class_groups_refuse_what_is_unclear(spark):
+    from vantage.operators.sky import class_groups
+
+    labels = spark.createDataFrame([(0, "Sky "), (1, "car"), (2, "CAR")], "id int, label string")
+    groups = lambda rows: spark.createDataFrame(rows, "group string, name string")
+    assert {r.group: r.ids for r in class_groups(labels, groups([("dynamic", "Car"), ("sky", "sky")])).collect()} == {"dynamic": [1, 2], "sky": [0]}
+    for rows in ([("dynamic", "bus")], [("dynamic", "car"), ("sky", "car")]):
+        with pytest.raises(Exception, match="class"):
+            class_groups(labels, groups(rows)).collect()

@@ -93,6 +93,21 @@ def discover(links: DataFrame, nodes: DataFrame, start: list[int], max_rounds: i
     return seen
 
 
+def discover_within(links: DataFrame, captures: DataFrame, start: list[int], lat: float, lng: float, radius_m: float, failed: DataFrame | None = None) -> DataFrame:
+    """id, depth and status of the captures (pano_id, lat, lng) within a radius that links (src, dst) reach from ``start``.
+
+    Captures outside are neither found nor followed. Those in ``failed`` (id), whose data could not be had, have
+    status "failed" and are not followed; the others are "found".
+    """
+    nodes = within(captures, lat, lng, radius_m).select(F.col("pano_id").alias("id"))
+    if failed is None:
+        return discover(links, nodes, start).withColumn("status", F.lit("found"))
+    follow = links.join(failed.select(F.col("id").alias("src")), "src", "left_anti")
+    out = discover(follow, nodes, start)
+    bad = failed.select("id", F.lit("failed").alias("_s")).distinct()
+    return out.join(bad, "id", "left").select("id", "depth", F.coalesce("_s", F.lit("found")).alias("status"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder that executors share."""
     context = df.sparkSession.sparkContext

@@ -108,3 +108,17 @@ def concept_tallies(instances: DataFrame) -> DataFrame:
 def weighted_loss(rows: DataFrame, by: list[str], loss: Column, weight: Column) -> DataFrame:
     """by and the weighted mean of a loss; 0 where all weights are 0."""
     return rows.groupBy(*by).agg((F.coalesce(F.sum(weight * loss), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(1e-12))).alias("loss"))
+
+
+def class_groups(labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """group and ids (sorted) of the classes (id, label) that each group (group, name) names, whatever the case.
+
+    A name that no class has, and a class in two groups, are errors.
+    """
+    own = labels.select("id", F.lower(F.trim("label")).alias("_l"))
+    named = groups.select("group", F.lower(F.trim("name")).alias("_l"))
+    hit = named.join(own, "_l", "left")
+    twice = hit.where("id is not null").groupBy("id").agg(F.count_distinct("group").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("_most"))
+    out = hit.groupBy("group").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.count_if(F.col("id").isNull()).alias("_none")).crossJoin(F.broadcast(twice))
+    fault = F.when(F.col("_none") > 0, "no class has a configured name").when(F.col("_most") > 1, "a class is in two groups")
+    return out.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True))).select("group", "ids")

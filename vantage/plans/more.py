@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import capture, geo
-from ..operators import evidence, lineage, neighbours, observations, raster, rig, sampling, stations
+from ..operators import captures, evidence, lineage, neighbours, observations, pages, raster, rig, sampling, sky, stations
 from ..sources.views import table, view
-from .queries import _ALONG, _CROSS, _PROJ, _SCENE, _SPREAD, _r, _seen, _with_spread, query
+from .queries import _ALONG, _CROSS, _DIST, _PROJ, _SCENE, _SPREAD, _r, _seen, _with_spread, query
 
 _LINEAR = "CASE WHEN {0}<=0.04045::DOUBLE THEN {0}/12.92::DOUBLE ELSE pow(({0}+0.055::DOUBLE)/1.055::DOUBLE,2.4::DOUBLE) END"
 _SRGB = "CASE WHEN {0}<=0.0031308::DOUBLE THEN {0}*12.92::DOUBLE ELSE 1.055::DOUBLE*pow({0},1/2.4::DOUBLE)-0.055::DOUBLE END"
@@ -216,3 +216,26 @@ def preferred_view(spark, sf_dir):
 def best_model(spark, sf_dir):
     m = view(spark, sf_dir, "v_view_metric").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.sum("static_pixels").alias("p"))
     return stations.best_first(m, ["n", "p", "station_id"])
+
+
+@query("v_link v_capture", f"""WITH RECURSIVE n AS (SELECT pano_id id FROM v_capture WHERE {_DIST} <= 900 OR pano_id=1), r AS (SELECT CAST(1 AS BIGINT) id UNION SELECT l.dst FROM r JOIN v_link l ON l.src=r.id JOIN n ON n.id=l.dst WHERE r.id%6<>3)
+SELECT id, CASE WHEN id%6=3 THEN 'failed' ELSE 'found' END status FROM r""")
+def discovery_within(spark, sf_dir):
+    # The first capture is moved to the centre, so that there is a start within the radius.
+    c = view(spark, sf_dir, "v_capture").withColumns({"lat": F.when(F.col("pano_id") == 1, 37.51).otherwise(F.col("lat")), "lng": F.when(F.col("pano_id") == 1, 127.01).otherwise(F.col("lng"))})
+    failed = c.where("pano_id % 6 = 3").select(F.col("pano_id").alias("id"))
+    return captures.discover_within(view(spark, sf_dir, "v_link"), c, [1], 37.51, 127.01, 900.0, failed).select("id", "status")
+
+
+@query("", "WITH g AS (SELECT n_nationkey id, n_name label, n_regionkey grp FROM nation) SELECT CAST(grp AS VARCHAR) \"group\", array_to_string(list(id ORDER BY id), ',') ids FROM g GROUP BY 1")
+def class_groups(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    out = sky.class_groups(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")), n.select(F.col("n_regionkey").cast("string").alias("group"), F.concat(F.lit(" "), F.lower("n_name")).alias("name")))
+    return out.select("group", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("", "WITH r AS (SELECT o_custkey k, o_orderkey v, epoch(o_orderdate) t FROM orders), l AS (SELECT k, max((t, v))[2] v, max(t) t FROM r GROUP BY 1) SELECT k, v FROM l WHERE (SELECT max(t) FROM r)-t <= 86400*400")
+def unexpired_latest(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"))
+    now = r.agg(F.max("t")).first()[0]
+    return pages.unexpired(pages.latest(r, "k", "t"), "t", now, 86400.0 * 400).select("k", "v")
