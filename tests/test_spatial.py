@@ -306,3 +306,35 @@ def test_class_groups_refuse_what_is_unclear(spark):
     for rows in ([("dynamic", "bus")], [("dynamic", "car"), ("sky", "car")]):
         with pytest.raises(Exception, match="class"):
             class_groups(labels, groups(rows)).collect()
+
+
+def test_depth_fields(spark, tmp_path):
+    from vantage.sources import depths
+
+    (tmp_path / "d").mkdir()
+    turn = np.array([[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [-1.0, 0.0, 0.0]])  # camera to world
+    centre = np.array([1.0, 2.0, 3.0])
+    pose = np.concatenate([turn.T, (-turn.T @ centre)[:, None]], axis=1)
+
+    def save(name, **changes):
+        z = np.arange(8.0).reshape(2, 4)
+        d = dict(depth_z=z, valid=z != 5, confidence=np.full((2, 4), 0.5), source_type=np.ones((2, 4), int), source_count=np.where(z == 6, 0, 2), K=np.array([[10.0, 0, 2], [0, 20, 1], [0, 0, 1]]), camera_from_world=pose, h=2, w=4, station="s", world_frame="ENU", depth_convention="camera_z", unit="m", pixel_center_offset=0.5)
+        np.savez(tmp_path / "d" / name, **(d | changes))
+
+    save("a.npz")
+    path = f"file://{tmp_path}/d"
+    got = {(r.ix, r.iy): r.depth for r in depths.read_depths(spark, path).collect()}
+    assert got == {(1, 0): 1.0, (2, 0): 2.0, (3, 0): 3.0, (0, 1): 4.0, (3, 1): 7.0}
+    fields = depths.read_fields(spark, path)
+    where = fields.first().path
+    names = ["file_path", "station_id", "cx", "cy", "cz", *(f"r{i}{j}" for i in range(3) for j in range(3)), "fl_x", "fl_y", "pp_x", "pp_y", "w", "h"]
+    camera = ["i.png", "s", *centre.tolist(), *turn.ravel().tolist(), 20.0, 80.0, 4.0, 4.0, 8, 8]
+    manifest = spark.createDataFrame([(where, "i.png")], ["path", "image"])
+    assert depths.bound_fields(fields, manifest, spark.createDataFrame([tuple(camera)], names)).first().image == "i.png"
+    for k, value in ((1, "t"), (2, 1.1), (14, 20.1), (0, "other.png")):
+        with pytest.raises(Exception, match="a field"):
+            depths.bound_fields(fields, manifest, spark.createDataFrame([tuple(camera[:k] + [value] + camera[k + 1 :])], names)).collect()
+    for change in ({"unit": "cm"}, {"source_type": np.zeros((2, 4), int)}, {"valid": np.ones((2, 3), bool)}):
+        save("a.npz", **change)
+        with pytest.raises(Exception):
+            depths.read_depths(spark, path).collect()
