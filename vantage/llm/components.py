@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         large = skew_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        # Here u is the larger end, which few stars share; centres of stars are on the other side.
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         after, now = _watched(small.where("u <> v").distinct(), "links")
         dropped(edges)
         dropped(large)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, skew_join, stored, text_bytes, trimmed
+from .common import dropped, lean, skew_join, stored, text_bytes, trimmed
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -311,8 +311,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     pivot = members.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("p"))
     pairs = skew_join(members, pivot, "bucket").where("id <> p").select("p", F.col("id").alias("q")).distinct()
-    tested = _tested(stored(pairs, "pairs"), signs, percent, miss).select(F.col("a").alias("p"), F.col("b").alias("q"))
-    links = stored(_verified(stored(tested, "tested"), sets, percent), "found")
+    pairs = stored(pairs, "pairs")
+    tested = stored(_tested(pairs, signs, percent, miss).select(F.col("a").alias("p"), F.col("b").alias("q")), "tested")
+    links = stored(_verified(tested, sets, percent), "found")
     labels = stored(components(links), "labels")
     labelled = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2")
@@ -328,6 +329,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         labels = stored(skew_join(whole, over, "g", "left").select("id", F.coalesce("top", "g").alias("component")), "labels")
 
     known = stored(classes.join(labels, "id", "left").select("digest", "doc", F.coalesce("component", "id").alias("group")), "known")
+    # Nothing that is returned reads these any more.
+    for table in (classes, members, sets, pairs, tested, links, labelled, live, more):
+        dropped(table)
     least = known.groupBy("group").agg(F.min("doc").alias("component_id"))
     named = skew_join(known, least, "group").select("digest", "component_id", "group")
     out = skew_join(signed.select("doc_id", "n_shingles", "digest", "row"), named, "digest", "left")
