@@ -338,3 +338,24 @@ def test_depth_fields(spark, tmp_path):
         save("a.npz", **change)
         with pytest.raises(Exception):
             depths.read_depths(spark, path).collect()
+
+
+def test_core_clear_plan_and_edges(spark):
+    """Blocks at edges of tiles, negative pixels and holes against a plain lookup; no pixel is dealt to its neighbours."""
+    import contextlib
+    import io
+    import random
+
+    from vantage.operators.observations import core_clear
+
+    rng = random.Random(3)
+    mask = {(f, x, y) for f in "ab" for x in range(-17, 33) for y in range(-16, 31) if rng.random() < 0.93}
+    seen = [(i, rng.choice("abc"), rng.uniform(-19, 35), rng.uniform(-19, 33)) for i in range(4000)]
+    o = spark.createDataFrame([*seen, (9001, "a", None, 3.0), (9002, None, 3.0, 3.0)], "n long, f string, px double, py double")
+    m = spark.createDataFrame(sorted(mask), "f string, ix long, iy long")
+    got = core_clear(o, m.unionAll(m.limit(50)), ["f"])
+    want = {n for n, f, x, y in seen if all((f, math.floor(x) + a, math.floor(y) + b) in mask for a in (-1, 0, 1) for b in (-1, 0, 1))}
+    assert got.columns == o.columns and sorted(r.n for r in got.collect()) == sorted(want) and 100 < len(want) < 3900
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        got.explain()
+    assert "bit_or" in out.getvalue() and "count(1)" not in out.getvalue()
