@@ -359,3 +359,14 @@ def test_core_clear_plan_and_edges(spark):
     with contextlib.redirect_stdout(io.StringIO()) as out:
         got.explain()
     assert "bit_or" in out.getvalue() and "count(1)" not in out.getvalue()
+
+
+def test_anchors_by_tiles(spark):
+    """Anchors go by the packed mask, too."""
+    from vantage.operators.observations import anchors
+
+    rows = [(n, "a", 20.5 + n, 13.5, 3.0, 4, 9.0, 0.5) for n in range(12)] + [(99, "a", 14.5, 14.5, -1.0, 4, 9.0, 0.5)]
+    o = spark.createDataFrame(rows, "n long, f string, px double, py double, depth_z double, support_station_count long, angle_deg double, reprojection_error_px double")
+    m = spark.createDataFrame([("a", x, y) for x in range(13, 30) for y in range(12, 15)], "f string, ix long, iy long")
+    got = anchors(o, ["f"], m, 1024, 1024, 3, 4.0, 1.5)
+    assert sorted(r.n for r in got.collect()) == list(range(9)) and "bit_or" in got._jdf.queryExecution().toString()
