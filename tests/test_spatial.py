@@ -393,3 +393,27 @@ def test_complete_link_dense(spark):
         k = next((g for g in sorted(near & groups.keys()) if all(m in near for m in groups[g])), i)
         groups.setdefault(k, []).append(i)
         assert got[i] == k
+
+
+def test_projected_pairs_stay_in_place(spark):
+    """A full cell and far ones against numpy; no pair of a cell or a point with a view goes through a shuffle."""
+    import random
+
+    from vantage.operators import evidence
+
+    rng = random.Random(4)
+    pts = [(i, rng.gauss(0, 12), rng.gauss(0, 12), rng.gauss(0, 12)) for i in range(300)] + [(300 + i, 1.0 + i / 1e4, 2.0, 9.0) for i in range(700)]
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    views = [(f"v{k}", k, rng.gauss(0, 5), rng.gauss(0, 5), rng.gauss(0, 5), 100.0, 100.0, 128.0, 64.0, 256, 128, *eye) for k in range(20)]
+    names = "frame_name string, station_id long, cx double, cy double, cz double, fl_x double, fl_y double, pp_x double, pp_y double, w int, h int, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3))
+    got = evidence.projected(spark.createDataFrame(pts, "row_id long, x double, y double, z double"), spark.createDataFrame(views, names))
+    want = set()
+    for v in views:
+        for i, x, y, z in pts:
+            d = z - v[4]
+            if d > 0 and 0 <= 100 * (x - v[2]) / d + 128 < 256 and 0 <= 100 * (y - v[3]) / d + 64 < 128:
+                want.add((i, v[0]))
+    rows = got.select("row_id", "frame_name").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and plan.index("CartesianProduct") < plan.index("Join")
