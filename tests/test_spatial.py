@@ -417,3 +417,24 @@ def test_projected_pairs_stay_in_place(spark):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "CartesianProduct" in plan and plan.index("CartesianProduct") < plan.index("Join")
+
+
+def test_nearest_stations_in_blocks(spark, monkeypatch):
+    """Against all distances: ties, stations at one place, far queries, fewer stations than asked for; only pairs of blocks are joined."""
+    import random
+
+    from vantage.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = random.Random(5)
+    for n, spread in ((400, 9.0), (300, 0.0), (2, 1.0)):
+        stations = [(float(rng.randrange(12)) * spread, rng.uniform(-2, 2), float(rng.randrange(12)) * spread) for _ in range(n)]
+        queries = [(i, rng.uniform(-100, 200), 0.0, rng.uniform(-100, 200)) for i in range(150)] + [(1000 + i, float(i), 0.0, 9.0) for i in range(30)] + [(2000, None, 0.0, 1.0)]
+        out = neighbours.nearest_stations(spark.createDataFrame(queries, "id long, x double, y double, z double"), spark.createDataFrame(stations, "x double, y double, z double"), 3)
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        want = set()
+        for i, x, _, z in queries[:-1]:
+            d = sorted((math.sqrt((s[0] - x) * (s[0] - x) + (s[2] - z) * (s[2] - z)), s[1]) for s in stations)
+            near = [-y for e, y in d if e <= d[min(3, n) - 1][0] * (1 + 128 * 2.220446049250313e-16)] if n >= 3 else [-y for _, y in d]
+            want.add((i, max(near), len(near)))
+        assert {tuple(r) for r in out.collect()} == want

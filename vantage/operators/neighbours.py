@@ -95,12 +95,118 @@ def sphere_nearest(queries: DataFrame, cores: DataFrame, degrees: float) -> Data
     return queries.select("id").join(near, "id", "left").withColumn("angle", angle).select("id", "angle", F.coalesce(1 - t * t * (3 - 2 * t), F.lit(0.0)).alias("weight"))
 
 
-def nearest_stations(queries: DataFrame, stations: DataFrame, k: int, cell: float = 4.0, epsilon: float = 128 * 2.220446049250313e-16) -> DataFrame:
-    """id and far_height: the greatest height of the k nearest stations (station_id, x, y, z) by horizontal distance.
+BLOCK = 1024
 
-    All stations within the k-th distance and a relative epsilon count. y points down, so height is -y.
+
+def _blocks(points: DataFrame, name: str) -> DataFrame:
+    """Blocks of up to ``BLOCK`` points (x, z and others) that are near each other: ``name``_block, _n, _x0, _x1, _z0, _z1 and the points as structs.
+
+    Points are cut in the order of a curve through a grid. A block with a coordinate that isn't finite has no bounds.
+    """
+    r = points.agg(*(f(c) for c in "xz" for f in (F.min, F.max)), F.count(F.lit(1))).first()
+    side = max((float(r[i + 1] - r[i]) for i in (0, 2) if r[i] is not None), default=0.0) or 1.0
+    at = [F.least(F.lit(65535), F.floor((F.col(c) - F.lit(r[i])) / side * 65536)).cast("long") for c, i in (("x", 0), ("z", 2))]
+    bit = lambda c, k: F.shiftright(c, k).bitwiseAND(F.lit(1))
+    curve = sum((F.shiftleft(bit(c, k), 2 * k + i) for k in range(16) for i, c in enumerate(at)), F.lit(0).cast("long"))
+    kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in points.schema)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def packed(t):
+            rows = t.combine_chunks().to_batches()[0]
+            bounds = [f(np.asarray(rows.column(c))) for c in "xz" for f in (np.min, np.max)]
+            if not np.isfinite(bounds).all():
+                bounds = [-np.inf, np.inf] * 2
+            own = pa.StructArray.from_arrays(rows.columns, names=rows.schema.names)
+            own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64()), *(pa.array([float(b)]) for b in bounds), own], [f"{name}_{c}" for c in ("n", "x0", "x1", "z0", "z1")] + [name])
+
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            while held.num_rows >= BLOCK:
+                yield packed(held.slice(0, BLOCK))
+                held = held.slice(BLOCK)
+        if held is not None and held.num_rows:
+            yield packed(held)
+
+    parts = max(1, min(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), r[4] // (16 * BLOCK)))
+    rows = points.withColumn("_at", curve).repartitionByRange(parts, "_at").sortWithinPartitions("_at").drop("_at")
+    out = rows.mapInArrow(run, f"{name}_n long, {name}_x0 double, {name}_x1 double, {name}_z0 double, {name}_z1 double, {name} array<struct<{kind}>>")
+    return checkpointed(out.withColumn(f"{name}_block", F.monotonically_increasing_id()))
+
+
+def nearest_stations(queries: DataFrame, stations: DataFrame, k: int, epsilon: float = 128 * 2.220446049250313e-16) -> DataFrame:
+    """id, far_height and stations: the greatest height of the k nearest stations (x, y, z) by horizontal distance, and how many they are.
+
+    All stations within the k-th distance and a relative epsilon count. y points down, so height is -y. Ids of queries are distinct;
+    rows without a place are left out.
+
+    Blocks of queries meet the blocks of stations that can have one of the k nearest: by the bounds of blocks, there are k stations
+    within some distance of all its queries, and blocks that begin beyond that aren't looked at. A query keeps its nearest distances
+    only, each with a count and the greatest height, while its task goes from block to block; no pair is shuffled.
     """
-    flat = lambda d, key: d.select(F.col(key).alias("id"), "x", F.lit(0.0).alias("y"), "z")
-    near = nearest(flat(queries, "id"), flat(stations, "station_id"), k, cell, ties=epsilon)
-    heights = stations.select(F.col("station_id").alias("other"), F.col("y").alias("sy"))
-    return near.join(heights, "other").groupBy("id").agg(F.max(0 - F.col("sy")).alias("far_height"), F.count(F.lit(1)).alias("stations"))
+    q = _blocks(queries.select("id", "x", "z").where("x IS NOT NULL AND z IS NOT NULL"), "q")
+    s = _blocks(stations.select("x", "y", "z").where("x IS NOT NULL AND z IS NOT NULL"), "s")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"s_{c}0") - F.col(f"q_{c}1"), F.col(f"q_{c}0") - F.col(f"s_{c}1"))
+    reach = lambda c: F.greatest(F.col(f"s_{c}1") - F.col(f"q_{c}0"), F.col(f"q_{c}1") - F.col(f"s_{c}0"))
+    apart = lambda f: F.sqrt(f("x") * f("x") + f("z") * f("z"))
+    met = q.drop("q").hint("shuffle_replicate_nl").crossJoin(s.drop("s")).withColumns({"near": apart(gap), "far": apart(reach)})
+    enough = F.sum("s_n").over(Window.partitionBy("q_block").orderBy("far")) >= k
+    cut = F.min(F.when(F.col("_enough"), F.col("far"))).over(Window.partitionBy("q_block"))
+    kept = met.withColumn("_enough", enough).withColumn("_cut", cut).where("_cut IS NULL OR near <= _cut * (1 + 1e-9) + 1e-300").select("q_block", "s_block", "near")
+    rows = kept.join(s.select("s_block", "s"), "s_block").join(q.select("q_block", "q"), "q_block").repartition("q_block").sortWithinPartitions("q_block", "near")
+    slack = 1 + epsilon
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        numbers = lambda v, c: v.field(c).to_numpy(zero_copy_only=False).astype(float)
+
+        def meet(own, v):
+            """Add one more block of stations to the kept query indices, distances, counts and heights."""
+            x, z, cut = own["x"], own["z"], own["cut"]
+            height = 0.0 - numbers(v, "y")
+            dx, dz = numbers(v, "x")[None, :] - x[:, None], numbers(v, "z")[None, :] - z[:, None]
+            d = np.sqrt(dx * dx + dz * dz)
+            d[np.isnan(d)] = np.inf
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
+            row, at = np.nonzero(d <= (np.minimum(cut, kth) * slack)[:, None])
+            i, far, n, h = (np.concatenate(c) for c in zip(own["held"], (row, d[row, at], np.ones(len(row), np.int64), height[at])))
+            order = np.lexsort((far, i))
+            i, far, n, h = (c[order] for c in (i, far, n, h))
+            first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (far[1:] != far[:-1])][: len(i)])
+            if len(first):
+                i, far, n, h = i[first], far[first], np.add.reduceat(n, first), np.fmax.reduceat(h, first)
+                before = np.cumsum(n) - n
+                full = before + n - before[np.searchsorted(i, i)] >= k
+                # Of a query's distances that have k stations within them the least is set last.
+                cut[i[full][::-1]] = far[full][::-1]
+                keep = far <= cut[i] * slack
+                own["held"] = i[keep], far[keep], n[keep], h[keep]
+
+        def result(own):
+            i, _, n, h = own["held"]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            columns = [own["ids"].take(pa.array(i[first])), pa.array(np.fmax.reduceat(h, first), from_pandas=True), pa.array(np.add.reduceat(n, first))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "far_height", "stations"])
+
+        block, own = None, None
+        with np.errstate(all="ignore"):
+            for b in batches:
+                for r in range(b.num_rows):
+                    if own is None or b.column("q_block")[r].as_py() != block:
+                        if own is not None:
+                            yield result(own)
+                        block, v = b.column("q_block")[r].as_py(), b.column("q")[r].values
+                        none = np.zeros(0, np.int64)
+                        own = {"ids": v.field("id"), "x": numbers(v, "x"), "z": numbers(v, "z"), "held": (none, np.zeros(0), none, np.zeros(0)), "cut": np.full(len(v), np.inf)}
+                    meet(own, b.column("s")[r].values)
+        if own is not None:
+            yield result(own)
+
+    return rows.select("q_block", "q", "s").mapInArrow(run, f"id {queries.schema['id'].dataType.simpleString()}, far_height double, stations long")
