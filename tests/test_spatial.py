@@ -438,3 +438,12 @@ def test_nearest_stations_in_blocks(spark, monkeypatch):
             near = [-y for e, y in d if e <= d[min(3, n) - 1][0] * (1 + 128 * 2.220446049250313e-16)] if n >= 3 else [-y for _, y in d]
             want.add((i, max(near), len(near)))
         assert {tuple(r) for r in out.collect()} == want
+
+
+def test_anchor_observations_shuffles_no_pixels(spark):
+    """Observations go to their station once for the mask and once for the lookup; pixels and tiles of the mask don't."""
+    from vantage.plans.queries import QUERIES
+
+    plan = QUERIES["anchor_observations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and all("hashpartitioning(station_id#" in x and "tx" not in x for x in dealt)
