@@ -685,3 +685,20 @@ def test_pipeline(spark):
             assert set(Counter(r.doc_id for r in b).values()) <= {1, 2}
         else:
             assert len(a) == len(b) and all(r.n_tokens == len(r.ids) for r in b)
+
+
+def test_context_tree_keys_and_weights():
+    """Keys hold the bytes before a place, the nearest one first; weights stay exact where the counts' logarithms are large."""
+    import numpy as np
+
+    from vantage.llm import context_tree
+
+    texts = [b"", b"a", b"Abcdefgh", bytes(range(1, 9)) * 3]
+    keys, starts = context_tree.grams_of(texts)
+    want = []
+    for t in texts:
+        raw = [context_tree.EDGE] * context_tree.DEPTH + list(t.lower()) + [context_tree.EDGE]
+        want += [int.from_bytes([*raw[i - context_tree.DEPTH : i][::-1], raw[i]], "big") for i in range(context_tree.DEPTH, len(raw))]
+    assert keys.tolist() == want and starts.tolist() == [0, 1, 3, 12, 37]
+    log_p, weight = context_tree.weighted(np.array([-1e9, -1e9, -5.0]), np.array([-1e9, -1e9 - math.log(3), 0.0]))
+    assert np.allclose(weight, [0.5, 0.75, math.exp(-5) / (1 + math.exp(-5))], rtol=1e-6, atol=0) and abs(weight[0] - 0.5) < 1e-15 and log_p[0] == -1e9

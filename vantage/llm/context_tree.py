@@ -51,9 +51,16 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, True) + _log_gamma(ones, True) - _log_gamma(zeros + ones, False) - math.log(math.pi)
 
 
-def weighted(kt: np.ndarray, children: np.ndarray) -> np.ndarray:
-    """The logarithm of a node's block probability from its estimate and its children's sum."""
-    return math.log(0.5) + np.logaddexp(kt, children)
+def weighted(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of a node's block probability from its estimate and its children's sum, and the weight of the estimate in it."""
+    less = np.exp(-np.abs(kt - children))
+    part = 1 / (1 + less)
+    return math.log(0.5) + np.maximum(kt, children) + np.log(1 + less), np.where(kt >= children, part, less * part)
+
+
+def _estimates(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Each node's probability of a zero, then of a one."""
+    return (np.stack([zeros, ones], axis=1) + 0.5).ravel() / np.repeat(zeros + ones + 1, 2)
 
 
 class Trees:
@@ -84,8 +91,7 @@ class Trees:
                 kt = log_kt(zeros, ones)
                 if d < DEPTH:
                     up = node[self.to[d][first[j]]]
-                    log_p = weighted(kt, np.bincount(up, self.log_p[d + 1, j], n))
-                    self.weight[d, j] = np.exp(math.log(0.5) + kt - log_p)
+                    log_p, self.weight[d, j] = weighted(kt, np.bincount(up, self.log_p[d + 1, j], n))
                 else:
                     log_p = kt
                 self.node[d, j], self.zeros[d, j], self.ones[d, j], self.log_p[d, j] = node, zeros, ones, log_p
@@ -109,7 +115,8 @@ class Trees:
         A node's probability weighs its own estimate against its child's by the posterior of being a leaf; a node
         that training texts don't hold says 1/2.
         """
-        out = np.zeros(len(self.keys))
+        # The product over a byte's bits stays far above the least double: each is at least half of one over its node's count.
+        out = np.ones(len(self.keys))
         byte = (self.keys & np.uint64(255)).astype(np.int64)
         near = (self.keys >> np.uint64(8 * DEPTH)).astype(np.int64)
         for j in range(8):
@@ -120,20 +127,18 @@ class Trees:
                 if d < DEPTH:
                     at = self.to[d][at]
                 node = self.node[d, j][at]
-                zeros, ones = self.zeros[d, j][node], self.ones[d, j][node]
-                own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
+                own = _estimates(self.zeros[d, j], self.ones[d, j])[2 * node + bit]
                 if d < DEPTH:
                     w = self.weight[d, j][node]
                     own = w * own + (1 - w) * p
                 p = own
             prefix = 1 << j | byte >> (8 - j)
             for zeros_, ones_, weight, index in ((*top[1], near * 256 + prefix), (*top[0], prefix)):
-                zeros, ones = zeros_[index], ones_[index]
-                own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
+                own = _estimates(zeros_, ones_)[2 * index + bit]
                 w = weight[index]
                 p = w * own + (1 - w) * p
-            out += np.log10(p)
-        return out
+            out *= p
+        return np.log10(out)
 
 
 def top_of(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple:
@@ -144,8 +149,8 @@ def top_of(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.
 
     def level(z, o, c):
         kt = log_kt(z.astype(np.int64), o.astype(np.int64))
-        log_p = weighted(kt, c)
-        return log_p, (z, o, np.exp(math.log(0.5) + kt - log_p))
+        log_p, weight = weighted(kt, c)
+        return log_p, (z, o, weight)
 
     log_p, one = level(z, o, c)
     log_p[z + o == 0] = 0.0
@@ -155,13 +160,16 @@ def top_of(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all bytes and ends of lower-cased texts in order, and where each text's begin, with the end."""
-    raw = np.frombuffer(b"".join(bytes([EDGE]) * DEPTH + t.lower() + bytes([EDGE]) for t in texts), np.uint8)
+    joined = b"".join(bytes([EDGE]) * DEPTH + t.lower() + bytes([EDGE]) for t in texts)
+    raw = np.frombuffer(joined, np.uint8)
     starts = np.cumsum([0, *(len(t) + 1 + DEPTH for t in texts)])
+    # Eight bytes from anywhere in the reversed texts, the first one highest, are the bytes before a place, the nearest one first.
+    before = np.ndarray(len(raw), ">u8", joined[::-1] + bytes(8), strides=(1,))
     key = np.zeros(len(raw), np.uint64)
-    wide = raw.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        key[k:] |= wide[:-k] << np.uint64(8 * (DEPTH - k + 1))
-    key |= wide
+    key[1:] = before[:0:-1]
+    key >>= np.uint64(8 * (7 - DEPTH))
+    key &= ~np.uint64(255)
+    key |= raw
     keep = np.ones(len(raw), bool)
     keep[(starts[:-1, None] + np.arange(DEPTH)).ravel()] = False
     return key[keep], starts - np.arange(len(starts)) * DEPTH
