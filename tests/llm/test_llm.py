@@ -65,6 +65,28 @@ def test_near_duplicates(spark, k):
     assert len({r.group for r in got} - {None}) == len({g for g, s in zip(group, sets) if s})
 
 
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+    """Tables that grow with the input don't pass the driver, however small they are here."""
+    from vantage.llm import common, components
+
+    plans, write = [], common.stored
+
+    def seen(df, name, **options):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **options)
+
+    for module in (common, components, minhash_dedup):
+        monkeypatch.setattr(module, "stored", seen)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 3 :] + [f"x{i}"])) for i in range(9)] + [(20 + i, " ".join(f"y{i}{w}" for w in words)) for i in range(3)]
+    out = minhash_dedup.near_duplicates(frame(spark, rows))
+    assert {r.component_id for r in out.collect()} == {0, 20, 21, 22}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
+
 def test_tiles_join_large_groups(spark):
     """A group whose members are often below the threshold: tiles find what pivots don't."""
     rng = random.Random(1)

@@ -51,13 +51,21 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other`` on ``key`` by shuffles of both.
+
+    Spark would broadcast a table whose file or shuffle is small, which passes the driver's memory as rows many times that size.
+    """
+    return rows.join(other.hint("merge"), key, how)
+
+
 def skew_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``other``, which has a row a key and is stored first, on ``key``.
 
     A key may have a third of ``rows``. Both sides of the join are then plain shuffles, and Spark (AQE) splits a
     partition that is much larger than others; it could not if ``other`` were aggregated within the join's stage.
     """
-    return rows.join(stored(other, "keyed"), key, how)
+    return joined(rows, stored(other, "keyed"), key, how)
 
 
 def free_name(columns: list[str], *wanted: str) -> list[str]:

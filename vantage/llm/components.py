@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import dropped, skew_join, stored
+from .common import dropped, joined, skew_join, stored
 
 
 def _watched(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # Here u is the larger end, which few stars share; centres of stars are on the other side.
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        small = joined(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         after, now = _watched(small.where("u <> v").distinct(), "links")
         dropped(edges)
         dropped(large)

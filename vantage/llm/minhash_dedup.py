@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, lean, skew_join, stored, text_bytes, trimmed
+from .common import dropped, joined, lean, skew_join, stored, text_bytes, trimmed
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -186,14 +186,14 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = [make(t).tobytes() for t in text_bytes(b.column("text").take(pa.array(list(first.values()), pa.int64())))]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "set"])
 
-    rows = _rows(docs).join(ids.select("row"), "row", "left_semi")
-    return rows.mapInArrow(lean(run), "digest binary, set binary").join(ids.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set")
+    rows = joined(_rows(docs), ids.select("row"), "row", "left_semi")
+    return joined(rows.mapInArrow(lean(run), "digest binary, set binary"), ids.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "set")
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
     """The pairs (p, q) as a, b with both ends' ``name``; p may be one end of very many pairs."""
     ends = [of.select(F.col("id").alias(c), F.col(name).alias(f"{name}_{to}")) for c, to in (("p", "a"), ("q", "b"))]
-    both = pairs.join(ends[1], "q").join(ends[0], "p")
+    both = joined(joined(pairs, ends[1], "q"), ends[0], "p")
     return both.select(F.col("p").alias("a"), F.col("q").alias("b"), f"{name}_a", f"{name}_b")
 
 
@@ -261,12 +261,12 @@ def _tile(rows: list[tuple], percent: int, miss: float) -> list[tuple[int, int]]
 def _tiles(live: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links (a, b) within the clusters of ``live`` (bucket, id, label)."""
     first = live.groupBy("bucket").agg(F.min("id").alias("b"))
-    cluster = components(live.join(first, "bucket").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
-    own = live.select("id", "label").distinct().join(cluster, "id")
+    cluster = components(joined(live, first, "bucket").select(F.col("id").alias("a"), "b").where("a <> b").distinct())
+    own = joined(live.select("id", "label").distinct(), cluster, "id")
     groups = own.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("label").alias("main"))).alias("largest"))
     groups = groups.select("component", "n", F.col("largest.main").alias("main"), (F.col("n") - F.col("largest.n")).alias("out"))
-    own = stored(own.join(groups, "component").select("component", "id", "label", (F.col("label") != F.col("main")).alias("outside"), "n", "out"), "clusters")
+    own = stored(joined(own, groups, "component").select("component", "id", "label", (F.col("label") != F.col("main")).alias("outside"), "n", "out"), "clusters")
     chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col(n) / TILE)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / TILE) - 1).cast("long")))
     rest = ["component", "id", "label", "outside"]
@@ -280,7 +280,7 @@ def _tiles(live: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, mis
         links = _tile(list(zip(*(table.column(c).to_pylist() for c in columns))), percent, miss)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    full = placed.join(signs.select("id", "sig").join(sets.select("id", "set"), "id"), "id")
+    full = joined(placed, joined(signs.select("id", "sig"), sets.select("id", "set"), "id"), "id")
     return full.groupBy("component", "i", "j").applyInArrow(trimmed(run), "a long, b long")
 
 
@@ -306,8 +306,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     signs = classes.select("id", "sig")
     band = _banded(signs)
     shared = band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(band.join(shared, "bucket"), "members")
-    sets = stored(_sets(docs, classes.select("id", "row", "digest").join(members.select("id").distinct(), "id", "left_semi"), words), "sets")
+    members = stored(joined(band, shared, "bucket"), "members")
+    sets = stored(_sets(docs, joined(classes.select("id", "row", "digest"), members.select("id").distinct(), "id", "left_semi"), words), "sets")
 
     pivot = members.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(7))).alias("p"))
     pairs = skew_join(members, pivot, "bucket").where("id <> p").select("p", F.col("id").alias("q")).distinct()
@@ -315,20 +315,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     tested = stored(_tested(pairs, signs, percent, miss).select(F.col("a").alias("p"), F.col("b").alias("q")), "tested")
     links = stored(_verified(tested, sets, percent), "found")
     labels = stored(components(links), "labels")
-    labelled = stored(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    labelled = stored(joined(members, labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")), "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high and n > 2")
     live = stored(skew_join(labelled, open_.select("bucket"), "bucket"), "live")
     more = stored(_tiles(live, signs, sets, percent, miss), "found")
     if not more.isEmpty():
         # Groups joined by more links: components of the groups, which are far fewer than their members.
         named = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group"))
-        between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
-        joined = stored(components(between.distinct()), "joined")
-        whole = labels.select("id", F.col("component").alias("g")).unionAll(joined.select("id", F.col("id").alias("g")).join(labels.select("id"), "id", "left_anti"))
-        over = joined.select(F.col("id").alias("g"), F.col("component").alias("top"))
+        between = joined(joined(more, named("a"), "a", "left"), named("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+        tops = stored(components(between.distinct()), "joined")
+        whole = labels.select("id", F.col("component").alias("g")).unionAll(joined(tops.select("id", F.col("id").alias("g")), labels.select("id"), "id", "left_anti"))
+        over = tops.select(F.col("id").alias("g"), F.col("component").alias("top"))
         labels = stored(skew_join(whole, over, "g", "left").select("id", F.coalesce("top", "g").alias("component")), "labels")
 
-    known = stored(classes.join(labels, "id", "left").select("digest", "doc", F.coalesce("component", "id").alias("group")), "known")
+    known = stored(joined(classes, labels, "id", "left").select("digest", "doc", F.coalesce("component", "id").alias("group")), "known")
     # Nothing that is returned reads these any more.
     for table in (classes, members, sets, pairs, tested, links, labelled, live, more):
         dropped(table)
