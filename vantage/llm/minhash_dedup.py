@@ -266,7 +266,7 @@ def _tiles(live: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, mis
     groups = own.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("label").alias("main"))).alias("largest"))
     groups = groups.select("component", "n", F.col("largest.main").alias("main"), (F.col("n") - F.col("largest.n")).alias("out"))
-    own = stored(joined(own, groups, "component").select("component", "id", "label", (F.col("label") != F.col("main")).alias("outside"), "n", "out"), "clusters")
+    own = stored(skew_join(own, groups, "component").select("component", "id", "label", (F.col("label") != F.col("main")).alias("outside"), "n", "out"), "clusters")
     chunk = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col(n) / TILE)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / TILE) - 1).cast("long")))
     rest = ["component", "id", "label", "outside"]
